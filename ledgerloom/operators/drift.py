@@ -22,7 +22,7 @@ from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
 #: Least likeness of content (0..1) for a rename.
-ALIKE = 0.5
+ALIKE = 0.43
 _FEATURES = 256
 
 
@@ -213,7 +213,7 @@ def changes(df: DataFrame) -> DataFrame:
     like = left.join(right, ["new_file", "new", "family", "bucket"]).groupBy("dir", "at", "old", "new", "family").agg(F.sum(F.sqrt(F.col("_a") * F.col("_b"))).alias("bc"))
     by = like.groupBy("dir", "at", "old", "new").agg(*[F.max(F.when(F.col("family") == x, F.col("bc"))).alias(x) for x in ("form", "word", "name")])
     content = F.coalesce("name", F.col("form") * 0.65 + F.coalesce("word", F.col("form")) * 0.35, F.col("word"))
-    by = by.withColumn("likeness", content + _same_name(F.col("old"), F.col("new"))).where(F.col("likeness") >= ALIKE)
+    by = by.withColumn("content", content).where(F.col("content") >= ALIKE).withColumn("likeness", F.col("content") + _kinship(F.col("old"), F.col("new")))
     renamed = _best_pairs(by)
 
     renamed = renamed.select("dir", "at", F.col("old").alias("path"), F.col("new").alias("new_path"), F.lit("renamed").alias("event"))
@@ -223,10 +223,14 @@ def changes(df: DataFrame) -> DataFrame:
     return out.select("source_group", "source_file", F.col("event").alias("change_kind"), F.col("path").alias("field_path"), "new_path")
 
 
-def _same_name(old: Column, new: Column) -> Column:
+def _kinship(old: Column, new: Column) -> Column:
+    """Preference among partners of like content: the same parent, like names, the same depth of repetition."""
     leaf = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^.]*)$", 1), r"[^A-Za-z0-9]", ""))
+    parent = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
+    depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit("[]"), F.lit("")))
     a, b = leaf(old), leaf(new)
-    return F.when(a == b, 0.3).when(a.contains(b) | b.contains(a), 0.15).otherwise(0.0)
+    name = F.when(a == b, 0.25).when(a.contains(b) | b.contains(a), 0.1).otherwise(0.0)
+    return name + F.when(parent(old) == parent(new), 0.25).otherwise(0.0) - F.when(depth(old) != depth(new), 0.2).otherwise(0.0)
 
 
 def _best_pairs(pairs: DataFrame) -> DataFrame:
