@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.skew import join_on_hot_key
-from ledgerloom.session import cut
+from ledgerloom.session import cut, free
 
 
 def accepted_pairs(df: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected(pairs: DataFrame, hot: int = 100_000, most_rounds: int = 60) -> Da
         mins = state.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         sent = join_on_hot_key(state, mins, "v", "n", "u", hot)
         sent = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p"))
-        state = cut(sent.select("p.v", "p.u").distinct())
+        last, state = state, cut(sent.select("p.v", "p.u").distinct())
+        free(last)
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             return state.where("v < u").select(F.col("v").alias("group_id"), F.col("u").alias("id"))
