@@ -1,9 +1,10 @@
-"""Session defaults, table access and the shared-storage checkpoint used by iterative operators."""
+"""Session defaults, table access and the shared-storage tables used by iterative operators."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named (tests, one machine) take a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where none is named (tests, one machine) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
+    return (named or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")).rstrip("/") + f"/{spark.sparkContext.applicationId}"
+
+
+_written: dict[int, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage on reliable storage, so a lost executor costs no recomputation of the past."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise on shared storage and read back, so a lost executor costs no recomputation of the past.
+
+    A written table rather than ``checkpoint()``: it is columnar, and its size is known to the planner, whereas a
+    checkpoint keeps the estimates of the plan it replaces, which multiply from round to round of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[id(back)] = path
+    return back
+
+
+def free(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``, once nothing reads it any more."""
+    path = _written.pop(id(df), None)
+    if path:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        target = hadoop.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
