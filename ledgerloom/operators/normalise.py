@@ -30,12 +30,16 @@ def _step(json: Column, segment: str) -> Column:
     return F.when(F.ltrim(inner).startswith("["), F.get_json_object(inner, "$[0]")).otherwise(inner)
 
 
+def _getter(name: str):
+    return lambda j: F.get_json_object(j, f"$['{name}']")
+
+
 def elements_at(json: Column, path: str) -> Column:
     """Array of the JSON texts of the elements at a path: a list's elements, a lone object as one, lists on the way flattened."""
     current = F.array(json)
     for segment in path.split("."):
         name = segment.removesuffix("[]").replace("'", "\\'")
-        inner = F.filter(F.transform(current, lambda j, n=name: F.get_json_object(j, f"$['{n}']")), lambda j: j.isNotNull())
+        inner = F.filter(F.transform(current, _getter(name)), lambda j: j.isNotNull())
         listed = F.transform(inner, lambda j: F.when(F.ltrim(j).startswith("["), F.from_json(j, "array<string>")).otherwise(F.array(j)))
         current = F.flatten(listed)
     return F.filter(current, lambda j: j.isNotNull())

@@ -25,10 +25,10 @@ def spread_sample(df: DataFrame, group: str, order: str, cap: int) -> DataFrame:
     Ranks come from slots and offsets, so a group with very many rows is not sorted in one task.
     """
     ranked = rank_within(df, group, order)
-    size = df.groupBy(group).agg(F.count("*").alias("_size"))
+    size = df.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size"))
     step = F.greatest(F.lit(1), F.floor(F.col("_size") / cap))
-    out = ranked.join(size, F.col(group).eqNullSafe(size[group])).drop(size[group])
-    return out.where((F.col("_rank") % step == 0) & (F.col("_rank") / step < cap)).drop("_rank", "_size")
+    out = ranked.join(broadcast_if_small(size), F.col(group).eqNullSafe(F.col("_of")))
+    return out.where((F.col("_rank") % step == 0) & (F.floor(F.col("_rank") / step) < cap)).drop("_rank", "_size", "_of")
 
 
 def rank_within(df: DataFrame, group: str, order: str) -> DataFrame:
@@ -94,7 +94,7 @@ def field_stats(leaves: DataFrame, records: DataFrame, group: str = "source_grou
 
 def is_id_candidate() -> Column:
     """Over ``field_stats``: an identifier by name with some variety, or nearly unique short values; 25 at least."""
-    uniq = F.col("n_distinct") / F.col("nonempty")
+    uniq = F.try_divide("n_distinct", "nonempty")
     named = F.col("path").rlike(ID_HINT) & (uniq > 0.001)
     return ~F.col("path").rlike(JUNK_HINT) & (F.col("nonempty") >= 25) & (named | ((uniq > 0.95) & (F.col("avg_len") <= 40)))
 
