@@ -8,15 +8,18 @@ skipped it, two fitting means they passed it twice.
 
 from __future__ import annotations
 
+import re
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.skew import broadcast_if_small
 
 _SEP = "\u0001"
 _DAY = 86_400_000_000
+BLANKS = " \u00a0\u202f\u2007\u2009\u200a\u200b\ufeff\t\r\n"
+DASHES = "\u2212\u2010\u2011"
 
 # Month names of the supported languages, without accents, by month number.
 MONTHS = {
@@ -120,21 +123,20 @@ _FIELDS = ["ok", "y", "mo", "d", "doy", "wk", "wd", "mon", "n", "m", "h", "mi",
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, in integers only (years 0 and later)."""
+    """Days since 1970-01-01 of a proleptic Gregorian date, in integers only (years 1 and later)."""
     y2 = F.when(m <= 2, y - 1).otherwise(y)
-    era = F.floor(y2 / 400)
-    yoe = y2 - era * 400
-    doy = F.floor((F.lit(153) * (m + F.when(m > 2, F.lit(-3)).otherwise(F.lit(9))) + 2) / 5) + d - 1
-    return era * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy - 719468
+    m2 = F.pmod(m + 9, F.lit(12))
+    return y2 * 365 + F.floor(y2 / 4) - F.floor(y2 / 100) + F.floor(y2 / 400) + F.floor((m2 * 153 + 2) / 5) + d - 719469
 
 
-def _leap(y: Column) -> Column:
-    return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+def country_of(zone: str) -> str:
+    return next((c for c, rx in COUNTRY_OF_ZONE if re.fullmatch(rx, zone)), "")
 
 
-def _lookup(pairs: dict[str, object], key: Column, kind: str) -> Column:
-    flat = [F.lit(x) for k, v in pairs.items() for x in (k, v)]
-    return F.try_element_at(F.create_map(*flat), key).cast(kind)
+def _lookup(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A table of constants, broadcast: at most a few hundred rows that do not depend on any data."""
+    line = lambda r: "(" + ", ".join("CAST(NULL AS BIGINT)" if x is None else repr(x) for x in r) + ")"
+    return F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(map(line, rows)) + f" AS t({', '.join(names)})"))
 
 
 def zone_offset(utc_micros: Column, zone: Column) -> Column:
@@ -149,107 +151,96 @@ def normalise_instants(df: DataFrame, text: str = "pub_date", zone: str = "zone_
     Statuses: ok, unparsed (no supported format with date and time, also null and empty text), bad_date, bad_time,
     no_zone, unknown_zone, skipped, ambiguous, day_order (all-numeric date, order unknown, both readings valid).
     Sub-microsecond digits are cut off; 24:00:00 is midnight at the end of that day; second 60 is rejected.  All other
-    columns pass through; work columns are dropped.  Repeated rows stay repeated.
+    columns pass through, whatever their names.  Repeated rows stay repeated.
+
+    Month names, zones and abbreviations are looked up in constant tables; the joins also keep the generated code of each
+    step small.
     """
+    spark = df.sparkSession
     regex, replacement = pattern()
-    keep = df.columns
-    raw = F.col(f"`{text}`").cast("string")
-    clean = F.translate(raw, "    ​﻿\t\r\n−‐‑" + _SEP, "         ---")
-    clean = F.lower(F.trim(F.regexp_replace(clean, " {2,}", " ")))
-    clean = F.translate(clean, "áàâäéèêëíïîóôöúùûüçñ", "aaaaeeeeiiiooouuuucn")
-    parts = F.split(F.when(F.length(clean) <= 200, F.regexp_replace(clean, regex, replacement)), _SEP)
-    out = df.withColumn("_p", parts)
-    part = {name: F.nullif(F.get(F.col("_p"), i), F.lit("")) for i, name in enumerate(_FIELDS)}
-    as_int = lambda name: part[name].cast("bigint")
-    months = {name: number for number, names in MONTHS.items() for name in names.split()}
-    zones = sorted(z for z in available_timezones() if "/" in z)
-    local_zone = F.col(f"`{zone}`")
-    country = F.coalesce(*[F.when(local_zone.rlike(f"^(?:{rx})$"), F.lit(c)) for c, rx in COUNTRY_OF_ZONE], F.when(local_zone.isNull(), F.lit("?")))
-    # Where the feed's country is unknown, only abbreviations with one meaning everywhere are taken.
+    zones = [(z.lower(), z, country_of(z)) for z in sorted(available_timezones()) if re.fullmatch(r"[A-Za-z0-9_+/-]+", z)]
+    months = [(name, number) for number, names in MONTHS.items() for name in names.split()]
+    # Where the country is unknown, only abbreviations with one meaning everywhere are taken.
     meanings: dict[str, set] = {}
     for names in ABBREVIATIONS.values():
         for k, v in names.items():
             meanings.setdefault(k, set()).add(v)
-    abbreviations = {f"{c}:{k}": str(v) for c, names in ABBREVIATIONS.items() for k, v in names.items()}
-    abbreviations |= {f"?:{k}": str(next(iter(v))) for k, v in meanings.items() if len(v) == 1}
+    known = [(c, k, v) for c, names in ABBREVIATIONS.items() for k, v in names.items()] + [("", k, next(iter(v))) for k, v in meanings.items() if len(v) == 1]
+    short = [(f"{c}:{k}", v if isinstance(v, int) else None, v if isinstance(v, str) else "") for c, k, v in known]
 
-    ok = F.get(F.col("_p"), 0) == "ok"
-    two = F.length(part["y"]) == 2
-    n, m, df_ = as_int("n"), as_int("m"), F.col(f"`{day_first}`")
-    order = F.coalesce(df_, F.when(n > 12, True).when(m > 12, False).when(n == m, True))
+    clean = F.translate(F.col(f"`{text}`").cast("string"), BLANKS + DASHES + _SEP, " " * len(BLANKS) + "-" * len(DASHES))
+    clean = F.translate(F.lower(F.trim(F.regexp_replace(clean, " {2,}", " "))), "áàâäéèêëíïîóôöúùûüçñ", "aaaaeeeeiiiooouuuucn")
+    parts = F.split(F.when(F.length(clean) <= 200, F.regexp_replace(clean, regex, replacement)), _SEP)
+    out = df.select(F.struct("*").alias("row"), F.col(f"`{zone}`").alias("local"), F.col(f"`{day_first}`").alias("first"), parts.alias("p"))
+    part = {name: F.nullif(F.get("p", F.lit(i)), F.lit("")) for i, name in enumerate(_FIELDS)}
+    number = lambda name: part[name].cast("int")
     out = out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        ok.alias("_ok"),
-        F.when(two, as_int("y") + 2000).otherwise(as_int("y")).alias("_y"),
-        F.coalesce(as_int("mo"), _lookup(months, part["mon"], "bigint"), F.when(order, m).when(~order, n)).alias("_mo"),
-        F.coalesce(as_int("d"), F.when(order, n).when(~order, m)).alias("_d"),
-        (n.isNotNull() & order.isNull()).alias("_unordered"),
-        as_int("doy").alias("_doy"), as_int("wk").alias("_wk"), as_int("wd").alias("_wd"),
-        F.when(part["noon"].isNotNull(), F.lit(12)).otherwise(as_int("h")).alias("_h"),
-        F.when(part["noon"].isNotNull(), F.lit(0)).otherwise(as_int("mi")).alias("_mi"),
-        F.coalesce(as_int("s"), F.lit(0)).alias("_s"),
-        F.coalesce(F.substring(F.rpad(part["f"], 9, "0"), 1, 6).cast("bigint"), F.lit(0)).alias("_f"),
-        part["ap"].alias("_ap"), part["z"].alias("_z"), part["ep"].alias("_ep"), part["epf"].alias("_epf"),
-        local_zone.alias("_local"), country.alias("_country"),
+        "row", "local", "first", (F.get("p", F.lit(0)) == "ok").alias("ok"), (number("y") + F.when(F.length(part["y"]) == 2, 2000).otherwise(0)).cast("bigint").alias("y"),
+        number("mo").alias("mo"), number("d").alias("d"), number("doy").alias("doy"), number("wk").alias("wk"), number("wd").alias("wd"), part["mon"].alias("mon"),
+        number("n").alias("n"), number("m").alias("m"), F.when(part["noon"].isNotNull(), 12).otherwise(number("h")).alias("h"),
+        F.when(part["noon"].isNotNull(), 0).otherwise(number("mi")).alias("mi"), F.coalesce(number("s"), F.lit(0)).alias("s"),
+        F.coalesce(F.substring(F.rpad(part["f"], 9, "0"), 1, 6).cast("bigint"), F.lit(0)).alias("f"), part["ap"].alias("ap"), part["z"].alias("z"), part["ep"].alias("ep"), part["epf"].alias("epf"),
     )
+    out = out.join(_lookup(spark, months, "mon", "named_month"), "mon", "left").join(_lookup(spark, zones, "local_low", "local_zone", "country").drop("local_low"), F.col("local") == F.col("local_zone"), "left")
 
-    y, mo, d = F.col("_y"), F.col("_mo"), F.col("_d")
-    month_days = F.when(mo == 2, F.when(_leap(y), 29).otherwise(28)).when(mo.isin(4, 6, 9, 11), 30).otherwise(31)
-    jan1 = days_from_civil(y, F.lit(1), F.lit(1))
-    jan1_wd = F.pmod(jan1 + 3, F.lit(7))  # Monday is 0
-    week1 = jan1 - jan1_wd + F.when(jan1_wd > 3, 7).otherwise(0)
-    weeks = F.when((jan1_wd == 3) | (_leap(y) & (jan1_wd == 2)), 53).otherwise(52)
-    day = (
-        F.when(F.col("_doy").isNotNull(), F.when(F.col("_doy").between(1, F.when(_leap(y), 366).otherwise(365)), jan1 + F.col("_doy") - 1))
-        .when(F.col("_wk").isNotNull(), F.when(F.col("_wk").between(1, weeks) & F.col("_wd").between(1, 7), week1 + (F.col("_wk") - 1) * 7 + F.col("_wd") - 1))
-        .when(mo.between(1, 12) & d.between(1, month_days) & (y > 0), days_from_civil(y, mo, d))
-    )
-    h, mi, s = F.col("_h"), F.col("_mi"), F.col("_s")
-    half = F.col("_ap").isNotNull()
-    hour = F.when(half, F.when(h.between(1, 12), h % 12 + F.when(F.col("_ap") == "p", 12).otherwise(0))).otherwise(h)
-    good_time = mi.between(0, 59) & s.between(0, 59) & (hour.between(0, 23) | (~half & (hour == 24) & (mi == 0) & (s == 0) & (F.col("_f") == 0)))
-    clock = F.when(good_time, ((hour * 60 + mi) * 60 + s) * 1_000_000 + F.col("_f"))
-    z = F.col("_z")
-    sign_at = F.regexp_extract(z, r"^(?:utc|gmt)?([+-]\d{1,2}(?::?\d{2})?)(?: ?\[.*)?$", 1)
-    digits = F.regexp_replace(F.substring(sign_at, 2, 10), ":", "")
-    off_h = F.when(F.length(digits) <= 2, digits).otherwise(F.expr("substring(_digits, 1, length(_digits) - 2)"))
-    off_m = F.when(F.length(digits) <= 2, F.lit("0")).otherwise(F.expr("substring(_digits, length(_digits) - 1, 2)"))
-    out = out.withColumns({"_day": day, "_clock": clock, "_sign": F.substring(sign_at, 1, 1), "_digits": digits})
-    # A named zone is looked up without regard to case in a table of about 600 rows (the zone data's own names).
-    names = df.sparkSession.createDataFrame([(x.lower(), x) for x in zones], "_z string, _named string")
-    out = out.join(F.broadcast(names), "_z", "left")
-    off_h, off_m = F.nullif(off_h, F.lit("")).cast("bigint"), off_m.cast("bigint")
-    fixed = F.when(F.col("_sign").isin("+", "-") & (off_h <= 18) & (off_m <= 59), (off_h * 3600 + off_m * 60) * F.when(F.col("_sign") == "-", -1).otherwise(1))
-    short = _lookup(abbreviations, F.concat("_country", F.lit(":"), "_z"), "string")
-    follows = F.when((z == "mt") & F.col("_local").isin("America/Phoenix"), F.col("_local")).otherwise(F.when(short.contains("/"), short))
+    # Order of day and month in all-numeric dates.
+    order = F.coalesce("first", F.when(F.col("n") > 12, True).when((F.col("m") > 12) | (F.col("n") == F.col("m")), False))
     out = out.withColumns(
         {
-            "_fixed": F.when(z.isin("z", "utc", "gmt", "ut"), F.lit(0)).when(F.col("_sign").isin("+", "-"), fixed).otherwise(short.try_cast("bigint")),
-            "_zone": F.when(z.isNull(), F.when(F.col("_local").isin(*zones, "UTC"), F.col("_local"))).otherwise(F.coalesce("_named", follows)),
-            "_wall": F.col("_day") * F.lit(_DAY) + F.col("_clock"),
+            "mo": F.coalesce("mo", "named_month", F.when(order, F.col("m")).when(~order, F.col("n"))),
+            "d": F.coalesce("d", F.when(order, F.col("n")).when(~order, F.col("m"))),
+            "unordered": F.col("n").isNotNull() & order.isNull(),
+            "leap": ((F.col("y") % 4 == 0) & (F.col("y") % 100 != 0)) | (F.col("y") % 400 == 0),
+            "shortened": F.concat(F.coalesce("country", F.lit("")), F.lit(":"), "z"),
+            "offset": F.regexp_extract("z", r"^(?:utc|gmt)?([+-]\d{1,2}(?::?\d{2})?)(?: ?\[.*)?$", 1),
         }
     )
-    zone_, wall = F.col("_zone"), F.col("_wall")
-    before, after = wall - zone_offset(wall - F.lit(_DAY), zone_), wall - zone_offset(wall + F.lit(_DAY), zone_)
-    out = out.withColumns({"_u1": F.when(F.col("_fixed").isNull(), before), "_u2": F.when(F.col("_fixed").isNull(), after)})
-    u1, u2 = F.col("_u1"), F.col("_u2")
-    out = out.withColumns({"_v1": u1 + zone_offset(u1, zone_) == wall, "_v2": u2 + zone_offset(u2, zone_) == wall})
-    v1, v2 = F.col("_v1"), F.col("_v2")
-    local = F.when(v1 & (~v2 | (u1 == u2)), u1).when(v2 & ~v1, u2)
-    ep = F.col("_ep").cast("decimal(20,0)")
-    size = F.length(F.regexp_replace("_ep", "[+-]", ""))
-    epoch = (
-        F.when(size == 19, F.floor(ep / 1000)).when(size == 16, ep).when(size == 13, ep * 1000 + F.coalesce(F.substring(F.rpad("_epf", 3, "0"), 1, 3).cast("int"), F.lit(0)))
-        .otherwise(ep * 1_000_000 + F.coalesce(F.substring(F.rpad("_epf", 6, "0"), 1, 6).cast("int"), F.lit(0)))
-    ).cast("bigint")
+    out = out.join(_lookup(spark, short, "shortened", "short_s", "short_zone"), "shortened", "left").join(_lookup(spark, zones, "z_low", "written_zone", "c2").drop("c2"), F.col("z") == F.col("z_low"), "left")
+
+    # Calendar ranges, then the day: the date itself, or the first of January and an offset from it.
+    yearly = F.col("doy").isNotNull() | F.col("wk").isNotNull()
+    base = days_from_civil(F.col("y"), F.when(yearly, 1).otherwise(F.col("mo")), F.when(yearly, 1).otherwise(F.col("d")))
+    out = out.withColumns({"base": F.when(F.col("y") > 0, base), "digits": F.replace(F.substring("offset", 2, 9), F.lit(":"), F.lit(""))})
+    weekday = F.pmod(F.col("base") + 3, F.lit(7))  # of the first of January; Monday is 0
+    weeks = F.when((weekday == 3) | (F.col("leap") & (weekday == 2)), 53).otherwise(52)
+    length = F.get(F.array(*map(F.lit, (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), F.col("mo") - 1) + F.when((F.col("mo") == 2) & F.col("leap"), 1).otherwise(0)
+    day = (
+        F.when(F.col("doy").isNotNull(), F.when(F.col("doy").between(1, F.when(F.col("leap"), 366).otherwise(365)), F.col("base") + F.col("doy") - 1))
+        .when(F.col("wk").isNotNull(), F.when(F.col("wk").between(1, weeks) & F.col("wd").between(1, 7), F.col("base") - weekday + F.when(weekday > 3, 7).otherwise(0) + F.col("wk") * 7 + F.col("wd") - 8))
+        .when(F.col("mo").between(1, 12) & F.col("d").between(1, length), F.col("base"))
+    )
+    half = F.col("ap").isNotNull()
+    hour = F.when(half, F.when(F.col("h").between(1, 12), F.col("h") % 12 + F.when(F.col("ap") == "p", 12).otherwise(0))).otherwise(F.when(F.col("h") <= 24, F.col("h")))
+    seconds = (hour.cast("bigint") * 60 + F.col("mi")) * 60 + F.col("s")
+    clock = F.when(F.col("mi").between(0, 59) & F.col("s").between(0, 59) & (seconds * 1_000_000 + F.col("f") <= F.lit(_DAY)), seconds * 1_000_000 + F.col("f"))
+    hours = F.when(F.length("digits") > 2, F.expr("left(digits, length(digits) - 2)")).otherwise(F.col("digits")).try_cast("int")
+    minutes = F.when(F.length("digits") > 2, F.expr("right(digits, 2)")).otherwise(F.lit("0")).try_cast("int")
+    written = F.when((hours <= 18) & (minutes <= 59), (hours * 60 + minutes) * F.when(F.substring("offset", 1, 1) == "-", -60).otherwise(60))
+    loose = F.when((F.col("z") == "mt") & (F.col("local") == "America/Phoenix"), F.col("local")).otherwise(F.nullif("short_zone", F.lit("")))
+    out = out.select(
+        "row", "ok", "ep", "epf", "z", "unordered", day.alias("day"), clock.alias("clock"),
+        F.when(F.col("z").isin("z", "utc", "gmt", "ut"), F.lit(0)).when(F.col("offset") != "", written).otherwise(F.col("short_s")).cast("bigint").alias("fixed"),
+        F.when(F.col("z").isNull(), F.col("local_zone")).when(F.col("offset") != "", F.lit(None)).otherwise(F.coalesce("written_zone", loose)).alias("zone"),
+    ).withColumn("wall", F.col("day") * F.lit(_DAY) + F.col("clock"))
+
+    # A local time fits an instant if the zone's offset at that instant leads back to it.
+    wall, at = F.col("wall"), F.when(F.col("fixed").isNull(), F.col("zone"))
+    out = out.withColumns({"u1": wall - zone_offset(wall - F.lit(_DAY), at), "u2": wall - zone_offset(wall + F.lit(_DAY), at)})
+    out = out.withColumns({"v1": F.col("u1") + zone_offset(F.col("u1"), at) == wall, "v2": F.col("u2") + zone_offset(F.col("u2"), at) == wall})
+    unlike = F.col("u1") != F.col("u2")
+    size = F.length(F.regexp_replace("ep", "[+-]", ""))
+    scale = F.when(size == 19, F.lit(-3)).when(size == 16, F.lit(0)).when(size == 13, F.lit(3)).otherwise(F.lit(6))
+    finer = F.when(scale > 0, F.expr("substring(rpad(coalesce(epf, ''), 6, '0'), 1, CASE WHEN length(regexp_replace(ep, '[+-]', '')) = 13 THEN 3 ELSE 6 END)").cast("bigint")).otherwise(F.lit(0))
+    epoch = F.when(scale < 0, F.floor(F.col("ep").cast("decimal(20,0)") / 1000).cast("bigint")).otherwise(F.col("ep").cast("bigint") * F.when(scale == 3, 1000).when(scale == 6, 1_000_000).otherwise(1) + finer)
     status = (
-        F.when(~F.coalesce("_ok", F.lit(False)), "unparsed").when(F.col("_ep").isNotNull(), "ok").when(F.col("_unordered"), "day_order")
-        .when(F.col("_day").isNull(), "bad_date").when(F.col("_clock").isNull(), "bad_time").when(F.col("_fixed").isNotNull(), "ok")
-        .when(zone_.isNull(), F.when(z.isNull(), "no_zone").otherwise("unknown_zone"))
-        .when(local.isNotNull(), "ok").when(v1 & v2, "ambiguous").otherwise("skipped")
+        F.when(~F.coalesce("ok", F.lit(False)), "unparsed").when(F.col("ep").isNotNull(), "ok").when(F.col("unordered"), "day_order")
+        .when(F.col("day").isNull(), "bad_date").when(F.col("clock").isNull(), "bad_time").when(F.col("fixed").isNotNull(), "ok")
+        .when(F.col("zone").isNull(), F.when(F.col("z").isNull(), "no_zone").otherwise("unknown_zone"))
+        .when(F.col("v1") & F.col("v2") & unlike, "ambiguous").when(F.col("v1") | F.col("v2"), "ok").otherwise("skipped")
     )
-    value = F.when(F.col("_ep").isNotNull(), epoch).when(F.col("_fixed").isNotNull(), wall - F.col("_fixed") * 1_000_000).otherwise(local)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.when(status == "ok", value).alias("utc_micros"), status.alias("instant_status"))
+    out = out.withColumn("status", status)
+    value = F.when(F.col("ep").isNotNull(), epoch).when(F.col("fixed").isNotNull(), wall - F.col("fixed") * 1_000_000).when(F.col("v1"), F.col("u1")).otherwise(F.col("u2"))
+    return out.select("row.*", F.when(F.col("status") == "ok", value).alias("utc_micros"), F.col("status").alias("instant_status"))
 
 
 def release_instants(releases: DataFrame, feeds: DataFrame) -> DataFrame:
