@@ -62,7 +62,7 @@ def canonical(value) -> str:
         return "[" + ",".join(map(canonical, value)) + "]"
     if value is None or isinstance(value, bool):
         return {None: "~", True: "!t", False: "!f"}[value]
-    return "'" + _number(value if isinstance(value, Decimal) else Decimal(value))
+    return "'" + _number(value if isinstance(value, Decimal) else Decimal(repr(value)))
 
 
 def hash_records(df: DataFrame, key: str = "ord", text: str = "raw_json") -> DataFrame:
