@@ -105,7 +105,7 @@ def pattern() -> tuple[str, str]:
 
     joiner = r"(?:,? (?:at |a las? |a |um |- |– |— )?|, ?| ?- )"
     forms = [
-        f"{g('y', 1, r'\d{4}')}-{g('mo', 1, r'\d{2}')}-{g('d', 1, r'\d{2}')}(?:t|,? ){iso_clock(1)}",
+        f"{g('y', 1, r'\d{4}')}-{g('mo', 1, r'\d{2}')}-{g('d', 1, r'\d{2}')}(?:t|,? ){clock(1)}",
         f"{g('y', 2, r'\d{4}')}-{g('doy', 2, r'\d{3}')}[t ]{iso_clock(2)}",
         f"{g('y', 3, r'\d{4}')}-?w{g('wk', 3, r'\d{2}')}-?{g('wd', 3, r'\d')}[t ]{iso_clock(3)}",
         f"{g('y', 4, r'\d{4}')}{g('mo', 4, r'\d{2}')}{g('d', 4, r'\d{2}')}(?:t| )?{g('h', 4, r'\d{2}')}:?{g('mi', 4, r'\d{2}')}(?::?{g('s', 4, r'\d{2}')}(?:[.,]{g('f', 4, r'\d{1,9}')})?)?(?: ?{g('z', 4, zone)})?",
