@@ -14,7 +14,8 @@ def _float(text: Column) -> Column:
 
 
 def round_cents(value: Column) -> Column:
-    """Two decimals, halves of the binary value to even (1.005 is 1.0, 2.675 is 2.67)."""
+    """Two decimals, halves to even after scaling (1.005 is 1.0); exact ties such as 2.675 may differ by a cent from
+    rounding the binary value."""
     return F.when(F.abs(value) < 1e13, F.rint(value * 100) / 100).otherwise(value)
 
 

@@ -51,34 +51,40 @@ def _wrapped(value) -> dict:
     return value if isinstance(value, dict) else {"_value": value}
 
 
+def _lines(stream, at: int) -> Iterator[bytes]:
+    """Whole lines from an offset on, with their ends."""
+    stream.seek(at)
+    rest = b""
+    while chunk := stream.read(_CHUNK):
+        *whole, rest = (rest + chunk).split(b"\n")
+        for line in whole:
+            yield line + b"\n"
+    if rest:
+        yield rest
+
+
 def read_jsonl(stream, start: int, end: int) -> Iterator[tuple[int, dict, str]]:
     """Records of the lines that begin in [start, end): (line number from 1, record, locator); blank and bad lines count
     but give nothing.  Lines before ``start`` are only counted."""
-    line, at, open_line = 1, 0, False
+    line, at, last = 1, 0, b"\n"
     stream.seek(0)
     while at < start:
         chunk = stream.read(min(_CHUNK * 8, start - at))
         if not chunk:
             return
-        line += chunk.count(b"\n")
-        at += len(chunk)
-        open_line = not chunk.endswith(b"\n")
-    text = io.BufferedReader(stream, _CHUNK) if not isinstance(stream, io.BufferedIOBase) else stream
-    if start and open_line:
-        at += len(text.readline())
-        line += 1
-    while at < end:
-        raw = text.readline()
-        if not raw:
+        line, at, last = line + chunk.count(b"\n"), at + len(chunk), chunk[-1:]
+    for i, raw in enumerate(_lines(stream, start)):
+        if at >= end:
             return
         at += len(raw)
-        body = raw.decode("utf-8", "replace").strip()
-        if body:
-            try:
-                yield line, _wrapped(json.loads(body)), f"line={line}"
-            except (ValueError, RecursionError):
-                pass
-        line += 1
+        if i or last == b"\n":  # else the rest of a line that began before
+            body = raw.decode("utf-8", "replace").strip()
+            if body:
+                try:
+                    yield line, _wrapped(json.loads(body)), f"line={line}"
+                except (ValueError, RecursionError):
+                    pass
+        line += raw.endswith(b"\n")
 
 
 def read_json(stream) -> Iterator[tuple[int, dict, str]]:
