@@ -255,5 +255,8 @@ def release_instants(releases: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def found_instants(releases: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per release that names exactly one instant; rows of one release that disagree name none."""
-    one = release_instants(releases, feeds).where("utc_micros IS NOT NULL AND release_id IS NOT NULL")
-    return one.groupBy("release_id").agg(F.min("utc_micros").alias("utc_micros"), F.max("utc_micros").alias("_m")).where("utc_micros = _m").drop("_m")
+    # Filtering after the aggregation only: a filter on the instant ahead of it would be pushed down to the scan with the
+    # whole normalisation written out in it, and computed twice.
+    rows = release_instants(releases, feeds).where("release_id IS NOT NULL")
+    one = rows.groupBy("release_id").agg(F.min("utc_micros").alias("utc_micros"), F.max("utc_micros").alias("_m"))
+    return one.where("utc_micros = _m").drop("_m")

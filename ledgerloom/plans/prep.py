@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of all flat tables, with their parent links and fields."""
-    return shred.shred(table(spark, sf_dir, "raw_records"))
+    return shred.shred(table(spark, sf_dir, "raw_records")).withColumn("fields", F.to_json("fields"))
 
 
 def p2_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
