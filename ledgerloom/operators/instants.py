@@ -97,8 +97,8 @@ def pattern() -> tuple[str, str]:
     def clock(k: int) -> str:
         return (
             rf"(?:{g('noon', k, '(?:12 ?)?noon')}|{g('h', k, r'\d{1,2}')}(?::| ?h ?){g('mi', k, r'\d{2}')}(?::{g('s', k, r'\d{2}')}(?:[.,]{g('f', k, r'\d{1,9}')})?)?"
-            rf"(?: ?uhr| ?hrs?)?(?: ?{g('ap', k, r'[ap])\.?m\.?')})(?: ?{g('z', k, zone)})?"
-        ).replace(r"[ap])\.?m\.?)", r"[ap])\.?m\.?)?")
+            rf"(?: ?uhr| ?hrs?)?(?: ?{g('ap', k, '[ap]')}[.]?m[.]?(?![a-z]))?)(?: ?{g('z', k, zone)})?"
+        )
 
     def iso_clock(k: int) -> str:
         return rf"{g('h', k, r'\d{2}')}:{g('mi', k, r'\d{2}')}(?::{g('s', k, r'\d{2}')}(?:[.,]{g('f', k, r'\d{1,9}')})?)?(?: ?{g('z', k, zone)})?"
