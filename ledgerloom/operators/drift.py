@@ -132,7 +132,7 @@ def lifespans(cat: DataFrame) -> DataFrame:
     files = files.withColumn("last", F.max("at").over(Window.partitionBy("dir")))
     field = cat.where("path <> ''").groupBy("dir", "source_file", "path").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"))
     own = Window.partitionBy("dir", "path").orderBy("at")
-    field = field.join(files, ["dir", "source_file"])
+    field = field.join(files.hint("merge"), ["dir", "source_file"])
     field = field.withColumns({"before": F.lag("at").over(own), "kind_before": F.lag("kind").over(own), "next": F.lead("at").over(own)})
     starts = F.when((F.col("before") == F.col("at") - 1) & (F.col("kind_before") == F.col("kind")), 0).otherwise(1)
     return field.withColumn("island", F.sum(starts).over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -147,7 +147,8 @@ def _topmost(events: DataFrame) -> DataFrame:
     """Drop events on fields beneath a field that has an event in the same file."""
     named = events.withColumn("_up", F.explode(_ancestors(F.col("path")))).where("_up IS NOT NULL").select("dir", "at", "path", "_up")
     over = events.select("dir", "at", F.col("path").alias("_up")).distinct()
-    return events.join(named.join(over, ["dir", "at", "_up"]).select("dir", "at", "path").distinct(), ["dir", "at", "path"], "left_anti")
+    beneath = named.join(over.hint("merge"), ["dir", "at", "_up"]).select("dir", "at", "path").distinct()
+    return events.join(beneath.hint("merge"), ["dir", "at", "path"], "left_anti")
 
 
 def _similarity(df: DataFrame, repeating: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,22 +196,24 @@ def changes(df: DataFrame) -> DataFrame:
 
     old = events.where("event = 'removed'").select("dir", "at", "kind", F.col("path").alias("old"))
     new = events.where("event = 'added'").select("dir", "at", "kind", F.col("path").alias("new"))
-    pairs = old.join(new, ["dir", "at", "kind"])
+    # The catalogue and what follows from it grow with the files; as they compress well, their size on disk would have
+    # them broadcast, hence the hints.
+    pairs = old.join(new.hint("merge"), ["dir", "at", "kind"])
     present = life.select("dir", F.col("at").alias("_at"), "path")
-    both = pairs.join(present.withColumnRenamed("path", "old"), ["dir", "old"]).join(present.withColumnRenamed("path", "new"), ["dir", "new", "_at"])
-    pairs = cut(pairs.join(both.select("dir", "at", "old", "new").distinct(), ["dir", "at", "old", "new"], "left_anti"))
+    both = pairs.join(present.withColumnRenamed("path", "old").hint("merge"), ["dir", "old"]).join(present.withColumnRenamed("path", "new").hint("merge"), ["dir", "new", "_at"])
+    pairs = cut(pairs.join(both.select("dir", "at", "old", "new").distinct().hint("merge"), ["dir", "at", "old", "new"], "left_anti"))
 
     names = life.select("dir", "at", "source_file").distinct()
-    olds = pairs.join(names.withColumn("at", F.col("at") + 1).withColumnRenamed("source_file", "old_file"), ["dir", "at"])
-    pairs = olds.join(names.withColumnRenamed("source_file", "new_file"), ["dir", "at"])
+    olds = pairs.join(names.withColumn("at", F.col("at") + 1).withColumnRenamed("source_file", "old_file").hint("merge"), ["dir", "at"])
+    pairs = olds.join(names.withColumnRenamed("source_file", "new_file").hint("merge"), ["dir", "at"])
     wanted = pairs.select(F.col("old_file").alias("source_file"), F.col("old").alias("path")).union(pairs.select("new_file", "new")).distinct()
     hist = _similarity(df, repeating, wanted)
     share = F.col("n") / F.sum("n").over(Window.partitionBy("source_file", "path", "family"))
     hist = cut(hist.withColumn("share", share))
     # Bhattacharyya coefficient per family: the sum over buckets of the root of the product of shares.
-    left = pairs.join(hist.select(F.col("source_file").alias("old_file"), F.col("path").alias("old"), "family", "bucket", F.col("share").alias("_a")), ["old_file", "old"])
+    left = pairs.join(hist.select(F.col("source_file").alias("old_file"), F.col("path").alias("old"), "family", "bucket", F.col("share").alias("_a")).hint("merge"), ["old_file", "old"])
     right = hist.select(F.col("source_file").alias("new_file"), F.col("path").alias("new"), "family", "bucket", F.col("share").alias("_b"))
-    like = left.join(right, ["new_file", "new", "family", "bucket"]).groupBy("dir", "at", "old", "new", "family").agg(F.sum(F.sqrt(F.col("_a") * F.col("_b"))).alias("bc"))
+    like = left.join(right.hint("merge"), ["new_file", "new", "family", "bucket"]).groupBy("dir", "at", "old", "new", "family").agg(F.sum(F.sqrt(F.col("_a") * F.col("_b"))).alias("bc"))
     by = like.groupBy("dir", "at", "old", "new").agg(*[F.max(F.when(F.col("family") == x, F.col("bc"))).alias(x) for x in ("form", "word", "name")])
     content = F.coalesce("name", F.col("form") * 0.65 + F.coalesce("word", F.col("form")) * 0.35, F.col("word"))
     by = by.withColumn("content", content).where(F.col("content") >= ALIKE).withColumn("likeness", F.col("content") + _kinship(F.col("old"), F.col("new")))
@@ -218,8 +221,8 @@ def changes(df: DataFrame) -> DataFrame:
 
     renamed = renamed.select("dir", "at", F.col("old").alias("path"), F.col("new").alias("new_path"), F.lit("renamed").alias("event"))
     taken = renamed.select("dir", "at", "path", F.lit("removed").alias("event")).unionByName(renamed.select("dir", "at", F.col("new_path").alias("path"), F.lit("added").alias("event")))
-    plain = events.join(taken, ["dir", "at", "path", "event"], "left_anti").select("dir", "at", "path", F.lit("").alias("new_path"), "event")
-    out = plain.unionByName(renamed).join(files, ["dir", "at"])
+    plain = events.join(taken.hint("merge"), ["dir", "at", "path", "event"], "left_anti").select("dir", "at", "path", F.lit("").alias("new_path"), "event")
+    out = plain.unionByName(renamed).join(files.hint("merge"), ["dir", "at"])
     return out.select("source_group", "source_file", F.col("event").alias("change_kind"), F.col("path").alias("field_path"), "new_path")
 
 
