@@ -66,24 +66,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def query_scores(space_: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str) -> DataFrame:
-    """(query, key, score) of a stated set of queries against all rows, in blocks on the executors.
+def query_scores(space_: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int | None = None, block: int = 256) -> DataFrame:
+    """(query_id, row_id, score) of a stated set of queries against all rows, in blocks on the executors.
 
-    The queries are broadcast after a check of their number; each batch of rows is multiplied with all of them at once.
+    Queries are taken in blocks of ``block``; each block is broadcast and multiplied with every batch of rows, so neither
+    the driver's nor a task's memory grows with the number of queries at once.  With ``k`` a batch gives out only its own
+    k best rows of each query (ties by row), which is all that a later best-k can need.  Null vectors have no scores.
     """
     spark = space_.sparkSession
-    held = [(r[0], r[1]) for r in queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull()).orderBy(query_key).toLocalIterator()]
-    ids = np.array([h[0] for h in held])
-    matrix = spark.sparkContext.broadcast(np.array([h[1] for h in held], dtype=np.float64).reshape(len(held), -1))
-
-    def run(frames):
-        for f in frames:
-            if len(f) and len(ids):
-                sims = np.vstack(f["v"].to_numpy()).astype(np.float64) @ matrix.value.T
-                yield pd.DataFrame({"query_id": np.tile(ids, len(f)), "row_id": np.repeat(f["k"].to_numpy(), len(ids)), "score": sims.ravel()})
-
     kinds = dict(queries.dtypes)[query_key], dict(space_.dtypes)[key]
-    return space_.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(run, f"query_id {kinds[0]}, row_id {kinds[1]}, score double")
+    rows = space_.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL")
+
+    def scored(held: list[tuple]) -> DataFrame:
+        ids = np.array([h[0] for h in held])
+        matrix = spark.sparkContext.broadcast(np.array([h[1] for h in held], dtype=np.float64))
+
+        def run(frames):
+            for f in frames:
+                if not len(f):
+                    continue
+                own, sims = f["k"].to_numpy(), np.vstack(f["v"].to_numpy()).astype(np.float64) @ matrix.value.T
+                if k is None or len(own) <= k:
+                    yield pd.DataFrame({"query_id": np.tile(ids, len(own)), "row_id": np.repeat(own, len(ids)), "score": sims.ravel()})
+                else:
+                    best = [np.lexsort((own, -sims[:, q]))[:k] for q in range(len(ids))]
+                    yield pd.DataFrame({"query_id": np.repeat(ids, k), "row_id": np.concatenate([own[b] for b in best]), "score": np.concatenate([sims[b, q] for q, b in enumerate(best)])})
+
+        return rows.mapInPandas(run, f"query_id {kinds[0]}, row_id {kinds[1]}, score double")
+
+    out, held = None, []
+    for r in queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull()).orderBy(query_key).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            out, held = (scored(held) if out is None else out.unionByName(scored(held))), []
+    if held:
+        out = scored(held) if out is None else out.unionByName(scored(held))
+    return out if out is not None else spark.createDataFrame([], f"query_id {kinds[0]}, row_id {kinds[1]}, score double")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

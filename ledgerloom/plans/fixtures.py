@@ -410,7 +410,7 @@ _SCORES = """SELECT q.vec_id AS query_id, v.vec_id AS row_id, list_inner_product
 def cos_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     v = table(spark, d, "embeddings")
-    return semantic.top_k(semantic.query_scores(v, "vec_id", "embedding", _queries_of(v), "q", "qv"), 10).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+    return semantic.top_k(semantic.query_scores(v, "vec_id", "embedding", _queries_of(v), "q", "qv", k=10), 10).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
 @_query(f"WITH s AS ({_SCORES}) SELECT row_id, round(max(score), 6) AS score, arg_max(query_id, (score, -query_id)) AS query_id FROM s GROUP BY row_id")

@@ -211,13 +211,14 @@ def test_search_equals_numpy(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, e array<float>")
-    scores = semantic.query_scores(df, "id", "e", df.where("id < 3"), "id", "e")
-    top = semantic.top_k(scores, 4).collect()
+    scores = semantic.query_scores(df, "id", "e", df.where("id < 3"), "id", "e", block=2)
+    assert scores.count() == 180
+    top = semantic.top_k(semantic.query_scores(df, "id", "e", df.where("id < 3"), "id", "e", k=4, block=2), 4).collect()
     full = v.astype(np.float64) @ v[:3].T.astype(np.float64)
     assert {(r["query_id"], r["row_id"]) for r in top} == {(q, int(i)) for q in range(3) for i in np.argsort(-full[:, q], kind="stable")[:4]}
     best = {r["row_id"]: r["query_id"] for r in semantic.best_seed(scores).collect()}
     assert all(best[i] == int(np.argmax(full[i])) for i in range(60))
-    assert semantic.query_scores(df.limit(0), "id", "e", df, "id", "e").count() == 0
+    assert semantic.query_scores(df.limit(0), "id", "e", df, "id", "e").count() == 0 == semantic.query_scores(df, "id", "e", df.limit(0), "id", "e").count()
     a, b = df.where("id < 30"), df.where("id >= 30")
     sims = np.einsum("ij,ij->i", v[:30].astype(float), v[30:].astype(float))
     assert semantic.noise_floor(a, b, "e", "id") == pytest.approx(np.percentile(sims, 99.5))
