@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.shred import elements_of, find_repeating, opened, parse
+from ledgerloom.operators.shred import elements_of, find_repeating, opened, parse, shred
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
@@ -252,17 +252,18 @@ def _best_pairs(pairs: DataFrame) -> DataFrame:
 def alias_table(changed: DataFrame) -> DataFrame:
     """(dir, name, canonical): every name a field has had in a directory and the name it has at the end.
 
-    Renames form chains in file order, so the last name is found by following ``new_path``; a name renamed back to an
-    earlier one ends at itself.  As many rounds as the longest chain are made, on this schema-sized table.
+    Renames form chains in file order, so the last name is found by following ``new_path`` to later renames; a name
+    renamed back to an earlier one ends at itself.  Each round doubles the steps followed, until none is left.
     """
     step = changed.where("change_kind = 'renamed'").select(_directory(F.col("source_file")).alias("dir"), F.col("source_file").alias("since"), F.col("field_path").alias("name"), F.col("new_path").alias("to"))
-    last = step.groupBy("dir", "name").agg(F.max_by("to", "since").alias("canonical"), F.max("since").alias("since"))
-    for _ in range(8):
+    last = cut(step.groupBy("dir", "name").agg(F.max_by("to", "since").alias("canonical"), F.max("since").alias("since")))
+    while True:
         nxt = last.select("dir", F.col("name").alias("canonical"), F.col("canonical").alias("_to"), F.col("since").alias("_since"))
-        last = last.join(nxt, ["dir", "canonical"], "left")
-        later = F.col("_since") > F.col("since")
-        last = last.select("dir", "name", F.when(later, F.col("_to")).otherwise(F.col("canonical")).alias("canonical"), F.when(later, F.col("_since")).otherwise(F.col("since")).alias("since"))
-    return last.select("dir", "name", "canonical")
+        ahead = last.join(nxt.hint("merge"), ["dir", "canonical"], "left").withColumn("_on", F.coalesce(F.col("_since") > F.col("since"), F.lit(False)))
+        ahead = cut(ahead.select("dir", "name", F.when(F.col("_on"), F.col("_to")).otherwise(F.col("canonical")).alias("canonical"), F.when(F.col("_on"), F.col("_since")).otherwise(F.col("since")).alias("since"), "_on"))
+        last = ahead.drop("_on")
+        if not ahead.where("_on").limit(1).count():
+            return last.select("dir", "name", "canonical")
 
 
 def unified(df: DataFrame) -> DataFrame:
@@ -272,8 +273,6 @@ def unified(df: DataFrame) -> DataFrame:
     number and as flag, so no value is lost when a field changed type.  Scalars only; ``row`` holds the positions of the
     enclosing repeated objects.
     """
-    from ledgerloom.operators.shred import shred
-
     changed = cut(changes(df))
     rows = shred(_files(df)).join(df.select("ord", "source_file").dropDuplicates(["ord"]), "ord")
     cells = rows.select("ord", "source_group", "source_file", F.col("elem_pos").alias("row"), "child_path", F.explode("fields").alias("column", "text"))
