@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.texts import words
 from ledgerloom.operators.skew import broadcast_if_small
+from ledgerloom.session import cut
 
 SPAN = 20  # words in a row that make a case
 ONE_IN = 8  # at most one word in so many is replaced
@@ -34,6 +35,24 @@ def guaranteed_run(n: int) -> int:
     return min(runs)
 
 
+def least_hits(n: int, k: int, w: int) -> int:
+    """Fingerprints that a leaked stretch of an item of n words shares with the document at least, on one alignment.
+
+    A clean run of r words holds r-k-w+2 windows, and one fingerprint serves at most w of them.  The minimum is taken over
+    all lengths of a stretch and all ways its replaced words can split it.
+    """
+    shared = lambda r: -(-max(0, r - k - w + 2) // w)
+    fewest = None
+    for size in range(min(n, SPAN), max(min(n, SPAN), min(n, 2 * SPAN)) + 1):
+        gaps = size // ONE_IN
+        clean = size - gaps
+        best = [shared(r) for r in range(clean + 1)]
+        for _ in range(gaps):
+            best = [min(best[r - x] + shared(x) for x in range(r + 1)) for r in range(clean + 1)]
+        fewest = best[clean] if fewest is None else min(fewest, best[clean])
+    return max(1, fewest or 0)
+
+
 def strip_openings(texts: dict[int, list[str]]) -> dict[int, list[str]]:
     """Item words without an opening that items share: the longest start that at least ``SHARED_BY`` items have, and
     most of those that begin alike."""
@@ -109,7 +128,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     w = run - k + 1
     prints = [(h, i, q) for i, x in own.items() for hashes in [grams(x, k)] for q in winnow(hashes, w) for h in [hashes[q]]]
     of_items = spark.createDataFrame(prints, "h bigint, item_id bigint, q int")
-    bodies = spark.createDataFrame([(i, json.dumps(x)) for i, x in own.items()], "item_id bigint, body string")
+    bodies = spark.createDataFrame([(i, json.dumps(x), least_hits(len(x), k, w)) for i, x in own.items()], "item_id bigint, body string, least int")
 
     def fingerprint(batches):
         for batch in batches:
@@ -125,7 +144,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     of_docs = docs.mapInArrow(fingerprint, "doc_id bigint, at array<int>, hs array<bigint>")
     of_docs = of_docs.select("doc_id", F.explode(F.arrays_zip("at", "hs")).alias("x")).select("doc_id", F.col("x.at").alias("p"), F.col("x.hs").alias("h"))
-    hits = of_docs.join(broadcast_if_small(of_items), "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
+    # A pair of texts is looked at only on alignments with as many shared fingerprints as a case must leave.
+    aligned = of_docs.join(broadcast_if_small(of_items), "h").groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.count("*").alias("n"))
+    kept = aligned.join(broadcast_if_small(bodies.select("item_id", "least")), "item_id").where("n >= least")
+    hits = cut(kept.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts")))
 
     def check(batches):
         for batch in batches:
@@ -138,5 +160,5 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                     found.append((d, i))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "item_id"])
 
-    pairs = hits.join(broadcast_if_small(bodies), "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "body", "shifts")
+    pairs = docs.join(broadcast_if_small(hits), "doc_id").join(broadcast_if_small(bodies), "item_id").select("doc_id", "text", "item_id", "body", "shifts")
     return pairs.mapInArrow(check, "doc_id bigint, item_id bigint").distinct()

@@ -35,6 +35,11 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return rows.mapInArrow(run, "k bigint, n_tokens bigint").withColumnRenamed("k", key)
 
 
+def sizes_by_id(df: DataFrame) -> DataFrame:
+    """Token counts with one row per id; of an id that stands twice the longest text counts.  Only counts are shuffled."""
+    return token_counts(df).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def pieces(counts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """(key, piece, start, size): one piece per text, or full pieces and a rest if it is longer than the capacity."""
     k = F.ceil(F.col("n_tokens") / capacity).cast("int")
@@ -117,16 +122,16 @@ def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, size, container_id, at): every text of at least one token in its container.
 
     ``start`` is the piece's first token in the text, ``at`` its first in the container.  Ids that stand twice are packed
-    once.  Texts without tokens need no container and give no row; empty input gives none.
+    once, with their longest text.  Texts without tokens need no container and give no row; empty input gives none.
     """
-    items = cut(pieces(token_counts(df.dropDuplicates(["doc_id"])), capacity))
+    items = cut(pieces(sizes_by_id(df), capacity))
     histogram = {r[0]: r[1] for r in items.groupBy("size").count().toLocalIterator()}  # at most ``capacity`` rows
     return place(number_within(items, "size", ["doc_id", "piece"]), plan(histogram, capacity))
 
 
 def pack_harmonic(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, size, class_k, container_id): plain harmonic packing, k texts of class k per container."""
-    items = pieces(token_counts(df.dropDuplicates(["doc_id"])), capacity).withColumn("class_k", F.floor(F.lit(capacity) / F.col("size")).cast("int"))
+    items = pieces(sizes_by_id(df), capacity).withColumn("class_k", F.floor(F.lit(capacity) / F.col("size")).cast("int"))
     numbered = number_within(items, "class_k", ["doc_id", "piece"])
     container = F.col("class_k").cast("bigint") * F.lit(1 << 44) + F.floor(F.col("nth") / F.col("class_k"))
     return numbered.select("doc_id", "piece", "start", "size", "class_k", container.alias("container_id"))

@@ -32,6 +32,26 @@ def test_grams_depend_on_content_only():
     assert leakage.grams(a, 3)[1] == leakage.grams(b, 3)[2] and len(leakage.grams(a, 6)) == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(9, 45), st.integers(0, 10**6))
+def test_least_hits_is_a_lower_bound(n, seed):
+    """Any admissible leak shares at least that many fingerprints on its own alignment."""
+    rng = random.Random(seed)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    run = leakage.guaranteed_run(n)
+    k = min(4, run)
+    w = run - k + 1
+    size = min(n, leakage.SPAN)
+    part = list(item[:size])
+    for at in rng.sample(range(size), size // leakage.ONE_IN):
+        part[at] = "zzz"
+    doc = ["a", "b", *part, "c"]
+    hi, hd = leakage.grams(item, k), leakage.grams(doc, k)
+    on_item = {(hi[q], q + 2) for q in leakage.winnow(hi, w)}
+    hits = on_item & {(hd[p], p) for p in leakage.winnow(hd, w)}
+    assert len(hits) >= leakage.least_hits(n, k, w)
+
+
 def _leaks(doc, item):
     """Brute force over all alignments and stretches."""
     least = min(leakage.SPAN, len(item))
@@ -118,7 +138,7 @@ def test_packing_round_trip(spark):
     rng = random.Random(5)
     rows = [(i, "grant " * rng.choice((1, 30, 200, 700, 1100, 3000))) for i in range(200)] + [(500, None), (501, ""), (None, "x"), (7, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS size", "2 AS piece", "3 AS nth")
-    counts = {r[0]: r[1] for r in packing.token_counts(df.dropDuplicates(["doc_id"])).collect()}
+    counts = {r[0]: r[1] for r in packing.sizes_by_id(df).collect()}
     got = packing.pack(df).collect()
     by_doc, by_bin = {}, {}
     for r in got:
