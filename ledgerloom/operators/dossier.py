@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import safe_id, slug
+from ledgerloom.functions.text import safe_id
 
 _EVIDENCE = "array<struct<table:string,locators:array<struct<source_group:string,native_id:string>>,locator:struct<source_group:string,native_id:string>,source_group:string,native_id:string,values:map<string,string>,value:string>>"
 
@@ -93,8 +93,8 @@ def write_html(leads: DataFrame, path: str | Path, n: int = 50, excerpt: int = 6
     Path(path).write_text("<!doctype html><meta charset='utf-8'><title>Leads</title><table><tr><th>lead<th>detector<th>claim<th>evidence</tr>\n" + "\n".join(body) + "\n</table>\n", encoding="utf-8")
 
 
-def write_vault(leads: DataFrame, records: DataFrame, folder: str | Path, n: int = 50, lines: int = 150) -> None:
-    """Markdown notes of leads and their sources, linked both ways; the same input gives the same bytes."""
+def write_vault(leads: DataFrame, records: DataFrame, folder: str | Path, n: int = 50, lines: int = 150, entities: DataFrame | None = None) -> None:
+    """Markdown notes of leads, their sources and the entities they name, linked both ways; same input, same bytes."""
     folder = Path(folder)
     (folder / "leads").mkdir(parents=True, exist_ok=True), (folder / "sources").mkdir(exist_ok=True)
     top = top_leads(leads, n)
@@ -115,6 +115,14 @@ def write_vault(leads: DataFrame, records: DataFrame, folder: str | Path, n: int
         text = next((s["raw_json"] for s in named if (s["source_group"], s["native_id"]) == (group, native)), None) or "not in the store"
         body = [f"# {native}", "", f"group: {group}", "", "```", *text.splitlines()[:lines], "```", "", *[f"- [[lead-{i}]]" for i in sorted(set(back.get(f"{group}::{native}", [])))], ""]
         (folder / "sources" / f"{note}.md").write_text("\n".join(body), encoding="utf-8")
+    if entities is not None:
+        (folder / "entities").mkdir(exist_ok=True)
+        linked = backlinks(top, entities).join(entities.select("entity_id", "canonical_name"), "entity_id")
+        per: dict[tuple, list] = {}
+        for r in linked.collect():  # bounded by the exported leads
+            per.setdefault((r["entity_id"], r["canonical_name"]), []).append(r["lead_id"])
+        for (i, name), ids in sorted(per.items()):
+            (folder / "entities" / f"entity-{i}.md").write_text("\n".join([f"# {name}", "", *[f"- [[lead-{x}]]" for x in sorted(ids)], ""]), encoding="utf-8")
     (folder / "README.md").write_text("# Leads\n\n" + "\n".join(f"- [[lead-{r['lead_id']}]] {r['claim']}" for r in rows) + "\n", encoding="utf-8")
 
 
@@ -126,7 +134,3 @@ def write_bundle(leads: DataFrame, entities: DataFrame, aliases: DataFrame, reco
     spark = leads.sparkSession
     counts = [(name, str(spark.read.parquet(f"{folder}/{name}").count())) for name in ("leads", "entities", "aliases", "raw_records")]
     spark.createDataFrame(counts, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/bundle_manifest")
-
-
-def note_name(title, most: int = 56):
-    return slug(title, most)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.normalise import json_at
 from ledgerloom.operators.shred import parse
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
@@ -92,6 +93,34 @@ def field_stats(leaves: DataFrame, records: DataFrame, group: str = "source_grou
     return out.withColumns({"nonempty": F.coalesce("nonempty", F.lit(0)), "n_distinct": F.coalesce("n_distinct", F.lit(0))}).withColumn("fill", F.round(F.col("nonempty") / F.col("n_records"), 3))
 
 
+def exact_values(records: DataFrame, paths: list[str], group: str = "source_group", text: str = "raw_json") -> DataFrame:
+    """(grp, field, value): all distinct values of the named fields over whole groups, blanks trimmed and dropped.
+
+    A field inside a list is read from the list's first element, as joins are proved on one value per record.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.trim(json_at(F.col(text), p)).alias("value")) for p in paths]))
+    rows = records.select(F.col(group).alias("grp"), cells.alias("x")).select("grp", "x.field", "x.value")
+    return rows.where("value IS NOT NULL AND value <> ''").distinct()
+
+
+def loose_types(leaves: DataFrame, group: str = "source_group") -> DataFrame:
+    """(group, path, kind, n) with the loose labels of a first look: empty, bool, int, float, int_str, str."""
+    value = F.col("value")
+    label = (
+        F.when(value.isNull() | (value == ""), "empty").when(F.col("kind").isin("true", "false"), "bool").when(F.col("kind") == "integer", "int")
+        .when(F.col("kind") == "real", "float").when(value.rlike(r"^-?\d+$"), "int_str").otherwise("str")
+    )
+    return leaves.select(group, "path", label.alias("kind")).groupBy(group, "path", "kind").agg(F.count("*").alias("n"))
+
+
+def name_beside(stats: DataFrame, group: str = "source_group") -> DataFrame:
+    """(group, id_path, name_path): for each identifier candidate the fullest name field under the same parent."""
+    parent = F.regexp_replace("path", r"\.?[^.]*$", "")
+    ids = stats.where(is_id_candidate()).select(group, parent.alias("parent"), F.col("path").alias("id_path"))
+    names = stats.where(is_name_candidate()).select(group, parent.alias("parent"), F.col("path").alias("name_path"), "fill")
+    return ids.join(names, [group, "parent"]).groupBy(group, "id_path").agg(F.max_by("name_path", F.struct("fill", "name_path")).alias("name_path"))
+
+
 def is_id_candidate() -> Column:
     """Over ``field_stats``: an identifier by name with some variety, or nearly unique short values; 25 at least."""
     uniq = F.try_divide("n_distinct", "nonempty")

@@ -195,3 +195,21 @@ def rank_and_cap(scored: DataFrame, income: DataFrame, per_client: int = 3, top:
 def with_quarter(df: DataFrame, date: str) -> DataFrame:
     year, quarter = quarter_of(F.col(date).cast("string"))
     return df.withColumns({"year": year, "quarter": quarter})
+
+
+def semantic_leads(chosen: DataFrame, press: DataFrame, descriptions: DataFrame, run: str, detector: str = "semantic_bridge", cut_at: int = 240) -> DataFrame:
+    """Leads of the chosen pairs: both texts cut to ``cut_at`` characters, their locators, and how to repeat the search.
+
+    ``press`` and ``descriptions``: chunk, text, source_group, native_id.
+    """
+    p = press.select(F.col("chunk").alias("press_chunk"), F.substring("text", 1, cut_at).alias("_pt"), F.col("source_group").alias("_pg"), F.col("native_id").alias("_pi"))
+    d = descriptions.select(F.col("chunk").alias("description_chunk"), F.substring("text", 1, cut_at).alias("_dt"), F.col("source_group").alias("_dg"), F.col("native_id").alias("_di"))
+    rows = broadcast_if_small(chosen).join(p, "press_chunk").join(d, "description_chunk")
+    item = lambda t, g, i, v: F.struct(F.lit(t).alias("table"), F.array(F.struct(F.col(g).alias("source_group"), F.col(i).alias("native_id"))).alias("locators"), F.struct(F.col(v).alias("value")).alias("values"))
+    claim = F.concat("member", F.lit(" speaks as "), "client", F.lit(" lobbies: "), F.format_string("similarity %.3f, margin %.3f", "sim", "margin"))
+    repeat = F.concat(F.lit("anchored_scores member="), "member", F.lit(" client="), "client")
+    return rows.select(
+        F.lit(detector).alias("detector_id"), F.lit("semantic").alias("template"), F.lit("meaning").alias("signal_type"), claim.alias("claim"), F.col("rank").alias("score"), F.lit(None).cast("double").alias("rank_score"),
+        F.lit("new").alias("status"), F.lit(0).alias("legal_flag"), F.lit("named_person").alias("defamation_tier"), F.to_json(F.array(item("press", "_pg", "_pi", "_pt"), item("descriptions", "_dg", "_di", "_dt"))).alias("evidence"),
+        F.to_json(F.struct(repeat.alias("repeat"))).alias("params"), F.lit('["Shared topic of the day", "Same public source quoted by both"]').alias("innocent_explanations"), F.lit(run).alias("created_run"),
+    )

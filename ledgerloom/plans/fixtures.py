@@ -230,6 +230,35 @@ def composite_key(spark: SparkSession, d: str) -> DataFrame:
     return out.select("group_a", "field_a", "group_b", "field_b", "n_a", "n_common", "reliability")
 
 
+@_query("""
+    SELECT DISTINCT source_group AS grp, f.field AS field, trim(json_extract_string(raw_json, f.p)) AS value
+    FROM raw_records, (VALUES ('id', '$.id'), ('recipient.vendor_ref', '$.recipient.vendor_ref'), ('vendor_ref', '$.vendor_ref')) f(field, p)
+    WHERE json_valid(raw_json) AND json_type(raw_json, f.p) = 'VARCHAR' AND trim(json_extract_string(raw_json, f.p)) <> ''""")
+def exact_values(spark: SparkSession, d: str) -> DataFrame:
+    """All distinct values of three identifier fields over whole groups."""
+    raw = table(spark, d, "raw_records").where(F.try_parse_json("raw_json").isNotNull())
+    return profile.exact_values(raw, ["id", "recipient.vendor_ref", "vendor_ref"])
+
+
+@_query("""
+    WITH v AS (SELECT DISTINCT source_group AS g, trim(json_extract_string(raw_json, '$.id')) AS value FROM raw_records WHERE json_valid(raw_json) AND json_type(raw_json, '$.id') = 'VARCHAR'),
+    k AS (SELECT * FROM v WHERE value <> ''), n AS (SELECT g, count(*) AS n_a FROM k GROUP BY g HAVING count(*) >= 25)
+    SELECT a.g AS group_a, b.g AS group_b, max(n.n_a) AS n_a, count(*) AS n_common FROM k a JOIN k b ON a.value = b.value AND a.g <> b.g JOIN n ON n.g = a.g JOIN n m ON m.g = b.g
+    GROUP BY a.g, b.g""")
+def record_containment(spark: SparkSession, d: str) -> DataFrame:
+    """How many identifiers of one group of records stand in another, whatever the share."""
+    raw = table(spark, d, "raw_records").where(F.try_parse_json("raw_json").isNotNull())
+    return profile.containment(profile.exact_values(raw, ["id"]), least=0.0).select("group_a", "group_b", "n_a", "n_common")
+
+
+def loose_types(spark: SparkSession, d: str) -> DataFrame:
+    """Loose type labels of all fields, as a first look gives them."""
+    return profile.loose_types(profile.flatten(table(spark, d, "raw_records")))
+
+
+QUERIES["loose_types"] = loose_types
+
+
 # --- normalisation ------------------------------------------------------------------------------------------------
 
 
@@ -463,6 +492,18 @@ def anchored_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("member", "client", "quarter", "press_chunk", "description_chunk", F.round("sim", 5).alias("sim"), F.round("margin", 5).alias("margin"))
 
 
+def bridge_leads(spark: SparkSession, d: str) -> DataFrame:
+    """Leads of the anchored pairs, ranked, capped per client and cut to the top."""
+    ties, press, descriptions = _bridge(spark, d)
+    scored = semantic.anchored_scores(ties, press, descriptions, float("-inf"))
+    chosen = semantic.rank_and_cap(scored, spark.createDataFrame([], "client string, income double"))
+    texts = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.concat(F.lit("text "), "vec_id").alias("text"), F.lit("embeddings").alias("source_group"), F.col("vec_id").cast("string").alias("native_id"))
+    return semantic.semantic_leads(chosen, texts, texts, "run-1")
+
+
+QUERIES["bridge_leads"] = bridge_leads
+
+
 @_query("""
     WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS n FROM lineitem)
     SELECT l_suppkey, l_extendedprice, CAST(n AS INTEGER) AS n FROM r WHERE n <= 3""")

@@ -258,6 +258,11 @@ def load(records: DataFrame, store: str) -> int:
     return new.count()
 
 
+def meta(spark: SparkSession, root: str, version: str = "1") -> DataFrame:
+    """(key, value): what a store was built from."""
+    return spark.createDataFrame([("schema_version", version), ("corpus_root", root)], "key string, value string")
+
+
 def reconcile(records: DataFrame) -> DataFrame:
     return records.groupBy("source_group").agg(F.count("*").alias("n_records"))
 

@@ -172,6 +172,9 @@ def test_profile_statistics(spark):
     assert set(rows) == {"id", "name", "l[].x"}
     assert rows["id"]["n_distinct"] == 30 and rows["id"]["idc"] and rows["name"]["nc"] and not rows["name"]["idc"]
     assert rows["l[].x"]["types"] == {"empty": 30, "integer": 30}
+    assert {(r["path"], r["kind"]): r["n"] for r in profile.loose_types(profile.flatten(raw)).collect()} == {("id", "str"): 30, ("name", "str"): 30, ("l[].x", "int"): 30, ("l[].x", "empty"): 30}
+    assert {(r["field"], r["value"]) for r in profile.exact_values(raw, ["name", "l[].x"]).where("field = 'name' OR value = '3'").collect()} == {("name", "A"), ("l[].x", "3")}
+    assert profile.name_beside(profile.field_stats(profile.flatten(raw), raw)).first()["name_path"] == "name"
     assert "## g" in profile.report([r.asDict() for r in rows.values()], [])
     sample = profile.spread_sample(spark.range(100).select(F.lit("a").alias("g"), "id"), "g", "id", 10)
     assert sorted(r["id"] for r in sample.collect()) == list(range(0, 100, 10))
@@ -242,11 +245,11 @@ def test_dossier_is_repeatable(spark, tmp_path):
     assert {r["native_id"] for r in dossier.bundle_records(leads, raw).collect()} == {"1", "2"}
     assert {tuple(r) for r in dossier.backlinks(leads, ents).collect()} == {(1, 1)}
     for k in ("a", "b"):
-        dossier.write_vault(leads, raw, tmp_path / k)
+        dossier.write_vault(leads, raw, tmp_path / k, entities=ents)
         dossier.write_csv(leads, tmp_path / f"{k}.csv")
         dossier.write_html(leads, tmp_path / f"{k}.html")
     files = lambda k: {p.relative_to(tmp_path / k): p.read_bytes() for p in (tmp_path / k).rglob("*.md")}
-    assert files("a") == files("b") and len(files("a")) >= 5
+    assert files("a") == files("b") and len(files("a")) >= 6
     assert (tmp_path / "a.csv").read_bytes() == (tmp_path / "b.csv").read_bytes() and b"&lt;b&gt;" in (tmp_path / "a.html").read_bytes()
     dossier.write_bundle(leads, ents, spark.createDataFrame([(1, "x")], "entity_id long, raw_name string"), raw, str(tmp_path / "bundle"))
     assert {r["key"]: r["value"] for r in spark.read.parquet(str(tmp_path / "bundle/bundle_manifest")).collect()}["raw_records"] == "2"
