@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: dict[int, str] = {}
+_folders: set[str] = set()
+
+
+@atexit.register
+def _tidy() -> None:
+    """Remove this application's written tables at the end, where the folder is reachable as a plain path."""
+    for folder in _folders:
+        path = folder.removeprefix("file://")
+        if "://" not in path:
+            shutil.rmtree(path, ignore_errors=True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,7 +58,9 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint keeps the estimates of the plan it replaces, which multiply from round to round of an iteration.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    _folders.add(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _written[id(back)] = path
