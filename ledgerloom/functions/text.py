@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The start or end of a word in any script; the JVM's own ``\b`` takes only plain letters as letters.
+WORD_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 # Words dropped as legal form when entities are resolved.
-LEGAL_FORM = r"(?i)\b(l\.?l\.?c|l\.?l\.?p|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|pllc|pc|the)\b"
+LEGAL_FORM = rf"(?iu){WORD_EDGE}(l\.?l\.?c|l\.?l\.?p|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|pllc|pc|the){WORD_EDGE}"
 # Words dropped from the end of a name that is searched for in running text.
 TRAILING_FORMS = ["inc", "inc.", "llc", "llp", "l.l.c.", "lp", "ltd", "ltd.", "corp", "corp.", "corporation", "co", "co.", "company", "plc", "n.a.", "na", "the"]
 

@@ -294,8 +294,9 @@ def apply_status_events(leads: DataFrame, events: DataFrame, key: str = "lead_id
 def rank_leads(leads: DataFrame) -> DataFrame:
     """Fill ``rank_score`` with the score's share of its detector's largest score, an extension; existing ones stay.
 
-    The maximum is aggregated and joined back, so a detector with very many leads is never sorted in one task.
+    A score that is not a number ranks like a missing one.  The maximum is aggregated and joined back, so a detector with very many leads is never sorted in one task.
     """
     most = leads.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("detector_id").agg(F.max("score").alias("_most"))
-    share = F.when(F.col("_most") > 0, F.col("score") / F.col("_most"))
-    return leads.join(broadcast_if_small(most), "detector_id", "left").withColumn("rank_score", F.coalesce("rank_score", share)).drop("_most")
+    share = F.when((F.col("_most") > 0) & ~F.isnan("score"), F.col("score") / F.col("_most"))
+    own = F.nanvl("rank_score", F.lit(None).cast("double"))
+    return leads.join(broadcast_if_small(most), "detector_id", "left").withColumn("rank_score", F.coalesce(own, share)).drop("_most")

@@ -15,8 +15,9 @@ _EVIDENCE = "array<struct<table:string,locators:array<struct<source_group:string
 
 
 def top_leads(leads: DataFrame, n: int = 50) -> DataFrame:
-    """The first leads by rank, then score, then id; nulls last."""
-    return leads.orderBy(F.desc_nulls_last("rank_score"), F.desc_nulls_last("score"), "lead_id").limit(n)
+    """The first leads by rank, then score, then id; nulls and what is not a number last."""
+    value = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    return leads.orderBy(F.desc_nulls_last(value("rank_score")), F.desc_nulls_last(value("score")), "lead_id").limit(n)
 
 
 def evidence_rows(leads: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def backlinks(leads: DataFrame, entities: DataFrame, least_length: int = 5) -> D
     text = leads.select("lead_id", F.lower("claim").alias("t")).where(F.length("t") >= least_length)
     at = F.explode(F.sequence(F.lit(1), F.length("t") - least_length + 1))
     grams = text.select("lead_id", "t", at.alias("p")).select("lead_id", "t", F.substring("t", F.col("p"), F.lit(least_length)).alias("g")).distinct()
-    names = entities.select("entity_id", F.lower("canonical_name").alias("n")).where(F.length("n") >= least_length).withColumn("g", F.substring("n", 1, least_length))
+    names = entities.where(F.length("canonical_name") >= least_length).select("entity_id", F.lower("canonical_name").alias("n")).withColumn("g", F.substring("n", 1, least_length))
     return grams.join(names, "g").where(F.contains("t", "n")).select("entity_id", "lead_id").distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import name_tokens, norm_aggressive, norm_light
+from ledgerloom.functions.text import WORD_EDGE, name_tokens, norm_aggressive, norm_light
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut, free
 
@@ -42,7 +42,7 @@ def cluster(mentions: DataFrame, least_length: int = 5, composites: list[str] |
 
 
 def _keyed(mentions: DataFrame, least_length: int, composites: list[str] | None) -> DataFrame:
-    pattern = "(?i)" + "|".join(composites or COMPOSITE_PATTERNS)
+    pattern = "(?iu)" + "|".join(composites or COMPOSITE_PATTERNS).replace(r"\b", WORD_EDGE)
     norm = norm_aggressive(F.col("raw_name"))
     is_composite = F.col("raw_name").rlike(pattern)
     return mentions.withColumns({"is_intermediary_composite": is_composite.cast("int"), "norm_key": F.when(~is_composite & (F.length(norm) >= least_length), norm)})

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import quarter_of
+from ledgerloom.functions.text import WORD_EDGE, quarter_of
 from ledgerloom.operators.skew import broadcast_if_small
 
 # Wording that makes a text specific, and capitalised words that do not.
-BILL = r"\b[HS]\.?\s?[RJ]?\.?\s?\d{1,5}\b"
-CAPITALISED = r"\b[A-Z][A-Za-z0-9&.\-]{2,}\b"
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]?"
+BILL = rf"{WORD_EDGE}[HS]\.?{_BLANK}[RJ]?\.?{_BLANK}\p{{Nd}}{{1,5}}{WORD_EDGE}"
+CAPITALISED = rf"{WORD_EDGE}[A-Z][A-Za-z0-9&.\-]{{2,}}{WORD_EDGE}"
 COMMON_CAPITALISED = ["The", "This", "Act", "Bill", "Issues", "House", "Senate", "Congress", "Federal", "United", "States", "General", "All"]
 _SPACE = r"[\s\u0085   -     　\u001c-\u001f]+"
 

@@ -23,6 +23,12 @@ def _query(sql: str | None):
     return add
 
 
+def _whole(f):
+    """A query over its whole table, beside one whose SQL covers only the rows on which the engines agree."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 def _money_of_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(detectors.exact_sum(F.col("l_extendedprice")).alias("line_total"))
     return lines
@@ -127,8 +133,17 @@ def leads_once(spark: SparkSession, d: str) -> DataFrame:
     SELECT l.lead_id, l.detector_id, round(max(coalesce(rank_score, CASE WHEN most > 0 THEN score / most END)), 9) AS rank_score
     FROM leads l LEFT JOIN m ON l.detector_id = m.detector_id WHERE score IS NULL OR NOT isnan(score) GROUP BY l.lead_id, l.detector_id""")
 def rank_leads(spark: SparkSession, d: str) -> DataFrame:
-    ranked = detectors.rank_leads(table(spark, d, "leads").where("score IS NULL OR NOT isnan(score)"))
-    return ranked.groupBy("lead_id", "detector_id").agg(F.round(F.max("rank_score"), 9).alias("rank_score"))
+    return _ranked(table(spark, d, "leads").where("score IS NULL OR NOT isnan(score)"))
+
+
+@_whole
+def rank_leads_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All leads; those whose score is not a number have no rank of their own."""
+    return _ranked(table(spark, d, "leads"))
+
+
+def _ranked(leads: DataFrame) -> DataFrame:
+    return detectors.rank_leads(leads).groupBy("lead_id", "detector_id").agg(F.round(F.max("rank_score"), 9).alias("rank_score"))
 
 
 # --- sources and records ------------------------------------------------------------------------------------------
@@ -288,10 +303,20 @@ def union_sources(spark: SparkSession, d: str) -> DataFrame:
         AND regexp_full_match(coalesce(json_extract_string(raw_json, '$.amount'), ''), '[-+$0-9.,]*')""")
 def to_money(spark: SparkSession, d: str) -> DataFrame:
     """Payment amounts as money: dollar signs and commas dropped, empty and absent amounts null."""
-    raw = table(spark, d, "raw_records").where("source_group = '.csv::payments/#/#-#.csv'").where(F.try_parse_json("raw_json").isNotNull())
+    return _payments(table(spark, d, "raw_records")).where(F.col("as_written").rlike(r"^[-+$0-9.,]*$")).drop("as_written")
+
+
+@_whole
+def to_money_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All payment amounts as money; what cannot be read is null."""
+    return _payments(table(spark, d, "raw_records")).drop("as_written")
+
+
+def _payments(raw: DataFrame) -> DataFrame:
+    raw = raw.where("source_group = '.csv::payments/#/#-#.csv'").where(F.try_parse_json("raw_json").isNotNull())
     amount = normalise.json_at(F.col("raw_json"), "amount")
     rows = raw.select("ord", normalise.json_at(F.col("raw_json"), "id").alias("payment_id"), coerce.to_money(amount).alias("amount"), F.coalesce(amount, F.lit("")).alias("as_written"))
-    return rows.where(coerce.to_text(F.col("payment_id")).isNotNull() & F.col("as_written").rlike(r"^[-+$0-9.,]*$")).drop("as_written")
+    return rows.where(coerce.to_text(F.col("payment_id")).isNotNull())
 
 
 @_query("SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS price FROM part")
@@ -342,7 +367,17 @@ _SUFFIX = r"\b(l\.?l\.?c|l\.?l\.?p|inc|incorporated|corp|corporation|co|company|
     FROM (SELECT DISTINCT entity_id, raw_name FROM aliases) WHERE regexp_full_match(raw_name, '[ -~]*')""")
 def norm_key(spark: SparkSession, d: str) -> DataFrame:
     """Normal forms of all names in plain letters (regular-expression engines differ on word ends beside others)."""
-    names = table(spark, d, "aliases").select("entity_id", "raw_name").distinct().where(F.col("raw_name").rlike("^[ -~]*$"))
+    return _norm_keys(table(spark, d, "aliases").where(F.col("raw_name").rlike("^[ -~]*$")))
+
+
+@_whole
+def norm_key_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Normal forms of all names."""
+    return _norm_keys(table(spark, d, "aliases"))
+
+
+def _norm_keys(filed: DataFrame) -> DataFrame:
+    names = filed.select("entity_id", "raw_name").distinct()
     return names.select("entity_id", "raw_name", text.norm_aggressive(F.col("raw_name")).alias("norm_key"), text.norm_light(F.col("raw_name")).alias("light"))
 
 
@@ -352,7 +387,17 @@ def norm_key(spark: SparkSession, d: str) -> DataFrame:
     SELECT entity_type, k AS norm_key, arg_min(raw_name, (-n, raw_name)) AS canonical_name, CAST(sum(n) AS BIGINT) AS n_mentions
     FROM m WHERE length(k) >= 5 AND NOT regexp_matches(raw_name, '(?i)\bon behalf of\b|\bas fiscal sponsor for\b') GROUP BY entity_type, k""")
 def entity_clusters(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "aliases").where(F.col("entity_type").isin("org", "person") & F.col("raw_name").rlike("^[ -~]*$")).groupBy("entity_type", "raw_name").agg(F.sum("n_mentions").alias("n_mentions"))
+    return _clusters(table(spark, d, "aliases").where(F.col("raw_name").rlike("^[ -~]*$")))
+
+
+@_whole
+def entity_clusters_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of all names."""
+    return _clusters(table(spark, d, "aliases"))
+
+
+def _clusters(filed: DataFrame) -> DataFrame:
+    names = filed.where(F.col("entity_type").isin("org", "person")).groupBy("entity_type", "raw_name").agg(F.sum("n_mentions").alias("n_mentions"))
     return entities.cluster(names).where("norm_key IS NOT NULL").select("entity_type", "norm_key", "canonical_name", F.col("n_mentions").cast("bigint").alias("n_mentions"))
 
 
@@ -381,6 +426,12 @@ def jaccard(spark: SparkSession, d: str) -> DataFrame:
     return entities.token_candidates(table(spark, d, "entities").where(F.col("canonical_name").rlike("^[ -~]*$"))).select("entity_id_a", "entity_id_b", "score")
 
 
+@_whole
+def jaccard_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Token candidates among all entities, by the documented rule."""
+    return entities.token_candidates(table(spark, d, "entities")).select("entity_id_a", "entity_id_b", "score")
+
+
 @_query("""
     WITH RECURSIVE known AS (SELECT entity_id FROM entities),
     pairs AS (SELECT entity_id_a AS a, entity_id_b AS b FROM entity_merge_candidates WHERE status = 'confirmed' AND entity_id_a IN (FROM known) AND entity_id_b IN (FROM known) AND entity_id_a <> entity_id_b),
@@ -412,8 +463,17 @@ QUERIES["mention"] = mention
     SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN len(ws) <= 170 THEN text ELSE array_to_string(ws[i * 130 + 1 : i * 130 + 170], ' ') END AS chunk FROM c""")
 def chunker(spark: SparkSession, d: str) -> DataFrame:
     """Word windows of all texts in plain letters (engines differ on what else is white space)."""
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"^[ -~\n\r\t]*$"))
-    return docs.select("doc_id", F.posexplode(semantic.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return _chunked(table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n\r\t]*$")))
+
+
+@_whole
+def chunker_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Word windows of all texts."""
+    return _chunked(table(spark, d, "documents"))
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(semantic.chunks(F.col("text"))).alias("chunk_index", "chunk"))
 
 
 @_query("""
@@ -453,8 +513,17 @@ def seeds_max(spark: SparkSession, d: str) -> DataFrame:
         ('The', 'This', 'Act', 'Bill', 'Issues', 'House', 'Senate', 'Congress', 'Federal', 'United', 'States', 'General', 'All'))) > 0 AS specific
     FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\n\r\t]*')""")
 def specificity(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"^[ -~\n\r\t]*$"))
-    return docs.select("doc_id", semantic.is_specific(F.col("text")).alias("specific"))
+    return _judged(table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n\r\t]*$")))
+
+
+@_whole
+def specificity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a text is specific, for all texts."""
+    return _judged(table(spark, d, "documents"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL").select("doc_id", semantic.is_specific(F.col("text")).alias("specific"))
 
 
 @_query("""
@@ -537,6 +606,12 @@ def backlinks(spark: SparkSession, d: str) -> DataFrame:
     return dossier.backlinks(table(spark, d, "leads").where(plain("claim")).select("lead_id", "claim").distinct(), table(spark, d, "entities").where(plain("canonical_name")))
 
 
+@_whole
+def backlinks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Backlinks of all claims to all names."""
+    return dossier.backlinks(table(spark, d, "leads").select("lead_id", "claim").distinct(), table(spark, d, "entities"))
+
+
 @_query("""
     WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)
     SELECT p_partkey, CASE WHEN s = '' THEN 'untitled' ELSE rtrim(substr(s, 1, 60), '-') END AS slug FROM s""")
@@ -558,6 +633,12 @@ def top_leads(spark: SparkSession, d: str) -> DataFrame:
     return dossier.top_leads(leads).select("lead_id", "claim")
 
 
+@_whole
+def top_leads_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty leads out of all; scores that are not numbers come last, with the missing ones."""
+    return dossier.top_leads(table(spark, d, "leads").select("lead_id", "claim", "rank_score", "score").distinct()).select("lead_id", "claim")
+
+
 @_query("""
     SELECT name, coalesce(a, b) AS entity_id FROM (SELECT DISTINCT upper(raw_name) AS name, lower(upper(raw_name)) AS n FROM aliases WHERE regexp_full_match(raw_name, '[ -~]*')) w
     LEFT JOIN (SELECT lower(canonical_name) AS n, min(entity_id) AS a FROM entities GROUP BY 1) o ON w.n = o.n
@@ -567,6 +648,13 @@ def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     return dossier.entity_of_name(filed.where(F.col("raw_name").rlike("^[ -~]*$")).select(F.upper("raw_name").alias("name")), table(spark, d, "entities"), filed)
 
 
+@_whole
+def entity_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All names looked up as written (upper case does not lead back to every letter)."""
+    filed = table(spark, d, "aliases")
+    return dossier.entity_of_name(filed.select(F.col("raw_name").alias("name")), table(spark, d, "entities"), filed)
+
+
 # --- streams, run as batches --------------------------------------------------------------------------------------
 
 
