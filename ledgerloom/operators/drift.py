@@ -271,10 +271,10 @@ def unified(df: DataFrame) -> DataFrame:
 
     A field stands under its directory's last name for it.  Its value is kept as text and, where it can be read so, as
     number and as flag, so no value is lost when a field changed type.  Scalars only; ``row`` holds the positions of the
-    enclosing repeated objects.
+    enclosing repeated objects.  Files outside any series, XML files of one record each among them, are in it too.
     """
     changed = cut(changes(df))
-    rows = shred(_files(df)).join(df.select("ord", "source_file").dropDuplicates(["ord"]), "ord")
+    rows = shred(df).join(df.select("ord", "source_file").dropDuplicates(["ord"]), "ord")
     cells = rows.select("ord", "source_group", "source_file", F.col("elem_pos").alias("row"), "child_path", F.explode("fields").alias("column", "text"))
     path = F.when(F.col("child_path") == "", F.col("column")).otherwise(F.concat("child_path", F.lit("."), "column"))
     cells = cells.withColumns({"dir": _directory(F.col("source_file")), "name": path})
