@@ -266,10 +266,32 @@ def alias_table(changed: DataFrame) -> DataFrame:
             return last.select("dir", "name", "canonical")
 
 
+def _by_directory(alias: DataFrame) -> DataFrame:
+    """(dir, aliases): the changed names of each directory, longest first."""
+    entry = F.struct((-F.length("name")).alias("order"), "name", "canonical")
+    return alias.where("name <> canonical").groupBy("dir").agg(F.array_sort(F.collect_list(entry)).alias("aliases"))
+
+
+def _last_name(path: Column, aliases: Column) -> Column:
+    """A path with the last name of its longest renamed prefix, again and again until none is left.
+
+    Each name is replaced once at most, so as many rounds as there are names are enough and end in any case.
+    """
+    at = lambda p, a: (p == a["name"]) | F.startswith(p, F.concat(a["name"], F.lit(".")))
+
+    def step(state: Column, _: Column) -> Column:
+        hit = F.get(F.filter(state["left"], lambda a: at(state["path"], a)), F.lit(0))
+        renamed = F.concat(hit["canonical"], F.substring(state["path"], F.length(hit["name"]) + 1, F.length(state["path"])))
+        return F.when(hit.isNull(), state).otherwise(F.struct(renamed.alias("path"), F.filter(state["left"], lambda a: a["name"] != hit["name"]).alias("left")))
+
+    walked = F.aggregate(aliases, F.struct(path.alias("path"), aliases.alias("left")), step)
+    return F.when(F.exists(aliases, lambda a: at(path, a)), walked["path"]).otherwise(path)
+
+
 def unified(df: DataFrame) -> DataFrame:
     """One table over all files: (ord, source_group, source_file, row, field, kind, text, number, flag).
 
-    A field stands under its directory's last name for it.  Its value is kept as text and, where it can be read so, as
+    A field stands under its directory's last name for it, and for what encloses it.  Its value is kept as text and, where it can be read so, as
     number and as flag, so no value is lost when a field changed type.  Scalars only; ``row`` holds the positions of the
     enclosing repeated objects.  Files outside any series, XML files of one record each among them, are in it too.
     """
@@ -278,11 +300,10 @@ def unified(df: DataFrame) -> DataFrame:
     cells = rows.select("ord", "source_group", "source_file", F.col("elem_pos").alias("row"), "child_path", F.explode("fields").alias("column", "text"))
     path = F.when(F.col("child_path") == "", F.col("column")).otherwise(F.concat("child_path", F.lit("."), "column"))
     cells = cells.withColumns({"dir": _directory(F.col("source_file")), "name": path})
-    alias = broadcast_if_small(alias_table(changed))
-    cells = cells.join(alias, ["dir", "name"], "left")
+    cells = cells.join(broadcast_if_small(_by_directory(alias_table(changed))), "dir", "left").withColumn("field", _last_name(F.col("name"), F.col("aliases")))
     plain = F.regexp_replace("text", "[$,\\s]", "")
     return cells.select(
-        "ord", "source_group", "source_file", "row", F.coalesce("canonical", "name").alias("field"), "text",
+        "ord", "source_group", "source_file", "row", "field", "text",
         F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain).try_cast("double").alias("number"),
         F.when(F.lower("text").isin("true", "yes", "y"), True).when(F.lower("text").isin("false", "no", "n"), False).alias("flag"),
     )

@@ -1,6 +1,6 @@
 import json
 
-from ledgerloom.operators.drift import unified
+from ledgerloom.operators.drift import _last_name, unified
 
 
 def _df(spark, files):
@@ -12,3 +12,22 @@ def test_xml_files_are_in_the_one_table(spark):
     files = {"d/1.jsonl": [{"id": "a"}] * 3, "v/1.xml": [{"VENDOR": {"reg_no": "7", "officers": [{"name": "Ann"}, {"name": "Bob"}]}}], "d/2.XML": [{"id": "x"}]}
     got = {(r["source_file"], r["field"], r["row"], r["text"]) for r in unified(_df(spark, files)).collect()}
     assert got == {("d/1.jsonl", "id", "", "a"), ("v/1.xml", "VENDOR.reg_no", "", "7"), ("v/1.xml", "VENDOR.officers[].name", "0", "Ann"), ("v/1.xml", "VENDOR.officers[].name", "1", "Bob"), ("d/2.XML", "id", "", "x")}
+
+
+def test_fields_of_renamed_objects_and_lists_share_one_name(spark):
+    old = [{"id": f"R-{i}", "program": {"title": f"Arts {i}", "code": f"A{i}"}, "amendments": [{"on": "2020-01-02", "delta": i}, {"on": "2020-02-03", "delta": 1}]} for i in range(8)]
+    new = [{"id": f"R-{i}", "programme": {"title": f"Arts {i}", "code": f"A{i}"}, "changes": [{"on": "2020-01-02", "delta": i}, {"on": "2020-02-03", "delta": 1}]} for i in range(8)]
+    last = [{"id": f"R-{i}", "programme": {"headline": f"Arts {i}", "code": f"A{i}"}, "changes": [{"on": "2020-01-02", "delta": i}, {"on": "2020-02-03", "delta": 1}]} for i in range(8)]
+    rows = unified(_df(spark, {"d/1.jsonl": old, "d/2.jsonl": new, "d/3.jsonl": last, "e/1.jsonl": old})).collect()
+    n = {}
+    for r in rows:
+        n[r["source_file"][0], r["field"]] = n.get((r["source_file"][0], r["field"]), 0) + 1
+    assert {k: v for k, v in n.items() if k[0] == "d"} == {("d", "id"): 24, ("d", "programme.headline"): 24, ("d", "programme.code"): 24, ("d", "changes[].on"): 48, ("d", "changes[].delta"): 48}
+    assert {k[1] for k in n if k[0] == "e"} == {"id", "program.title", "program.code", "amendments[].on", "amendments[].delta"}
+
+
+def test_prefixes_are_whole_names_and_cycles_end(spark):
+    rows = [("a.x", [("a", "b.a"), ("b", "c")], "c.a.x"), ("ab.x", [("a", "z")], "ab.x"), ("a", [("a", "b"), ("b", "a")], "a"), ("a[].x", [("a[]", "l[]")], "l[].x"), ("a.b.c", [("a", "p"), ("a.b", "q")], "q.c"), ("k", None, "k")]
+    entries = [(p, None if a is None else sorted((-len(x), x, y) for x, y in a), w) for p, a, w in rows]
+    df = spark.createDataFrame(entries, "path string, aliases array<struct<order:int,name:string,canonical:string>>, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", _last_name(df["path"], df["aliases"])).collect())
