@@ -74,8 +74,8 @@ def flatten(df: DataFrame, group: str = "source_group", text: str = "raw_json")
     return df.select(F.col(group).alias("g"), text).mapInArrow(run, "g string, path string, kind string, value string").withColumnRenamed("g", group)
 
 
-def field_stats(leaves: DataFrame, records: DataFrame, group: str = "source_group", most_distinct: int = 20_000) -> DataFrame:
-    """Per group and path: leaves, nonempty, distinct (reported up to ``most_distinct``), types, examples, fill, length.
+def field_stats(leaves: DataFrame, records: DataFrame, group: str = "source_group") -> DataFrame:
+    """Per group and path: leaves, nonempty, distinct, types, examples, fill, length, all over the whole group.
 
     ``fill`` is nonempty over the group's records and exceeds 1 for fields inside lists.  Examples are the four smallest
     distinct values, cut to 80 characters, so they do not depend on the order of rows.
@@ -83,7 +83,7 @@ def field_stats(leaves: DataFrame, records: DataFrame, group: str = "source_grou
     full = F.col("value").isNotNull() & (F.col("value") != "")
     values = leaves.where(full).groupBy(group, "path", "value").agg(F.count("*").alias("n"))
     per_value = values.groupBy(group, "path").agg(
-        F.sum("n").alias("nonempty"), F.least(F.count("*"), F.lit(most_distinct)).alias("n_distinct"), F.avg(F.length("value")).alias("avg_len"),
+        F.sum("n").alias("nonempty"), F.count("*").alias("n_distinct"), F.avg(F.length("value")).alias("avg_len"),
         F.min(F.substring("value", 1, 80)).alias("example"),
     )
     kinds = leaves.withColumn("kind", F.when(full, F.col("kind")).otherwise("empty")).groupBy(group, "path", "kind").agg(F.count("*").alias("k"))

@@ -208,7 +208,8 @@ def field_stats(spark: SparkSession, d: str) -> DataFrame:
     leaves = docs.select(F.lit("documents").alias("source_group"), F.explode(F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).alias("value")) for c in ("lang", "source", "text")])).alias("x"))
     leaves = leaves.select("source_group", "x.path", F.when(F.col("x.value").isNull(), "null").otherwise("text").alias("kind"), "x.value")
     stats = profile.field_stats(leaves, docs.select(F.lit("documents").alias("source_group")))
-    return stats.select(F.col("path").alias("field"), "n_leaves", "nonempty", F.col("n_distinct").cast("bigint").alias("n_distinct"), "fill")
+    shown = F.least("n_distinct", F.lit(20_000))  # as the SQL reports it; the statistic itself has no bound
+    return stats.select(F.col("path").alias("field"), "n_leaves", "nonempty", shown.cast("bigint").alias("n_distinct"), "fill")
 
 
 def field_profile(spark: SparkSession, d: str) -> DataFrame:
