@@ -93,6 +93,34 @@ def token_candidates(entities: DataFrame, least_mentions: int = 3, longest_posti
     return pairs.select("entity_id_a", "entity_id_b", F.lit("token_overlap").alias("reason"), "score").distinct()
 
 
+def all_token_candidates(entities: DataFrame, least_mentions: int = 3, least: float = 0.6, hot: int = 1_000, salts: int = 32) -> DataFrame:
+    """``token_candidates`` without the bound on postings: every pair whose name tokens overlap by ``least`` or more.
+
+    Sets of tokens that are equal are compared once.  Of two sets that overlap so far, each has one of its
+    size - least * size + 1 rarest tokens in the other's (one global order of tokens), so only those propose pairs;
+    tokens that propose for more than ``hot`` sets are spread over ``salts`` tasks.
+    """
+    named = entities.where(F.col("norm_key").isNotNull() & (F.col("n_mentions") >= least_mentions)).select("entity_id", "entity_type", F.array_sort(name_tokens(F.col("canonical_name"))).alias("tokens")).where(F.size("tokens") > 0)
+    sets = cut(named.groupBy("entity_type", "tokens").agg(F.count("*").alias("k")).withColumn("s", F.xxhash64("entity_type", F.array_join("tokens", " "))))
+    each = sets.select("s", "entity_type", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    often = each.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
+    ranked = each.join(often, ["entity_type", "token"]).groupBy("s", "entity_type", "m").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    head = F.slice("t", F.lit(1), (F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1).cast("int"))
+    posting = cut(ranked.select("s", "entity_type", "m", F.explode(head).alias("x")).select("s", "entity_type", "m", "x.token"))
+    heat = posting.groupBy("entity_type", "token").agg(F.when(F.count("*") > hot, salts).otherwise(1).alias("w")).where("w > 1")
+    posting = posting.join(broadcast_if_small(heat), ["entity_type", "token"], "left").withColumn("w", F.coalesce("w", F.lit(1)))
+    a = posting.select("entity_type", "token", F.col("s").alias("s_a"), F.col("m").alias("m_a"), F.pmod("s", "w").cast("int").alias("salt"))
+    b = posting.select("entity_type", "token", F.col("s").alias("s_b"), F.col("m").alias("m_b"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("salt"))
+    near = a.join(b, ["entity_type", "token", "salt"]).where((F.col("s_a") < F.col("s_b")) & (F.least("m_a", "m_b") >= F.greatest("m_a", "m_b") * least - 1e-9)).select("s_a", "s_b").distinct()
+    jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
+    of = lambda x: sets.select(F.col("s").alias(f"s_{x}"), F.col("tokens").alias(f"t{x}"), "entity_type")
+    alike = near.join(of("a").drop("entity_type"), "s_a").join(of("b"), "s_b").where(jaccard >= least).select("entity_type", "ta", "tb", F.round(jaccard, 3).alias("score"))
+    same = sets.where("k > 1").select("entity_type", F.col("tokens").alias("ta"), F.col("tokens").alias("tb"), F.lit(1.0).alias("score"))
+    member = lambda x: named.select(F.col("entity_id").alias(f"_{x}"), "entity_type", F.col("tokens").alias(f"t{x}"))
+    pairs = alike.unionByName(same).join(member("a"), ["entity_type", "ta"]).join(member("b"), ["entity_type", "tb"]).where((F.col("ta") != F.col("tb")) | (F.col("_a") < F.col("_b")))
+    return pairs.select(F.least("_a", "_b").alias("entity_id_a"), F.greatest("_a", "_b").alias("entity_id_b"), F.lit("token_overlap").alias("reason"), "score").where("entity_id_a < entity_id_b").distinct()
+
+
 def survivors(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(entity_id, survivor): the smallest id each linked id is tied to, by label passing with pointer jumping.
 

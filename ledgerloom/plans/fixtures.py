@@ -433,6 +433,12 @@ def jaccard_whole(spark: SparkSession, d: str) -> DataFrame:
     return entities.token_candidates(table(spark, d, "entities")).select("entity_id_a", "entity_id_b", "score")
 
 
+@_whole
+def jaccard_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of entities alike by tokens, those with common tokens included, which the documented rule leaves out."""
+    return entities.all_token_candidates(table(spark, d, "entities")).select("entity_id_a", "entity_id_b", "score")
+
+
 @_query("""
     WITH RECURSIVE known AS (SELECT entity_id FROM entities),
     pairs AS (SELECT entity_id_a AS a, entity_id_b AS b FROM entity_merge_candidates WHERE status = 'confirmed' AND entity_id_a IN (FROM known) AND entity_id_b IN (FROM known) AND entity_id_a <> entity_id_b),
