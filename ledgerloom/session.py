@@ -33,22 +33,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests, one machine) a temporary one."""
+    """The cluster's shared folder, this application's own part of it.
+
+    Only a local master may go without ``spark.checkpoint.dir``: everything then runs on one machine.  A cluster that
+    names no shared folder is an error, as a folder of one machine would be lost with it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")).rstrip("/") + f"/{spark.sparkContext.applicationId}"
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+    return named.rstrip("/") + f"/{spark.sparkContext.applicationId}"
 
 
-_written: dict[int, str] = {}
 _folders: set[str] = set()
 
 
-@atexit.register
-def _tidy() -> None:
-    """Remove this application's written tables at the end, where the folder is reachable as a plain path."""
-    for folder in _folders:
-        path = folder.removeprefix("file://")
-        if "://" not in path:
-            shutil.rmtree(path, ignore_errors=True)
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete through the file system that holds ``path``, whichever that is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _tidy_at_end(spark: SparkSession, folder: str) -> None:
+    """Have this application's written tables removed when the driver ends, also if the context was stopped before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def tidy() -> None:
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone; a plain path can still be removed without it
+            path = folder.removeprefix("file://")
+            if "://" not in path:
+                shutil.rmtree(path, ignore_errors=True)
+
+    atexit.register(tidy)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,18 +81,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    _folders.add(folder)
+    if folder not in _folders:
+        _folders.add(folder)
+        _tidy_at_end(spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    _written[id(back)] = path
+    back.__dict__["_written_at"] = path
     return back
 
 
 def free(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``df``, once nothing reads it any more."""
-    path = _written.pop(id(df), None)
+    """Delete what ``cut`` wrote for ``df``, once nothing reads it any more; other frames are left alone."""
+    path = df.__dict__.pop("_written_at", None)
     if path:
-        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(df.sparkSession, path)

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import source_group
-from ledgerloom.sources.corpus import ID_FIELDS, load
+from ledgerloom.sources.corpus import load, read_corpus
 
 
-def jsonl_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New JSON Lines files under ``path`` as raw records; blank and broken lines are left out.
+def new_files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
+    """The files that come in under ``path``, by relative name, ``per_batch`` at a time; their contents are not read."""
+    kind = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path)
+    return files.select(F.substring_index(F.col("path"), path.rstrip("/") + "/", -1).alias("source_file"))
 
-    Fallback ids carry the line's own hash, since a stream does not number lines across files.
+
+def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, per_batch: int = 1000, **trigger):
+    """Load files as they come in under ``path`` into ``store``, no record twice.
+
+    Each batch of files goes through the same reader as a batch load, so a record has the same hash and the same id
+    whichever way it comes, in every format.
     """
-    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
-    base = path.rstrip("/") + "/"
-    rel = F.substring_index(F.col("_metadata.file_path"), base, -1)
-    good = F.try_parse_json("value").isNotNull() & (F.trim("value") != "")
-    text = F.trim("value")
-    rows = lines.where(good).select(rel.alias("source_file"), text.alias("raw_json"))
-    ids = [F.nullif(F.get_json_object("raw_json", f"$.{k}"), F.lit("")) for k in ID_FIELDS]
-    digest = F.sha2("raw_json", 256)
-    return rows.select(source_group(F.col("source_file")).alias("source_group"), "source_file", F.coalesce(*ids, F.concat("source_file", F.lit(":"), digest)).alias("native_id"), digest.alias("content_hash"), "raw_json", F.lit(0).cast("bigint").alias("record_no"))
-
-
-def ingest(stream: DataFrame, store: str, checkpoint: str, **trigger):
-    """Write a stream of raw records to ``store`` without adding a record twice, batch by batch."""
-    return stream.writeStream.foreachBatch(lambda batch, _: load(batch, store)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def one(batch: DataFrame, _: int) -> None:
+        names = [r[0] for r in batch.collect()]  # at most ``per_batch``
+        if names:
+            load(read_corpus(spark, path, files=names), store)
+
+    stream = new_files(spark, path, per_batch)
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:

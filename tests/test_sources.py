@@ -50,14 +50,38 @@ def test_loading_twice_adds_nothing(spark, tmp_path):
 def test_byte_ranges_cover_every_line_once():
     body = b"\n".join([b"", b'{"a":1}', b"x", b'{"b":"' + b"z" * 50 + b'"}', b'{"c":3}', b""])
     whole = list(corpus.read_jsonl(io.BytesIO(body), 0, len(body)))
+    assert [n for n, _, _ in whole] == [2, 4, 5]
     for step in (1, 3, 7, 20, 1000):
-        parts = [r for s in range(0, len(body), step) for r in corpus.read_jsonl(io.BytesIO(body), s, min(s + step, len(body)))]
+        parts, before = [], 0
+        for s in range(0, len(body), step):
+            parts += [(before + no, r, f"line={before + no}") for no, r, _ in corpus.read_jsonl(io.BytesIO(body), s, min(s + step, len(body)))]
+            before += corpus.count_lines(io.BytesIO(body), s, min(s + step, len(body)))
         assert parts == whole
 
 
+def test_line_numbers_of_split_files(spark, tmp_path):
+    lines = ["", '{"a":1}', "{bad", '{"id":"k"}'] + [json.dumps({"n": i, "pad": "z" * (i % 50)}) for i in range(300)]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/1.jsonl").write_text("\n".join(lines))
+    (tmp_path / "g/2.jsonl").write_text('{"b":1}\n')
+    rows = corpus.read_corpus(spark, str(tmp_path), splitbytes="500").collect()
+    got = {r["native_id"]: json.loads(r["raw_json"]) for r in rows if r["source_file"] == "g/1.jsonl"}
+    assert got["k"] == {"id": "k"} and got["g/1.jsonl:line=2"] == {"a": 1} and len(got) == 302
+    assert all(got[f"g/1.jsonl:line={i + 5}"]["n"] == i for i in range(300))
+    assert [r["native_id"] for r in rows if r["source_file"] == "g/2.jsonl"] == ["g/2.jsonl:line=1"]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i:02}.xml").write_text(f"<V><n a='1'/><n>{i}</n></V>")
+    df = corpus.read_corpus(spark, str(tmp_path))
+    assert df.count() == 60 and df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    assert json.loads(df.where("native_id = '07'").first()["raw_json"]) == {"_root_tag": "V", "V": {"n": [{"@a": "1", "#text": ""}, "7"]}}
+
+
 def test_streamed_array_equals_json(monkeypatch):
     values = [{"a": "x" * 40}, 12, [1, {"b": None}], "t,]", 3.25, True, {"é": " "}]
-    monkeypatch.setattr(corpus, "_CHUNK", 7)
+    monkeypatch.setattr(corpus, "_BLOCK", 7)
     got = [r for _, r, _ in corpus.read_json(io.BytesIO(json.dumps(values).encode()))]
     assert got == [v if isinstance(v, dict) else {"_value": v} for v in values]
 
@@ -66,12 +90,14 @@ def test_stream_adds_each_record_once(spark, tmp_path):
     folder = tmp_path / "in" / "grants"
     folder.mkdir(parents=True)
     (folder / "1.jsonl").write_text('{"id":"a"}\n{bad\n\n{"id":"b"}\n')
-    run = lambda: ingest.ingest(ingest.jsonl_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run = lambda: ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     run()
-    (folder / "2.jsonl").write_text('{"id":"a"}\n{"id":"c"}\n')
+    (folder / "2.jsonl").write_text('{"id":"a"}\n{"id": "c"}\n{"n":1}\n')
+    (folder / "x.json").write_text('[{"id":"j"}]')
     run()
     got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r["native_id"] for r in got.collect()) == ["a", "b", "c"] and got.first()["source_group"] == ".jsonl::grants/#.jsonl"
+    assert sorted(r["native_id"] for r in got.collect()) == ["a", "b", "c", "grants/2.jsonl:line=3", "j"]
+    assert corpus.load(corpus.read_corpus(spark, str(tmp_path / "in")), str(tmp_path / "out")) == 0
 
 
 def test_windows_sessions_and_intervals(spark):
