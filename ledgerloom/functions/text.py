@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,10 +73,39 @@ def phrase_of_name(name: Column) -> Column:
     return F.nullif(F.regexp_replace(F.array_join(kept, " "), "(?i)^(the )+", ""), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that decompose to a letter and marks, with their letters, and the marks, which go to nothing."""
+    marked, bare = [], []
+    for code in (*range(0xC0, 0x590), *range(0x1E00, 0x2000)):
+        c = chr(code)
+        plain = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(plain) > 1 and all(unicodedata.combining(x) for x in plain[1:]):
+            marked.append(c), bare.append(plain[0])
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(bare)
+
+
+def fold_accents(text: Column) -> Column:
+    """Lower case without diacritics, in any Latin, Greek or Cyrillic text, composed or not."""
+    return F.translate(F.lower(text), *_accents())
+
+
 def words_of_text(text: Column) -> Column:
     """Tokens as a full-text index has them: accents folded, case folded, runs of letters and digits."""
-    folded = F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(fold_accents(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def lead_label(claim: Column) -> Column:
+    """What a lead is called: the brackets after "for", else the last brackets, else the claim's beginning."""
+    within = r"\(([^)]{4,160})\)"
+    named, every = F.regexp_extract(claim, r"\bfor " + within, 1), F.regexp_extract_all(claim, F.lit(within), 1)
+    start = F.coalesce(F.nullif(F.substring(claim, 1, 60), F.lit("")), F.lit("lead"))
+    return F.when(named != "", named).when(F.size(every) > 0, F.element_at(every, -1)).otherwise(start)
+
+
+def group_slug(group: Column) -> Column:
+    """Slug of a source group without its suffix part."""
+    return slug(F.regexp_replace(F.coalesce(group, F.lit("")), "^[^:]*::", ""), 40)
 
 
 def quarter_of(iso: Column) -> tuple[Column, Column]:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import csv
 import html
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import safe_id
+from ledgerloom.functions.text import group_slug, lead_label, safe_id, slug
+from ledgerloom.operators.skew import broadcast_if_small
+from ledgerloom.session import cut
 
 _EVIDENCE = "array<struct<table:string,locators:array<struct<source_group:string,native_id:string>>,locator:struct<source_group:string,native_id:string>,source_group:string,native_id:string,values:map<string,string>,value:string>>"
 
@@ -33,18 +36,39 @@ def evidence_rows(leads: DataFrame) -> DataFrame:
     return rows.select("lead_id", "position", "l.source_group", "l.native_id", "value").where("native_id IS NOT NULL")
 
 
+def evidence_texts(leads: DataFrame) -> DataFrame:
+    """(lead_id, text): every value that evidence quotes, whatever it is called there."""
+    items = leads.select("lead_id", F.explode(F.from_json("evidence", _EVIDENCE)).alias("e"))
+    quoted = F.array_append(F.coalesce(F.map_values("e.values"), F.array().cast("array<string>")), F.col("e.value"))
+    return items.select("lead_id", F.explode(quoted).alias("text")).where("text IS NOT NULL")
+
+
 def lead_sources(leads: DataFrame, records: DataFrame) -> DataFrame:
-    """Distinct records the leads point at, with their text where it is known."""
+    """Distinct records the leads point at, with their text where it is known.
+
+    The few locators (checked) are broadcast to the records and only what they find is joined back, so the records are
+    never shuffled; a group that is null is joined by id alone.
+    """
     wanted = evidence_rows(leads).select("source_group", "native_id").distinct()
-    return wanted.join(records.select("source_group", "native_id", "content_hash", "source_file", "raw_json"), ["source_group", "native_id"], "left")
+    found = bundle_records(leads, records.select("source_group", "native_id", "content_hash", "source_file", "raw_json"))
+    named = found.join(broadcast_if_small(wanted.where("source_group IS NOT NULL")), ["source_group", "native_id"])
+    loose = found.withColumnRenamed("source_group", "_g").join(broadcast_if_small(wanted.where("source_group IS NULL")), "native_id").select(*named.columns)
+    known = named.unionByName(loose)
+    lost = wanted.join(known.select(F.col("source_group").alias("_g"), F.col("native_id").alias("_n")).distinct(), F.col("source_group").eqNullSafe(F.col("_g")) & (F.col("native_id") == F.col("_n")), "left_anti")
+    return known.unionByName(lost, allowMissingColumns=True)
 
 
 def bundle_records(leads: DataFrame, records: DataFrame) -> DataFrame:
-    """The raw records that evidence names: by group and id, or by id alone where the evidence has no group."""
+    """The raw records that evidence names: by group and id, or by id alone where the evidence has no group.
+
+    Each record is given once per row it has; one that both forms name is still given once.
+    """
     wanted = evidence_rows(leads).select("source_group", "native_id").distinct()
-    exact = records.join(wanted.where("source_group IS NOT NULL"), ["source_group", "native_id"], "left_semi")
-    loose = records.join(wanted.where("source_group IS NULL").select("native_id"), "native_id", "left_semi").select(*records.columns)
-    return exact.select(*records.columns).unionByName(loose).distinct()
+    exact = broadcast_if_small(wanted.where("source_group IS NOT NULL").select(F.col("source_group").alias("_g"), F.col("native_id").alias("_n")))
+    loose = broadcast_if_small(wanted.where("source_group IS NULL").select(F.col("native_id").alias("_m")))
+    by_both = (F.col("source_group") == F.col("_g")) & (F.col("native_id") == F.col("_n"))
+    by_id = F.col("native_id") == F.col("_m")
+    return records.join(exact, by_both, "left_semi").unionByName(records.join(exact, by_both, "left_anti").join(loose, by_id, "left_semi"))
 
 
 def entity_of_name(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -55,17 +79,32 @@ def entity_of_name(names: DataFrame, entities: DataFrame, aliases: DataFrame) ->
     return wanted.join(own, "_n", "left").join(other, "_n", "left").select("name", F.coalesce("a", "b").alias("entity_id")).where("entity_id IS NOT NULL")
 
 
-def backlinks(leads: DataFrame, entities: DataFrame, least_length: int = 5) -> DataFrame:
-    """(entity_id, lead_id): entities whose name stands in a lead's claim, letter case aside.
+def names_in(texts: DataFrame, entities: DataFrame, least_length: int = 5) -> DataFrame:
+    """(entity_id, lead_id): entities whose canonical name stands anywhere in a lead's texts (lead_id, text), letter case
+    aside; names shorter than ``least_length`` are not searched.
 
-    Substring search over names is done word-aligned and indexed: a name's first three letters at any position of the claim
-    select the candidates by equi-join, then the whole name is compared.
+    Every place of a text is looked up by its first ``least_length`` letters, as a row of key and place only; the text is
+    fetched once for the places that some name may begin at, and compared there.
     """
-    text = leads.select("lead_id", F.lower("claim").alias("t")).where(F.length("t") >= least_length)
+    rows = texts.where("text IS NOT NULL").select("lead_id", F.lower("text").alias("t")).where(F.length("t") >= least_length).withColumn("k", F.xxhash64("lead_id", "t"))
     at = F.explode(F.sequence(F.lit(1), F.length("t") - least_length + 1))
-    grams = text.select("lead_id", "t", at.alias("p")).select("lead_id", "t", F.substring("t", F.col("p"), F.lit(least_length)).alias("g")).distinct()
-    names = entities.where(F.length("canonical_name") >= least_length).select("entity_id", F.lower("canonical_name").alias("n")).withColumn("g", F.substring("n", 1, least_length))
-    return grams.join(names, "g").where(F.contains("t", "n")).select("entity_id", "lead_id").distinct()
+    places = rows.select("k", "t", at.alias("p")).select("k", "p", F.substring("t", F.col("p"), F.lit(least_length)).alias("g"))
+    names = entities.where(F.length("canonical_name") >= least_length).select(F.lower("canonical_name").alias("n")).distinct().withColumn("g", F.substring("n", 1, least_length))
+    starts = places.join(broadcast_if_small(names), "g").select("k", "p", "n")
+    hits = starts.join(rows.distinct(), "k").where(F.substring("t", F.col("p"), F.length("n")) == F.col("n")).select("lead_id", "n").distinct()
+    own = entities.where(F.length("canonical_name") >= least_length).select("entity_id", F.lower("canonical_name").alias("n"))
+    return hits.join(own, "n").select("entity_id", "lead_id").distinct()
+
+
+def backlinks(leads: DataFrame, entities: DataFrame, least_length: int = 5) -> DataFrame:
+    """(entity_id, lead_id): entities whose name stands in a lead's claim."""
+    return names_in(leads.select("lead_id", F.col("claim").alias("text")), entities, least_length)
+
+
+def entity_scan(leads: DataFrame, entities: DataFrame, least_length: int = 5) -> DataFrame:
+    """(entity_id, lead_id): entities whose name stands in a lead's claim or in a value its evidence quotes."""
+    texts = leads.select("lead_id", F.col("claim").alias("text")).unionByName(evidence_texts(leads))
+    return names_in(texts, entities, least_length)
 
 
 # --- sinks: bounded by the number of leads exported, so they are written on the driver -----------------------------
@@ -82,7 +121,9 @@ def write_csv(leads: DataFrame, path: str | Path, n: int = 50) -> None:
 
 
 def _rows(leads: DataFrame, n: int) -> list[dict]:
+    """The leads to export, with their note names and locators: at most ``n`` rows."""
     top = top_leads(leads, n)
+    top = top.withColumn("note", F.concat(F.lit("LEAD-"), F.col("lead_id").cast("string"), F.lit(" "), slug(lead_label(F.col("claim")), 56)))
     where = evidence_rows(top).groupBy("lead_id").agg(F.array_sort(F.collect_set(F.concat_ws("::", "source_group", "native_id"))).alias("locators"))
     rows = [r.asDict() for r in top.join(where, "lead_id", "left").collect()]
     key = lambda r: (r["rank_score"] is None, -(r["rank_score"] or 0), r["score"] is None, -(r["score"] or 0), r["lead_id"])
@@ -94,37 +135,79 @@ def write_html(leads: DataFrame, path: str | Path, n: int = 50, excerpt: int = 6
     Path(path).write_text("<!doctype html><meta charset='utf-8'><title>Leads</title><table><tr><th>lead<th>detector<th>claim<th>evidence</tr>\n" + "\n".join(body) + "\n</table>\n", encoding="utf-8")
 
 
-def write_vault(leads: DataFrame, records: DataFrame, folder: str | Path, n: int = 50, lines: int = 150, entities: DataFrame | None = None) -> None:
-    """Markdown notes of leads, their sources and the entities they name, linked both ways; same input, same bytes."""
+# What each status of a lead means.
+_STATUS = {
+    "new": "nobody has checked it yet", "verified": "it was checked and holds", "promoted": "attempts to refute it failed", "published": "it passed the fact check", "killed": "it was checked and rejected",
+}
+
+
+def _front(**fields) -> list[str]:
+    return ["---", *[f"{k}: {json.dumps(v, ensure_ascii=False) if isinstance(v, str) else 'null' if v is None else v}" for k, v in fields.items()], "---", ""]
+
+
+def _lead_note(r: dict, sources: dict[str, str], quoted: list[tuple]) -> str:
+    try:
+        innocent = json.loads(r["innocent_explanations"] or "[]")
+    except ValueError:
+        innocent = [r["innocent_explanations"]]
+    tier = r["defamation_tier"] or "none"
+    body = _front(status=r["status"], signal_type=r["signal_type"], detector=r["detector_id"], run=r.get("created_run"), score=r["score"], rank_score=r["rank_score"], legal_flag=r["legal_flag"], defamation_tier=tier)
+    body += ["## Claim", "", r["claim"] or "(no text)", "", f"Status {r['status']}: {_STATUS.get(r['status'], 'see the table of leads')}. Scores order leads; they prove nothing.", "", "## Evidence", ""]
+    body += [f"- [[{sources.get(x, x)}]]" + (f": {v}" if v is not None else "") for x, v in quoted] or ["- none recorded"]
+    body += ["", "## Innocent explanations", "", *([f"- {x}" for x in innocent] or ["- none recorded"]), ""]
+    body += ["## How to check this", "", "- [ ] Open every source above and compare names, amounts and dates with the claim.", "- [ ] Rule each innocent explanation in or out.", f"- [ ] Run the detector `{r['detector_id']}` again and see that the lead comes back.", ""]
+    if tier not in ("none", "null", ""):
+        body += ["## Right of reply", "", f"Tier {tier}: the lead names or implies someone. Ask them before publication.", "", "- Asked:", "- Answer:", ""]
+    return "\n".join(body)
+
+
+def write_vault(leads: DataFrame, records: DataFrame, folder: str | Path, n: int = 50, lines: int = 150, entities: DataFrame | None = None, aliases: DataFrame | None = None) -> None:
+    """Markdown notes of leads, their sources and the entities they name, linked both ways; same input, same bytes.
+
+    Everything on the driver is bounded by the exported leads: their evidence, the first ``lines`` lines of each source,
+    and the entities they name.
+    """
     folder = Path(folder)
-    (folder / "leads").mkdir(parents=True, exist_ok=True), (folder / "sources").mkdir(exist_ok=True)
-    top = top_leads(leads, n)
-    rows = _rows(leads, n)
-    named = lead_sources(top, records).select("*", safe_id(F.col("native_id")).alias("note")).orderBy("source_group", "native_id", "content_hash").collect()
-    notes: dict[tuple, str] = {}
+    for part in ("leads", "sources", "entities"):
+        (folder / part).mkdir(parents=True, exist_ok=True)
+    top = cut(top_leads(leads, n))
+    rows = _rows(top, n)
+    excerpt = F.array_join(F.slice(F.split(F.col("raw_json"), "\n"), 1, lines), "\n")
+    note = F.concat(F.lit("SRC "), group_slug(F.col("source_group")), F.lit(" "), safe_id(F.col("native_id")))
+    named = lead_sources(top, records).select("source_group", "native_id", "content_hash", "source_file", excerpt.alias("text"), note.alias("note")).orderBy("source_group", "native_id", "content_hash").collect()
+    locator = lambda r: f"{r['source_group']}::{r['native_id']}" if r["source_group"] is not None else r["native_id"]
+    sources: dict[str, str] = {}
     for s in named:
-        notes.setdefault((s["source_group"], s["native_id"]), s["note"])
-    for r in rows:
-        links = [f"- [[{notes.get(tuple(x.rsplit('::', 1)), x)}]]" for x in r["locators"]]
-        front = ["---", f"lead_id: {r['lead_id']}", f"detector: {r['detector_id']}", f"status: {r['status']}", f"score: {r['score']}", "---", "", r["claim"] or "", "", "## Evidence", *links, "", "## Innocent explanations", r["innocent_explanations"] or "[]", ""]
-        (folder / "leads" / f"lead-{r['lead_id']}.md").write_text("\n".join(front), encoding="utf-8")
-    back: dict[str, list] = {}
+        sources.setdefault(locator(s), s["note"])
+    quoted: dict[int, list[tuple]] = {}
+    back: dict[str, set] = {}
+    title = {r["lead_id"]: r["note"] for r in rows}
+    for e in evidence_rows(top).distinct().orderBy("lead_id", "position", "source_group", "native_id", "value").collect():
+        quoted.setdefault(e["lead_id"], []).append((locator(e), e["value"]))
+        back.setdefault(locator(e), set()).add(title[e["lead_id"]])
     for r in rows:
-        for x in r["locators"]:
-            back.setdefault(x, []).append(r["lead_id"])
-    for (group, native), note in sorted(notes.items(), key=lambda x: (x[0][0] or "", x[0][1])):
-        text = next((s["raw_json"] for s in named if (s["source_group"], s["native_id"]) == (group, native)), None) or "not in the store"
-        body = [f"# {native}", "", f"group: {group}", "", "```", *text.splitlines()[:lines], "```", "", *[f"- [[lead-{i}]]" for i in sorted(set(back.get(f"{group}::{native}", [])))], ""]
-        (folder / "sources" / f"{note}.md").write_text("\n".join(body), encoding="utf-8")
+        (folder / "leads" / f"{r['note']}.md").write_text(_lead_note(r, sources, quoted.get(r["lead_id"], [])), encoding="utf-8")
+    for where, name in sources.items():
+        held = [s for s in named if locator(s) == where]
+        body = _front(locator=where, source_file=held[0]["source_file"], content_hash=held[0]["content_hash"]) + [f"# {held[0]['native_id']}", ""]
+        for s in held:
+            body += ["```json", s["text"] if s["text"] is not None else "not in the store", "```", ""]
+        body += ["## Leads", "", *[f"- [[{x}]]" for x in sorted(back.get(where, ()))], "", f"Whole record: `show_locator(records, {where!r})`", ""]
+        (folder / "sources" / f"{name}.md").write_text("\n".join(body), encoding="utf-8")
     if entities is not None:
-        (folder / "entities").mkdir(exist_ok=True)
-        linked = backlinks(top, entities).join(entities.select("entity_id", "canonical_name"), "entity_id")
-        per: dict[tuple, list] = {}
-        for r in linked.collect():  # bounded by the exported leads
-            per.setdefault((r["entity_id"], r["canonical_name"]), []).append(r["lead_id"])
-        for (i, name), ids in sorted(per.items()):
-            (folder / "entities" / f"entity-{i}.md").write_text("\n".join([f"# {name}", "", *[f"- [[lead-{x}]]" for x in sorted(ids)], ""]), encoding="utf-8")
-    (folder / "README.md").write_text("# Leads\n\n" + "\n".join(f"- [[lead-{r['lead_id']}]] {r['claim']}" for r in rows) + "\n", encoding="utf-8")
+        cols = [c for c in ("entity_type", "n_mentions") if c in entities.columns]
+        scan = cut(entity_scan(top, entities))
+        linked = scan.groupBy("entity_id").agg(F.array_sort(F.collect_list("lead_id")).alias("leads"))  # at most ``n`` leads each
+        own = entities.join(broadcast_if_small(linked), "entity_id").select("entity_id", "canonical_name", *cols, "leads", F.concat(F.lit("ENT "), slug(F.col("canonical_name")), F.lit(" "), F.col("entity_id").cast("string")).alias("note"))
+        spelt: dict[int, list[str]] = {}
+        if aliases is not None:
+            for a in aliases.join(broadcast_if_small(linked.select("entity_id")), "entity_id").select("entity_id", "raw_name").distinct().orderBy("entity_id", "raw_name").collect():
+                spelt.setdefault(a["entity_id"], []).append(a["raw_name"])
+        for e in own.orderBy("entity_id").collect():
+            body = _front(**{c: e[c] for c in cols}) + [f"# {e['canonical_name']}", "", "## Aliases", "", *([f"- {x}" for x in spelt.get(e["entity_id"], [])] or ["- none recorded"]), "", "## Leads", "", *[f"- [[{title[x]}]]" for x in e["leads"]], ""]
+            (folder / "entities" / f"{e['note']}.md").write_text("\n".join(body), encoding="utf-8")
+    body = ["# Leads", "", "Every note says what records show; none is a finding. Check the sources of a lead before its claim is used.", "", *[f"- [[{r['note']}]] {r['claim'] or ''}" for r in rows], ""]
+    (folder / "README.md").write_text("\n".join(body), encoding="utf-8")
 
 
 def write_bundle(leads: DataFrame, entities: DataFrame, aliases: DataFrame, records: DataFrame, folder: str) -> None:

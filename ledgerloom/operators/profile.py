@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import norm_aggressive
 from ledgerloom.operators.normalise import json_at
 from ledgerloom.operators.shred import parse
 from ledgerloom.operators.skew import broadcast_if_small
@@ -23,13 +25,18 @@ DELIMITERS = ["-", ":", "/", "|"]
 def spread_sample(df: DataFrame, group: str, order: str, cap: int) -> DataFrame:
     """Every n-th row of each group in order, at most ``cap``: deterministic and spread over the whole group.
 
-    Ranks come from slots and offsets, so a group with very many rows is not sorted in one task.
+    Only group and order are ranked, by blocks and offsets; the rows chosen, few by construction, then fetch the rest of
+    their columns.  Rows that tie in group and order are told apart by nothing, so one of the chosen places brings all.
     """
-    ranked = rank_within(df, group, order)
-    size = df.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size"))
+    keys = df.select(group, order)
+    ranked = rank_within(keys, group, order)
+    size = keys.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size"))
     step = F.greatest(F.lit(1), F.floor(F.col("_size") / cap))
     out = ranked.join(broadcast_if_small(size), F.col(group).eqNullSafe(F.col("_of")))
-    return out.where((F.col("_rank") % step == 0) & (F.floor(F.col("_rank") / step) < cap)).drop("_rank", "_size", "_of")
+    chosen = out.where((F.col("_rank") % step == 0) & (F.floor(F.col("_rank") / step) < cap)).select(F.col(group).alias("_g"), F.col(order).alias("_o"))
+    if set(df.columns) == {group, order}:
+        return chosen.select(F.col("_g").alias(group), F.col("_o").alias(order)).select(*df.columns)
+    return df.join(broadcast_if_small(chosen.distinct()), F.col(group).eqNullSafe(F.col("_g")) & F.col(order).eqNullSafe(F.col("_o"))).drop("_g", "_o")
 
 
 def rank_within(df: DataFrame, group: str, order: str) -> DataFrame:
@@ -43,20 +50,29 @@ def rank_within(df: DataFrame, group: str, order: str) -> DataFrame:
     return joined.withColumn("_rank", F.col("_i") + F.col("_o")).drop("_b", "_i", "_g", "_b2", "_o")
 
 
-def _leaves(value, path: str, out: list) -> None:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _leaves(v, f"{path}.{k}" if path else k, out)
-    elif isinstance(value, list):
-        for v in value:
-            _leaves(v, path + "[]", out)
-    else:
+def _leaves(value, path: str, out: list, max_list: int | None) -> None:
+    """Leaves in their order, without recursion, so that nesting has no limit of its own."""
+    stack = [(path, value)]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend((f"{path}.{k}" if path else k, v) for k, v in reversed(value.items()))
+            continue
+        if isinstance(value, list):
+            if max_list is not None:
+                out.append((path + "[]", "list", str(len(value))))
+            stack.extend((path + "[]", v) for v in reversed(value[:max_list]))
+            continue
         kind = "null" if value is None else "true" if value is True else "false" if value is False else "integer" if isinstance(value, int) else "real" if isinstance(value, float) else "text"
         out.append((path, kind, None if value is None else value if isinstance(value, str) else json.dumps(value)))
 
 
-def flatten(df: DataFrame, group: str = "source_group", text: str = "raw_json") -> DataFrame:
-    """(group, path, kind, value): every leaf of every record; list positions are ``[]``, containers are left out."""
+def flatten(df: DataFrame, group: str = "source_group", text: str = "raw_json", max_list: int | None = None) -> DataFrame:
+    """(group, path, kind, value): every leaf of every record; list positions are ``[]``, containers are left out.
+
+    For a first look ``max_list`` walks only so many elements of each list and adds a row of the kind ``list`` with its
+    whole length; by default all elements are walked.
+    """
 
     def run(batches):
         for batch in batches:
@@ -66,7 +82,7 @@ def flatten(df: DataFrame, group: str = "source_group", text: str = "raw_json")
                 if record is None:
                     continue
                 leaves: list = []
-                _leaves(record, "", leaves)
+                _leaves(record, "", leaves, max_list)
                 for p, k, v in leaves:
                     gs.append(g), ps.append(p), ks.append(k), vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (gs, ps, ks, vs)], ["g", "path", "kind", "value"])
@@ -77,15 +93,18 @@ def flatten(df: DataFrame, group: str = "source_group", text: str = "raw_json")
 def field_stats(leaves: DataFrame, records: DataFrame, group: str = "source_group") -> DataFrame:
     """Per group and path: leaves, nonempty, distinct, types, examples, fill, length, all over the whole group.
 
-    ``fill`` is nonempty over the group's records and exceeds 1 for fields inside lists.  Examples are the four smallest
-    distinct values, cut to 80 characters, so they do not depend on the order of rows.
+    ``fill`` is nonempty over the group's records and exceeds 1 for fields inside lists.  ``examples`` are up to four
+    values cut to 80 characters, ``example`` the smallest of all: the smallest of each of sixteen classes by the first
+    digit of the value's MD5, of which the first four stand, so they depend neither on the order of rows nor on a sort.
     """
     full = F.col("value").isNotNull() & (F.col("value") != "")
     values = leaves.where(full).groupBy(group, "path", "value").agg(F.count("*").alias("n"))
+    digit, short = F.substring(F.md5(F.col("value").cast("binary")), 1, 1), F.substring("value", 1, 80)
     per_value = values.groupBy(group, "path").agg(
-        F.sum("n").alias("nonempty"), F.count("*").alias("n_distinct"), F.avg(F.length("value")).alias("avg_len"),
-        F.min(F.substring("value", 1, 80)).alias("example"),
+        F.sum("n").alias("nonempty"), F.count("*").alias("n_distinct"), F.avg(F.length("value")).alias("avg_len"), F.min(short).alias("example"),
+        F.array(*[F.min(F.when(digit == x, short)) for x in "0123456789abcdef"]).alias("examples"),
     )
+    per_value = per_value.withColumn("examples", F.slice(F.array_sort(F.array_distinct(F.array_compact("examples"))), 1, 4))
     kinds = leaves.withColumn("kind", F.when(full, F.col("kind")).otherwise("empty")).groupBy(group, "path", "kind").agg(F.count("*").alias("k"))
     kinds = kinds.groupBy(group, "path").agg(F.sum("k").alias("n_leaves"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "k")))).alias("types"))
     total = records.groupBy(group).agg(F.count("*").alias("n_records"))
@@ -165,12 +184,42 @@ def composite_containment(values: DataFrame, composites: DataFrame, least_distin
     return out.withColumn("reliability", F.when(F.col("containment") >= 0.9, "HIGH").otherwise(F.concat(F.lit("UNRELIABLE: "), F.round(F.lit(100) * (1 - F.col("containment")), 0).cast("int").cast("string"), F.lit("% of halves match nothing"))))
 
 
+def name_joins(names: DataFrame, least_distinct: int = 10, least: float = 0.3) -> DataFrame:
+    """(group_a, field_a, group_b, field_b, n_a, n_common, containment): for each name field the field of another group that
+    holds most of its names in normal form, where identifiers join nothing."""
+    keyed = names.select("grp", "field", norm_aggressive(F.col("value")).alias("value"))
+    found = containment(keyed, least_distinct, least)
+    best = found.groupBy("group_a", "field_a").agg(F.min_by(F.struct("group_b", "field_b", "n_a", "n_common", "containment"), F.struct(-F.col("containment"), F.col("group_b"), F.col("field_b"))).alias("b"))
+    return best.select("group_a", "field_a", "b.*")
+
+
 def report(stats: list[dict], joins: list[dict], most: int = 15) -> str:
-    """The profile as Markdown: the fullest fields of each group, and the joins from the surest down."""
+    """The profile as Markdown: the fullest fields of each group, its identifiers and names, and the joins from the surest
+    down."""
     lines = ["# Profile", ""]
     for g in sorted({s["source_group"] for s in stats}):
-        lines += [f"## {g}", "", "| field | fill | distinct | example |", "|-|-|-|-|"]
-        own = sorted((s for s in stats if s["source_group"] == g), key=lambda s: (-(s["fill"] or 0), s["path"]))[:most]
-        lines += [f"| {s['path']} | {s['fill']} | {s['n_distinct']} | {(s['example'] or '').replace('|', '/')} |" for s in own] + [""]
-    lines += ["## Joins", ""] + [f"- {j['group_a']}.{j['field_a']} in {j['group_b']}.{j['field_b']}: {j['containment']:.3f}" for j in sorted(joins, key=lambda j: (-j["containment"], j["field_a"]))]
+        own = sorted((s for s in stats if s["source_group"] == g), key=lambda s: (-(s["fill"] or 0), s["path"]))
+        marked = lambda kind: ", ".join(s["path"] for s in own if s.get(kind)) or "none"  # noqa: B023, E731
+        lines += [f"## {g}", "", f"Identifiers: {marked('id_candidate')}. Names: {marked('name_candidate')}.", "", "| field | fill | distinct | examples |", "|-|-|-|-|"]
+        shown = lambda s: "; ".join(s.get("examples") or [s.get("example") or ""]).replace("|", "/")
+        lines += [f"| {s['path']} | {s['fill']} | {s['n_distinct']} | {shown(s)} |" for s in own[:most]] + [""]
+    lines += ["## Joins", ""] + [f"- {j['group_a']}.{j['field_a']} in {j['group_b']}.{j['field_b']}: {j['containment']:.3f}" + (f" ({j['reliability']})" if j.get("reliability") else "") for j in sorted(joins, key=lambda j: (-j["containment"], j["field_a"]))]
     return "\n".join(lines) + "\n"
+
+
+def write_profile(stats: DataFrame, joins: DataFrame, folder: str | Path) -> dict:
+    """``profile.json`` and ``PROFILE_REPORT.md``: one entry per field and join, so as large as the schemas."""
+    rows = [r.asDict(recursive=True) for r in stats.withColumns({"id_candidate": is_id_candidate(), "name_candidate": is_name_candidate()}).orderBy("source_group", "path").collect()]
+    pairs = [r.asDict() for r in joins.collect()]
+    groups: dict[str, dict] = {}
+    for r in rows:
+        g = groups.setdefault(r["source_group"], {"n_records": r["n_records"], "fields": {}, "id_candidates": [], "name_candidates": []})
+        g["fields"][r["path"]] = {k: r[k] for k in ("types", "nonempty", "n_distinct", "fill", "avg_len", "examples")}
+        for kind in ("id", "name"):
+            if r[f"{kind}_candidate"]:
+                g[f"{kind}_candidates"].append(r["path"])
+    out = {"groups": groups, "joins": sorted(pairs, key=lambda j: (-j["containment"], j["group_a"], j["field_a"], j["group_b"], j["field_b"]))}
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    (Path(folder) / "profile.json").write_text(json.dumps(out, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
+    (Path(folder) / "PROFILE_REPORT.md").write_text(report(rows, pairs), encoding="utf-8")
+    return out

@@ -117,7 +117,7 @@ def intermediary(spark: SparkSession, d: str) -> DataFrame:
 def overlap(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("on"))
     right = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("on"))
-    out = detectors.overlap(left, right, [("o_orderkey", "l_orderkey")], "on", "on", 30, hot_buckets=True)
+    out = detectors.overlap(left, right, [("o_orderkey", "l_orderkey")], "on", "on", 30)
     return out.select(F.col("l_o_orderkey").alias("order_key"), F.col("r_l_linenumber").alias("line_number"), F.col("days_apart").cast("bigint").alias("days_apart"))
 
 
