@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import WORD_EDGE, quarter_of
-from ledgerloom.operators.skew import broadcast_if_small
+from ledgerloom.operators.profile import rank_within
+from ledgerloom.operators.skew import broadcast_if_small, join_pairs
 
 # Wording that makes a text specific, and capitalised words that do not.
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]?"
@@ -30,16 +32,55 @@ def chunks(text: Column, size: int = 170, overlap: int = 40) -> Column:
     return F.when(n <= size, F.array(text)).otherwise(windows)
 
 
-def space(df: DataFrame, text: str, keys: list[str], carry: list[str] | None = None, where: str | None = None, size: int = 170, overlap: int = 40) -> DataFrame:
-    """(*keys, *carry, chunk_index, text): the chunks of a text column, each distinct text once (first by keys).
+def space(df: DataFrame, text: str, keys: list[str], carry: list[str] | None = None, where: str | None = None, size: int = 170, overlap: int = 40, limit: int | None = None, dedupe: bool = True, chunk: bool = True) -> DataFrame:
+    """(*keys, *carry, chunk_index, text): the chunks of a text column, or whole texts, each distinct text once if asked.
 
+    ``where`` is applied first, then ``limit`` in the order of the keys, then blank texts and further copies are dropped.
     The first holder of a text is a minimum per text, combined per task, so a text with very many copies is no hot spot.
     """
     rows = df.where(where) if where else df
+    rows = rows.orderBy(*keys).limit(limit) if limit else rows
     rows = rows.withColumn("_t", F.trim(F.col(text))).where("_t IS NOT NULL AND _t <> ''")
-    cols = [*keys, *(carry or [])]
-    first = rows.groupBy("_t").agg(F.min_by(F.struct(*cols), F.struct(*keys)).alias("r"))
-    return first.select(*[F.col(f"r.{c}") for c in cols], F.posexplode(chunks(F.col("_t"), size, overlap)).alias("chunk_index", "text"))
+    cols = list(dict.fromkeys([*keys, *(carry or [])]))
+    if dedupe:
+        rows = rows.groupBy("_t").agg(F.min_by(F.struct(*cols), F.struct(*keys)).alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in cols], "_t")
+    pieces = chunks(F.col("_t"), size, overlap) if chunk else F.array("_t")
+    return rows.select(*cols, F.posexplode(pieces).alias("chunk_index", "text"))
+
+
+def write_space(rows: DataFrame, keys: list[str], folder: str, name: str, encoder=None, about: dict | None = None) -> DataFrame:
+    """Encode the texts of a space and write it anew: its rows with ``row_id`` (in the order of the keys) and ``embedding``
+    of unit length, and beside them what it was made with.  ``encoder`` maps a text column to a vector column."""
+    spark = rows.sparkSession
+    ordered = rank_within(rows.withColumns({"_one": F.lit(0), "_at": F.struct(*keys, "chunk_index")}), "_one", "_at")
+    raw = (encoder or hash_embedding)(F.col("text"))
+    length = F.sqrt(dot(F.col("_v"), F.col("_v")))
+    unit = F.transform("_v", lambda x: F.when(length > 0, x / length).otherwise(x).cast("float"))
+    vectors = ordered.withColumn("_v", raw).withColumn("embedding", unit).withColumnRenamed("_rank", "row_id").drop("_one", "_at", "_v")
+    vectors.write.mode("overwrite").parquet(f"{folder}/{name}/rows")
+    back = spark.read.parquet(f"{folder}/{name}/rows")
+    n, dims = back.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    meta = {"space": name, "n_vectors": n, "dims": dims or 0} | (about or {})
+    spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(meta.items())], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}/meta")
+    return back
+
+
+def read_space(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, dict]:
+    """The rows of a written space and what it was made with."""
+    meta = {r["key"]: json.loads(r["value"]) for r in spark.read.parquet(f"{folder}/{name}/meta").collect()}
+    return spark.read.parquet(f"{folder}/{name}/rows"), meta
+
+
+def build_spaces(pack: dict, tables: dict[str, DataFrame], folder: str, encoder=None, only: str | None = None) -> dict[str, int]:
+    """Build the spaces of a semantic pack, or the one named; vectors per space."""
+    built = {}
+    for s in pack.get("spaces", []):
+        if only is None or s["name"] == only:
+            size, overlap = s.get("chunk_words", pack.get("chunk_words", 170)), s.get("chunk_overlap", pack.get("chunk_overlap", 40))
+            rows = space(tables[s["table"]], s["text_col"], s["id_cols"], s.get("carry_cols"), s.get("where"), size, overlap, s.get("limit"), s.get("dedupe", False), s.get("chunk", False))
+            about = {"model": pack.get("model") if encoder else "hashed words", "chunked": s.get("chunk", False), "deduped": s.get("dedupe", False), "limit": s.get("limit")}
+            built[s["name"]] = write_space(rows, s["id_cols"], folder, s["name"], encoder, about).count()
+    return built
 
 
 def hash_embedding(text: Column, dims: int = 256) -> Column:
@@ -129,10 +170,22 @@ def fuse_ranks(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return both.groupBy("row_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("fused"))
 
 
-def is_specific(text: Column) -> Column:
-    """Names a bill, or holds a capitalised word beyond the common ones."""
-    capitals = F.regexp_extract_all(text, F.lit(f"({CAPITALISED})"), 1)
-    return text.rlike(BILL) | (F.size(F.array_except(capitals, F.array(*[F.lit(x) for x in COMMON_CAPITALISED]))) > 0)
+def is_specific(text: Column, require_any: list[str] | None = None, drop_if_only: list[str] | None = None) -> Column:
+    """Names a bill, or holds a capitalised word beyond the common ones; with ``require_any`` one of those patterns instead.
+
+    A text that is nothing but phrases of ``drop_if_only`` (letter case, digits and punctuation aside) is not specific.
+    """
+    if require_any:
+        hit = F.lit(False)
+        for p in require_any:
+            hit = hit | text.rlike(p)
+    else:
+        capitals = F.regexp_extract_all(text, F.lit(f"({CAPITALISED})"), 1)
+        hit = text.rlike(BILL) | (F.size(F.array_except(capitals, F.array(*[F.lit(x) for x in COMMON_CAPITALISED]))) > 0)
+    if drop_if_only:
+        phrases = "|".join(re.escape(x.lower()) for x in sorted(drop_if_only, key=len, reverse=True))
+        hit = hit & (F.regexp_replace(F.regexp_replace(F.lower(text), phrases, " "), r"[^\p{L}]+", "") != "")
+    return hit
 
 
 def anchors(parts: list[DataFrame]) -> DataFrame:
@@ -145,8 +198,6 @@ def anchors(parts: list[DataFrame]) -> DataFrame:
 
 def noise_floor(a: DataFrame, b: DataFrame, vector: str, order: str, percentile: float = 99.5, pairs: int = 20_000) -> float:
     """The similarity that unrelated pairs hardly ever exceed: a percentile over evenly spaced, aligned pairs."""
-    from ledgerloom.operators.profile import rank_within
-
     def spaced(df: DataFrame) -> tuple[DataFrame, int]:
         n = df.count()
         m = min(pairs, n)
@@ -165,7 +216,8 @@ def anchored_scores(ties: DataFrame, press: DataFrame, descriptions: DataFrame,
     """Per tie (and quarter) the best press chunk, its best description, similarity and margin over the centroid.
 
     ``press``: member, year, quarter, chunk, vec.  ``descriptions``: client, year, quarter, chunk, vec.  Pairs are formed
-    only within a tie's own member and client (and quarter).
+    only within a tie's own member and client (and quarter); a client with very many of them is split over tasks, and as
+    all pairs of a press chunk meet in one task, only its best leaves it.
     """
     when = ["year", "quarter"] if same_quarter else []
     k = ["client", *when]
@@ -175,7 +227,7 @@ def anchored_scores(ties: DataFrame, press: DataFrame, descriptions: DataFrame,
     norm = F.sqrt(dot(F.col("mean"), F.col("mean"))) + F.lit(1e-9)
     centre = centre.withColumn("centroid", F.transform("mean", lambda x: x / norm)).drop("mean")
     p = broadcast_if_small(ties).join(press.withColumnsRenamed({"chunk": "press_chunk", "vec": "_p"}), "member")
-    pairs = p.join(descriptions.select(*k, F.col("chunk").alias("description_chunk"), F.col("vec").alias("_d")), k).withColumn("sim", dot(F.col("_p"), F.col("_d")))
+    pairs = join_pairs(p, descriptions.select(*k, F.col("chunk").alias("description_chunk"), F.col("vec").alias("_d")), k, "press_chunk").withColumn("sim", dot(F.col("_p"), F.col("_d")))
     best = pairs.groupBy("member", *k, "strength", "press_chunk").agg(F.max("sim").alias("sim"), F.max_by("description_chunk", F.struct("sim", -F.col("description_chunk"))).alias("description_chunk"), F.first("_p").alias("_p"))
     with_margin = best.join(centre, k).withColumn("margin", F.col("sim") - dot(F.col("_p"), F.col("centroid"))).drop("_p", "centroid")
     top = with_margin.groupBy("member", *k, "strength").agg(F.max_by(F.struct("press_chunk", "description_chunk", "sim", "margin"), F.struct("sim", -F.col("press_chunk"))).alias("b"))
@@ -198,7 +250,51 @@ def with_quarter(df: DataFrame, date: str) -> DataFrame:
     return df.withColumns({"year": year, "quarter": quarter})
 
 
-def semantic_leads(chosen: DataFrame, press: DataFrame, descriptions: DataFrame, run: str, detector: str = "semantic_bridge", cut_at: int = 240) -> DataFrame:
+def _first_two(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select("_0", "_1")
+
+
+def bridge(spark: SparkSession, pack: dict, tables: dict[str, DataFrame], folder: str, run: str) -> tuple[DataFrame, list[str]]:
+    """Leads of a pack's bridge over its written spaces, and why some of its anchors were left out.
+
+    The columns the spaces are read by have the documented names as defaults (``press_member_col``, ``press_date_col``,
+    ``desc_client_col``, ``desc_year_col``, ``desc_period_col``); ``income_sql`` gives (client, income).  An anchor whose
+    SQL fails is skipped.  With ``same_quarter`` false pairs need not share a quarter.
+    """
+    b = pack["bridge"]
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    parts, skipped = [], []
+    for a in b["anchors"]:
+        try:
+            found = _first_two(spark.sql(a["sql"])).select(F.col("_0").cast("string").alias("member"), F.col("_1").cast("string").alias("client"), F.lit(float(a.get("strength", 1.0))).alias("strength"))
+            parts.append(found.where("member IS NOT NULL AND member <> '' AND client IS NOT NULL AND client <> ''"))
+        except Exception as e:  # noqa: BLE001 - one anchor must not stop the others
+            skipped.append(f"{a.get('name')}: {str(e).splitlines()[0]}")
+    ties = anchors(parts) if parts else spark.createDataFrame([], "member string, client string, strength double")
+    same = b.get("same_quarter", True)
+    (press, about), (desc, _) = read_space(spark, folder, b["press_space"]), read_space(spark, folder, b["desc_space"])
+    year, quarter = quarter_of(F.col(b.get("press_date_col", "pub_date")).cast("string")) if same else (F.lit(None).cast("string"),) * 2
+    p = press.select(F.col(b.get("press_member_col", "member_bioguide")).cast("string").alias("member"), year.alias("year"), quarter.alias("quarter"), F.col("row_id").alias("chunk"), F.col("embedding").alias("vec"))
+    p = p.where("member IS NOT NULL AND member <> ''" + (" AND year IS NOT NULL" if same else ""))
+    client = F.upper(F.trim(F.col(b.get("desc_client_col", "client_name")).cast("string")))
+    when = [F.col(b.get("desc_year_col", "filing_year")).cast("string").alias("year"), F.col(b.get("desc_period_col", "period_norm")).cast("string").alias("quarter")] if same else [F.lit(None).cast("string").alias("year"), F.lit(None).cast("string").alias("quarter")]
+    rule = b.get("specificity_filter")
+    d = desc.where(is_specific(F.col("text"), rule.get("require_any"), rule.get("drop_if_only"))) if rule else desc
+    d = d.select(client.alias("client"), *when, F.col("row_id").alias("chunk"), F.col("embedding").alias("vec")).where("client <> ''")
+    left_out = sorted({x.strip().upper() for x in [*b.get("exclude_clients", []), *b.get("exclude_clients_upper", [])]})
+    d = d.where(~F.col("client").isin(left_out)) if left_out else d
+    floor = max(noise_floor(press, desc, "embedding", "row_id", b.get("null_percentile", 99.5)), b.get("min_floor", 0.0))
+    scored = anchored_scores(ties, p, d, floor, b.get("min_margin_over_centroid", 0.08), same)
+    income = spark.createDataFrame([], "client string, income double")
+    if b.get("income_sql"):
+        income = _first_two(spark.sql(b["income_sql"])).select(F.col("_0").cast("string").alias("client"), F.col("_1").cast("double").alias("income"))
+    chosen = rank_and_cap(scored, income, b.get("per_client_cap", 3), b.get("top_n", 60))
+    text = lambda s: s.select(F.col("row_id").alias("chunk"), "text", *[F.col(c).cast("string").alias(c) if c in s.columns else F.lit(None).cast("string").alias(c) for c in ("source_group", "native_id")])
+    return semantic_leads(chosen, text(press), text(desc), run, innocent=b.get("innocent_explanations")), skipped
+
+
+def semantic_leads(chosen: DataFrame, press: DataFrame, descriptions: DataFrame, run: str, detector: str = "semantic_say_do_anchored", cut_at: int = 240, innocent: list[str] | None = None) -> DataFrame:
     """Leads of the chosen pairs: both texts cut to ``cut_at`` characters, their locators, and how to repeat the search.
 
     ``press`` and ``descriptions``: chunk, text, source_group, native_id.
@@ -210,7 +306,7 @@ def semantic_leads(chosen: DataFrame, press: DataFrame, descriptions: DataFrame,
     claim = F.concat("member", F.lit(" speaks as "), "client", F.lit(" lobbies: "), F.format_string("similarity %.3f, margin %.3f", "sim", "margin"))
     repeat = F.concat(F.lit("anchored_scores member="), "member", F.lit(" client="), "client")
     return rows.select(
-        F.lit(detector).alias("detector_id"), F.lit("semantic").alias("template"), F.lit("meaning").alias("signal_type"), claim.alias("claim"), F.col("rank").alias("score"), F.lit(None).cast("double").alias("rank_score"),
+        F.lit(detector).alias("detector_id"), F.lit("semantic_overlap").alias("template"), F.lit("semantic_overlap").alias("signal_type"), claim.alias("claim"), F.col("rank").alias("score"), F.lit(None).cast("double").alias("rank_score"),
         F.lit("new").alias("status"), F.lit(0).alias("legal_flag"), F.lit("named_person").alias("defamation_tier"), F.to_json(F.array(item("press", "_pg", "_pi", "_pt"), item("descriptions", "_dg", "_di", "_dt"))).alias("evidence"),
-        F.to_json(F.struct(repeat.alias("repeat"))).alias("params"), F.lit('["Shared topic of the day", "Same public source quoted by both"]').alias("innocent_explanations"), F.lit(run).alias("created_run"),
+        F.to_json(F.struct(repeat.alias("repeat"))).alias("params"), F.lit(json.dumps(innocent if innocent is not None else ["Shared topic of the day", "Same public source quoted by both"])).alias("innocent_explanations"), F.lit(run).alias("created_run"),
     )

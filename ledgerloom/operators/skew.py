@@ -30,3 +30,20 @@ def join_on_hot_key(big: DataFrame, groups: DataFrame, key: str, count: str, spr
     marked = big.join(broadcast_if_small(hot_keys), key, "left")
     salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     return salted.join(groups, [key, "_salt"]).drop("_salt")
+
+
+def join_pairs(left: DataFrame, right: DataFrame, keys: list[str], spread: str, work: int = 5_000_000, most: int = 1024) -> DataFrame:
+    """Inner equi-join whose keys may be hot on both sides: a key with more than ``work`` pairs is split over tasks.
+
+    Rows of ``left`` under such a key go to one of its salts by ``spread``, a column that differs between rows, and rows of
+    ``right`` to all of them; the number of salts is the key's pairs over ``work``, ``most`` at most, so that the rows
+    repeated stay few beside the pairs.  All pairs come out.  Null keys join nothing.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    pairs = F.col("_l").cast("double") * F.col("_r")
+    heat = count(left, "_l").join(count(right, "_r"), keys).where(pairs > work).select(*keys, F.least(F.lit(most), F.ceil(pairs / work)).cast("int").alias("_w"))
+    heat = broadcast_if_small(heat)
+    w = F.coalesce("_w", F.lit(1))
+    l = left.join(heat, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), w).cast("int")).drop("_w")
+    r = right.join(heat, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), w - 1))).drop("_w")
+    return l.join(r, [*keys, "_salt"]).drop("_salt")
