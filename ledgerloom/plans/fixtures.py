@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import coerce, text
 from ledgerloom.operators import detectors, dossier, entities, mentions, normalise, profile, semantic
-from ledgerloom.session import table
+from ledgerloom.session import shared_folder, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,10 +27,11 @@ def _query(sql: str | None):
     return add
 
 
-def _whole(f):
-    """A query over its whole table, beside one whose SQL covers only the rows on which the engines agree."""
-    QUERIES[f.__name__] = f
-    return f
+def _marked(column: str) -> str:
+    """SQL of a text in lower or mixed case in which RE2's word ends stand where the JVM's patterns put them: letters and
+    digits beyond ASCII become ``_``, which RE2 takes as part of a word, spaces a blank, and all other characters ``~``."""
+    blank = rf"regexp_replace({column}, '[\p{{Z}}\x{{85}}]', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace({blank}, '[^\x00-\x7F\p{{L}}\p{{N}}]', '~', 'g'), '[^\x00-\x7F]', '_', 'g')"
 
 
 def _money_of_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -121,29 +126,123 @@ def overlap(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("l_o_orderkey").alias("order_key"), F.col("r_l_linenumber").alias("line_number"), F.col("days_apart").cast("bigint").alias("days_apart"))
 
 
+# --- detectors as a pack names them -------------------------------------------------------------------------------
+
+
+def _with_provenance(df: DataFrame, group: str, key: str) -> DataFrame:
+    return df.withColumns({"source_group": F.lit(group), "native_id": F.col(key).cast("string")})
+
+
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Typed tables with locators, as detector packs expect them."""
+    lines = table(spark, d, "lineitem").withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    totals = lines.groupBy("l_orderkey").agg(detectors.exact_sum(F.col("l_extendedprice")).alias("line_total"), F.max("l_linestatus").alias("l_linestatus"))
+    return {
+        "orders": _with_provenance(table(spark, d, "orders"), "orders", "o_orderkey"), "lines": _with_provenance(lines, "lines", "line"),
+        "totals": _with_provenance(totals, "totals", "l_orderkey"), "events": _with_provenance(table(spark, d, "events"), "events", "event_id"),
+        "entities": _with_provenance(table(spark, d, "entities"), "entities", "entity_id"),
+    }
+
+
+def _pack(id_: str, template: str, **params) -> detectors.Detector:
+    return detectors.Detector(id_, template, params, ["a lawful cause"], template == "gap")
+
+
+def _shown(spark: SparkSession, d: str, detector: detectors.Detector) -> DataFrame:
+    """A detector's leads: what they are, their score, and the ids their evidence names."""
+    tables = _tables(spark, d)
+    stopped = detectors.preflight(detector, tables)
+    if stopped:
+        raise ValueError("; ".join(stopped))
+    ids = F.transform(F.from_json("evidence", "array<struct<locators:array<struct<native_id:string>>>>"), lambda e: e["locators"][0]["native_id"])
+    leads = detectors.run_detector(detector, tables, "run-1")
+    return leads.select("detector_id", "signal_type", "legal_flag", F.round("score", 4).alias("score"), F.array_join(ids, "|").alias("ids"))
+
+
 @_query("""
-    SELECT lead_id, count(*) AS n FROM (SELECT DISTINCT lead_id, detector_id, score FROM leads) GROUP BY lead_id HAVING count(*) >= 1""")
-def leads_once(spark: SparkSession, d: str) -> DataFrame:
-    """Leads with how many different scores their rows carry: a rerun must not add any."""
-    return table(spark, d, "leads").select("lead_id", "detector_id", F.when(F.isnan("score"), F.lit(float("nan"))).otherwise(F.col("score")).alias("score")).distinct().groupBy("lead_id").agg(F.count("*").alias("n"))
+    WITH t AS (SELECT l_orderkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS line_total, max(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey)
+    SELECT 'totals_differ' AS detector_id, 'contradiction' AS signal_type, 0 AS legal_flag, round(abs(o_totalprice - line_total), 4) AS score, o_orderkey || '|' || l_orderkey AS ids
+    FROM orders JOIN t ON o_orderkey = l_orderkey WHERE abs(o_totalprice - line_total) > 50000 AND o_orderpriority <> '1.URGENT' AND line_total > 1000 AND (o_orderstatus IS NULL OR st IS NULL OR lower(trim(o_orderstatus)) = lower(trim(st)))""")
+def pack_contradiction(spark: SparkSession, d: str) -> DataFrame:
+    """A contradiction with guard, tolerance and a fragment for each side, in the documented form of a pack."""
+    return _shown(spark, d, _pack("totals_differ", "contradiction", left={"table": "orders", "value_col": "o_totalprice"}, right={"table": "totals", "value_col": "line_total"}, join_on=[["o_orderkey", "l_orderkey"]], tolerance=50_000, guard_cols=[["o_orderstatus", "l_linestatus"]], left_where="AND l.o_orderpriority <> '1.URGENT'", right_where='AND r."line_total" > 1000', label_cols=["o_custkey"]))
 
 
 @_query("""
-    WITH m AS (SELECT detector_id, max(score) AS most FROM leads WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY detector_id)
-    SELECT l.lead_id, l.detector_id, round(max(coalesce(rank_score, CASE WHEN most > 0 THEN score / most END)), 9) AS rank_score
-    FROM leads l LEFT JOIN m ON l.detector_id = m.detector_id WHERE score IS NULL OR NOT isnan(score) GROUP BY l.lead_id, l.detector_id""")
-def rank_leads(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(table(spark, d, "leads").where("score IS NULL OR NOT isnan(score)"))
+    SELECT 'no_lines' AS detector_id, 'gap' AS signal_type, 1 AS legal_flag, round(coalesce(nullif(o_totalprice, 0), 1), 4) AS score, CAST(o_orderkey AS VARCHAR) AS ids
+    FROM orders o WHERE o_totalprice >= 50000 AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND (o.o_orderstatus IS NULL OR l.l_linestatus IS NULL OR lower(trim(o.o_orderstatus)) = lower(trim(l.l_linestatus))))""")
+def pack_gap(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, _pack("no_lines", "gap", left={"table": "orders"}, right={"table": "lines"}, join_on=[["o_orderkey", "l_orderkey"]], guard_cols=[["o_orderstatus", "l_linestatus"]], left_where="AND l.o_totalprice >= 50000", expectation="a line", score_col="o_totalprice", label_cols=["o_orderkey"]))
 
 
-@_whole
-def rank_leads_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All leads; those whose score is not a number have no rank of their own."""
-    return _ranked(table(spark, d, "leads"))
+@_query("""
+    WITH g AS (SELECT l_suppkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, min(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS id FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_suppkey)
+    SELECT 'top_suppliers' AS detector_id, 'outlier' AS signal_type, 0 AS legal_flag, round(total, 4) AS score, id AS ids FROM g ORDER BY total DESC, l_suppkey LIMIT 25""")
+def pack_outlier(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, _pack("top_suppliers", "outlier", table="lines", value_col="l_extendedprice", group_cols=["l_suppkey"], method="top_n", n=25))
 
 
-def _ranked(leads: DataFrame) -> DataFrame:
-    return detectors.rank_leads(leads).groupBy("lead_id", "detector_id").agg(F.round(F.max("rank_score"), 9).alias("rank_score"))
+@_query("""
+    WITH s AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS dev FROM events WHERE value IS NOT NULL GROUP BY event_type)
+    SELECT 'far_events' AS detector_id, 'outlier' AS signal_type, 0 AS legal_flag, round(abs(value - mean) / dev, 4) AS score, CAST(event_id AS VARCHAR) AS ids
+    FROM events e JOIN s ON e.event_type IS NOT DISTINCT FROM s.event_type WHERE dev > 0 AND abs(value - mean) > 2.5 * dev""")
+def pack_sigma(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, _pack("far_events", "outlier", table="events", value_col="value", group_cols=["event_type"], method="sigma", threshold=2.5))
+
+
+@_query("""
+    WITH n AS (SELECT canonical_name AS name, count(*) AS n_records, min(CAST(entity_id AS VARCHAR)) AS id FROM entities WHERE canonical_name IS NOT NULL GROUP BY canonical_name)
+    SELECT 'hidden' AS detector_id, 'hidden_principal' AS signal_type, 0 AS legal_flag, CAST(n_records AS DOUBLE) AS score, id AS ids FROM n
+    WHERE trim(regexp_extract(name, '(?i)^(.+?)\\s+on behalf of\\s+(.+)$', 2)) <> '' OR trim(regexp_extract(name, '(?i)^(.+?)\\s+as fiscal sponsor for\\s+(.+)$', 2)) <> ''""")
+def pack_intermediary(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, _pack("hidden", "intermediary", table="entities", name_col="canonical_name", patterns=COMPOSITES))
+
+
+@_query("""
+    SELECT 'ordered_and_shipped' AS detector_id, 'timing_overlap' AS signal_type, 0 AS legal_flag, round(coalesce(nullif(o_totalprice, 0), 1), 4) AS score, o_orderkey || '|' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ids
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE abs(epoch_us(o_orderdate) - epoch_us(l_shipdate)) <= 45 * 86400000000::BIGINT AND o_totalprice >= 1000""")
+def pack_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, _pack("ordered_and_shipped", "overlap", left={"table": "orders", "entity_col": "o_orderkey", "date_col": "o_orderdate", "amount_col": "o_totalprice"}, right={"table": "lines", "entity_col": "l_orderkey", "date_col": "l_shipdate"}, window_days=45, min_amount=1000))
+
+
+@_query("""
+    SELECT 'totals_differ' AS detector_id, unnest(['one_side_null', 'guard_excluded']) AS measure,
+        unnest([CAST(count(*) FILTER (WHERE same AND ((o_totalprice IS NULL) <> (l_extendedprice IS NULL))) AS DOUBLE), CAST(count(*) FILTER (WHERE NOT same AND abs(o_totalprice - l_extendedprice) > 100000) AS DOUBLE)]) AS value
+    FROM (SELECT *, (o_orderstatus IS NULL OR l_linestatus IS NULL OR lower(trim(o_orderstatus)) = lower(trim(l_linestatus))) AS same FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""")
+def pack_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a contradiction leaves out, as its report counts it."""
+    p = _pack("totals_differ", "contradiction", left={"table": "orders", "value_col": "o_totalprice"}, right={"table": "lines", "value_col": "l_extendedprice"}, join_on=[["o_orderkey", "l_orderkey"]], tolerance=100_000, guard_cols=[["o_orderstatus", "l_linestatus"]])
+    return detectors.detector_report(p, _tables(spark, d))
+
+
+@_query("""
+    WITH g AS (SELECT count(*) AS n FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice >= 50000),
+    s AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS dev FROM events WHERE value IS NOT NULL GROUP BY event_type),
+    f AS (SELECT count(*) AS n FROM events e JOIN s ON e.event_type IS NOT DISTINCT FROM s.event_type WHERE dev > 0 AND abs(value - mean) > 3 * dev)
+    SELECT 'no_lines' AS detector_id, n AS leads, n AS different FROM g UNION ALL SELECT 'far_events', n, n FROM f""")
+def leads_once(spark: SparkSession, d: str) -> DataFrame:
+    """A pack run twice leaves each lead once: leads per detector, and how many of them differ."""
+    found = [
+        _pack("no_lines", "gap", left={"table": "orders"}, right={"table": "lines"}, join_on=[["o_orderkey", "l_orderkey"]], left_where="AND l.o_totalprice >= 50000"),
+        _pack("far_events", "outlier", table="events", value_col="value", group_cols=["event_type"], method="sigma"),
+        _pack("cannot_run", "gap", left={"table": "absent"}, right={"table": "lines"}, join_on=[]),
+    ]
+    store, tables = f"{shared_folder(spark)}/leads-{uuid.uuid4().hex}", _tables(spark, d)
+    for _ in range(2):
+        skipped = detectors.run_pack(spark, found, tables, "run-1", store)
+        if [x.split(":")[0] for x in skipped] != ["cannot_run"]:
+            raise RuntimeError("; ".join(skipped))
+    return spark.read.parquet(store).groupBy("detector_id").agg(F.count("*").alias("leads"), F.count_distinct("lead_key").alias("different"))
+
+
+@_query("""
+    WITH c AS (SELECT lead_id, detector_id, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, CASE WHEN isnan(rank_score) THEN NULL ELSE rank_score END AS rank_score FROM leads),
+    m AS (SELECT detector_id, max(score) AS most FROM c GROUP BY detector_id)
+    SELECT c.lead_id, c.detector_id, round(max(coalesce(rank_score, CASE WHEN most > 0 THEN score / most END)), 9) AS rank_score
+    FROM c LEFT JOIN m ON c.detector_id = m.detector_id GROUP BY c.lead_id, c.detector_id""")
+def rank_leads(spark: SparkSession, d: str) -> DataFrame:
+    """All leads; those whose score is not a number have no rank of their own."""
+    return detectors.rank_leads(table(spark, d, "leads")).groupBy("lead_id", "detector_id").agg(F.round(F.max("rank_score"), 9).alias("rank_score"))
 
 
 # --- sources and records ------------------------------------------------------------------------------------------
@@ -154,9 +253,53 @@ def path_template(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").select("source_file").distinct().select("source_file", text.path_template(F.col("source_file")).alias("template"), text.source_group(F.col("source_file")).alias("grp"))
 
 
-@_query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+@_query("SELECT ord, content_hash FROM raw_records WHERE json_valid(raw_json)")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    """The canonical hash of every complete record, against the hash it was stored under."""
+    from ledgerloom.sources.corpus import hash_of_records
+
+    return hash_of_records(table(spark, d, "raw_records"))
+
+
+@_query("""
+    WITH f AS (SELECT source_group, source_file, ord, raw_json FROM raw_records WHERE json_valid(raw_json) AND json_type(raw_json) = 'OBJECT' AND source_file NOT LIKE '%.xml' AND source_file NOT LIKE '%.csv')
+    SELECT source_group, source_file, content_hash, count(*) AS n FROM (SELECT source_group, source_file, content_hash FROM raw_records WHERE ord IN (SELECT ord FROM f)) GROUP BY ALL""")
+def corpus_read(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON and JSON Lines files written out and read again: groups, files and hashes are as they were."""
+    from ledgerloom.sources.corpus import read_corpus
+
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    good = table(spark, d, "raw_records").where(F.col("source_file").rlike(r"\.jsonl?$") & F.try_parse_json("raw_json").isNotNull())
+    write_files(good, folder)
+    return read_corpus(spark, folder).groupBy("source_group", "source_file", "content_hash").agg(F.count("*").alias("n"))
+
+
+def write_files(records: DataFrame, folder: str) -> None:
+    """Each file's records as one file, a JSON list or JSON Lines, in the order of the records, streamed out by file."""
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        out, name = None, None
+        for f in frames:
+            for file, text in zip(f["source_file"], f["raw_json"]):
+                lines = file.endswith("l")
+                if file != name:
+                    if out:
+                        out.write(b"" if name.endswith("l") else b"]"), out.close()
+                    system.create_dir(f"{base}/{file}".rpartition("/")[0])
+                    out, name = system.open_output_stream(f"{base}/{file}"), file
+                    out.write(b"" if lines else b"[")
+                else:
+                    out.write(b"\n" if lines else b",")
+                out.write(re.sub(r"[\r\n]", " ", text).encode("utf-8"))  # layout: texts hold no bare line ends
+        if out:
+            out.write(b"" if name.endswith("l") else b"]"), out.close()
+        yield pd.DataFrame({"done": [1]})
+
+    spread = records.select("source_file", "ord", "raw_json").repartition("source_file").sortWithinPartitions("source_file", "ord")
+    spread.mapInPandas(run, "done int").count()
 
 
 @_query("SELECT source_group, count(*) AS n_records FROM raw_records GROUP BY source_group")
@@ -212,14 +355,29 @@ def field_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.select(F.col("path").alias("field"), "n_leaves", "nonempty", shown.cast("bigint").alias("n_distinct"), "fill")
 
 
+# A record's leaves in SQL, with paths, kinds and texts as the profile has them.
+_LEAVES = """leaves AS (SELECT source_group, regexp_replace(regexp_replace(replace(fullkey, '"', ''), '^\\$\\.?', ''), '\\[[0-9]+\\]', '[]', 'g') AS path,
+        CASE WHEN type = 'NULL' THEN 'null' WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'integer' WHEN type = 'DOUBLE' THEN 'real' WHEN type = 'BOOLEAN' THEN CAST(atom AS VARCHAR) ELSE 'text' END AS kind,
+        CASE WHEN type = 'NULL' THEN NULL ELSE json_extract_string(atom, '$') END AS value
+        FROM (SELECT source_group, unnest(list_zip(k, t, a)) AS x, x[1] AS fullkey, x[2] AS type, x[3] AS atom FROM (
+            SELECT source_group, ord, list(j.fullkey) AS k, list(j.type) AS t, list(j.atom) AS a FROM (SELECT source_group, ord, raw_json FROM raw_records WHERE json_valid(raw_json)) r, json_tree(r.raw_json) j WHERE j.type NOT IN ('OBJECT', 'ARRAY') GROUP BY source_group, ord)))"""
+
+
+@_query(f"""
+    WITH {_LEAVES}, total AS (SELECT source_group, count(*) AS n_records FROM raw_records GROUP BY source_group),
+    v AS (SELECT source_group, path, value, count(*) AS n FROM leaves WHERE value <> '' GROUP BY ALL),
+    p AS (SELECT source_group, path, sum(n) AS nonempty, count(*) AS n_distinct, avg(length(value)) AS avg_len, min(substr(value, 1, 80)) AS example FROM v GROUP BY ALL),
+    n AS (SELECT source_group, path, count(*) AS n_leaves FROM leaves GROUP BY ALL),
+    s AS (SELECT n.source_group, n.path, n_leaves, coalesce(nonempty, 0) AS nonempty, coalesce(n_distinct, 0) AS n_distinct, avg_len, example, round(coalesce(nonempty, 0) / n_records, 3) AS fill FROM n LEFT JOIN p USING (source_group, path) JOIN total USING (source_group))
+    SELECT source_group, path, n_leaves, CAST(nonempty AS BIGINT) AS nonempty, CAST(n_distinct AS BIGINT) AS n_distinct, round(avg_len, 6) AS avg_len, example, fill,
+        NOT regexp_matches(path, '{profile.JUNK_HINT}') AND nonempty >= 25 AND ((regexp_matches(path, '{profile.ID_HINT}') AND n_distinct / nonempty > 0.001) OR (n_distinct / nonempty > 0.95 AND avg_len <= 40)) AS id_candidate,
+        regexp_matches(path, '{profile.NAME_HINT}') AND NOT regexp_matches(path, '{profile.JUNK_HINT}') AND fill > 0.3 AS name_candidate FROM s""")
 def field_profile(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every field of every group of raw records, with identifier and name candidates marked."""
     raw = table(spark, d, "raw_records")
     stats = profile.field_stats(profile.flatten(raw), raw)
-    return stats.withColumns({"id_candidate": profile.is_id_candidate(), "name_candidate": profile.is_name_candidate()}).drop("types")
-
-
-QUERIES["field_profile"] = field_profile
+    marked = stats.withColumns({"id_candidate": F.coalesce(profile.is_id_candidate(), F.lit(False)), "name_candidate": profile.is_name_candidate()})
+    return marked.select("source_group", "path", "n_leaves", "nonempty", "n_distinct", F.round("avg_len", 6).alias("avg_len"), "example", "fill", "id_candidate", "name_candidate")
 
 
 @_query("""
@@ -267,14 +425,15 @@ def record_containment(spark: SparkSession, d: str) -> DataFrame:
     return profile.containment(profile.exact_values(raw, ["id"]), least=0.0).select("group_a", "group_b", "n_a", "n_common")
 
 
+@_query(f"""
+    WITH {_LEAVES}
+    SELECT source_group, path, CASE WHEN value IS NULL OR value = '' THEN 'empty' WHEN kind IN ('true', 'false') THEN 'bool' WHEN kind = 'integer' THEN 'int' WHEN kind = 'real' THEN 'float' WHEN regexp_full_match(value, '-?[0-9]+') THEN 'int_str' ELSE 'str' END AS kind, count(*) AS n
+    FROM leaves GROUP BY ALL""")
 def loose_types(spark: SparkSession, d: str) -> DataFrame:
     """Loose type labels of all fields, as a first look gives them."""
     return profile.loose_types(profile.flatten(table(spark, d, "raw_records")))
 
 
-QUERIES["loose_types"] = loose_types
-
-
 # --- normalisation ------------------------------------------------------------------------------------------------
 
 
@@ -290,33 +449,29 @@ def explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""
-    SELECT 'customer' AS origin, c_custkey AS party_key, c_name AS party_name, c_mktsegment AS segment FROM customer
-    UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier""")
+    SELECT 'customers' AS origin, CAST(c_custkey AS BIGINT) AS party_key, c_name AS party_name, c_mktsegment AS segment, round(c_acctbal, 2) AS balance, CAST(c_custkey AS VARCHAR) AS native_id, CAST(c_custkey % 2 AS BIGINT) AS odd FROM customer
+    UNION ALL SELECT 'suppliers', s_suppkey, s_name, NULL, NULL, CAST(s_suppkey AS VARCHAR), s_suppkey % 2 FROM supplier""")
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").select(F.lit("customer").alias("origin"), F.col("c_custkey").alias("party_key"), F.col("c_name").alias("party_name"), F.col("c_mktsegment").alias("segment"))
-    b = table(spark, d, "supplier").select(F.lit("supplier").alias("origin"), F.col("s_suppkey").alias("party_key"), F.col("s_name").alias("party_name"))
-    return a.unionByName(b, allowMissingColumns=True)
-
+    """Two groups of records mapped to one table, with a constant, a column one of them lacks, types and a derived column."""
+    from ledgerloom.plans.packs import Source, TableMapping
 
-@_query("""
-    SELECT ord, json_extract_string(raw_json, '$.id') AS payment_id, TRY_CAST(replace(replace(trim(json_extract_string(raw_json, '$.amount')), '$', ''), ',', '') AS DOUBLE) AS amount
-    FROM raw_records WHERE source_group = '.csv::payments/#/#-#.csv' AND json_valid(raw_json) AND nullif(trim(json_extract_string(raw_json, '$.id')), '') IS NOT NULL
-        AND regexp_full_match(coalesce(json_extract_string(raw_json, '$.amount'), ''), '[-+$0-9.,]*')""")
-def to_money(spark: SparkSession, d: str) -> DataFrame:
-    """Payment amounts as money: dollar signs and commas dropped, empty and absent amounts null."""
-    return _payments(table(spark, d, "raw_records")).where(F.col("as_written").rlike(r"^[-+$0-9.,]*$")).drop("as_written")
+    record = lambda name, group, key: table(spark, d, name).select(F.lit(group).alias("source_group"), F.col(key).cast("string").alias("native_id"), F.lit("h").alias("content_hash"), F.to_json(F.struct("*")).alias("raw_json"))
+    raw = record("customer", "c", "c_custkey").unionByName(record("supplier", "s", "s_suppkey"))
+    sources = [Source("c", {"party_key": "c_custkey", "party_name": "c_name", "segment": "c_mktsegment", "balance": "c_acctbal"}, {"origin": "customers"}), Source("s", {"party_key": "s_suppkey", "party_name": "s_name"}, {"origin": "suppliers"})]
+    mapping = TableMapping("parties", sources, {"party_key": "int", "balance": "money"}, [("odd", "party_key % 2")])
+    return normalise.normalise_table(raw, mapping).select("origin", "party_key", "party_name", "segment", "balance", "native_id", "odd")
 
 
-@_whole
-def to_money_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All payment amounts as money; what cannot be read is null."""
-    return _payments(table(spark, d, "raw_records")).drop("as_written")
+_AMOUNT = "replace(replace(trim(json_extract_string(raw_json, '$.amount')), '$', ''), ',', '')"
 
 
-def _payments(raw: DataFrame) -> DataFrame:
-    raw = raw.where("source_group = '.csv::payments/#/#-#.csv'").where(F.try_parse_json("raw_json").isNotNull())
-    amount = normalise.json_at(F.col("raw_json"), "amount")
-    rows = raw.select("ord", normalise.json_at(F.col("raw_json"), "id").alias("payment_id"), coerce.to_money(amount).alias("amount"), F.coalesce(amount, F.lit("")).alias("as_written"))
+@_query(rf"""
+    SELECT ord, json_extract_string(raw_json, '$.id') AS payment_id, CASE WHEN regexp_full_match({_AMOUNT}, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*') THEN round(TRY_CAST({_AMOUNT} AS DOUBLE), 2) END AS amount
+    FROM raw_records WHERE source_group = '.csv::payments/#/#-#.csv' AND json_valid(raw_json) AND nullif(trim(json_extract_string(raw_json, '$.id')), '') IS NOT NULL""")
+def to_money(spark: SparkSession, d: str) -> DataFrame:
+    """All payment amounts as money: dollar signs and commas dropped; what cannot be read is null."""
+    raw = table(spark, d, "raw_records").where("source_group = '.csv::payments/#/#-#.csv'").where(F.try_parse_json("raw_json").isNotNull())
+    rows = raw.select("ord", normalise.json_at(F.col("raw_json"), "id").alias("payment_id"), coerce.to_money(normalise.json_at(F.col("raw_json"), "amount")).alias("amount"))
     return rows.where(coerce.to_text(F.col("payment_id")).isNotNull())
 
 
@@ -333,16 +488,24 @@ def to_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", coerce.to_date(written).alias("order_date"))
 
 
+_AT = lambda p: f"nullif(trim(CASE WHEN json_type(raw_json, '$.{p}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(raw_json, '$.{p}') END), '')"
+_PAID = f"replace(replace({_AT('award.amount_usd')}, '$', ''), ',', '')"
+
+
+@_query(rf"""
+    WITH g AS (SELECT *, CASE WHEN source_group = '.jsonl::grants/archive.jsonl' THEN 'archive' ELSE 'city_portal' END AS source FROM raw_records WHERE source_group IN ('.jsonl::grants/#/#-#.jsonl', '.jsonl::grants/archive.jsonl') AND json_valid(raw_json)),
+    v AS (SELECT {_AT('id')} AS grant_id, {_AT('recipient.legal_name')} AS recipient_name, {_AT('recipient.vendor_ref')} AS vendor_ref, {_AT('program.title')} AS program,
+        CASE WHEN regexp_full_match({_PAID}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN round(TRY_CAST({_PAID} AS DOUBLE), 2) END AS amount,
+        CASE WHEN regexp_full_match(substr({_AT('award.date')}, 1, 10), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(substr({_AT('award.date')}, 1, 10) AS DATE) END AS awarded_date,
+        {_AT('narrative')} AS description, source, source_group, native_id, content_hash FROM g)
+    SELECT *, CAST(year(awarded_date) AS INTEGER) AS award_year FROM v""")
 def normalised_grants(spark: SparkSession, d: str) -> DataFrame:
     """The grants of the raw records as one typed table, from two groups, by a mapping."""
     from ledgerloom.plans.packs import Source, TableMapping
 
     paths = {"grant_id": "id", "recipient_name": "recipient.legal_name", "vendor_ref": "recipient.vendor_ref", "program": "program.title", "amount": "award.amount_usd", "awarded_date": "award.date", "description": "narrative"}
     mapping = TableMapping("grants", [Source(".jsonl::grants/#/#-#.jsonl", paths, {"source": "city_portal"}), Source(".jsonl::grants/archive.jsonl", paths, {"source": "archive"})], {"amount": "money", "awarded_date": "date"}, [("award_year", "year(awarded_date)")])
-    return normalise.normalise_table(table(spark, d, "raw_records"), mapping)
-
-
-QUERIES["normalised_grants"] = normalised_grants
+    return normalise.normalise_table(table(spark, d, "raw_records"), mapping).drop("elem_index")  # null, as nothing is exploded
 
 
 # --- entities -----------------------------------------------------------------------------------------------------
@@ -360,46 +523,29 @@ def mention_counts(spark: SparkSession, d: str) -> DataFrame:
     return _mentioned(spark, d)
 
 
+# Legal forms, as in functions.text, between the word ends of RE2 on a text from ``_marked``.
 _SUFFIX = r"\b(l\.?l\.?c|l\.?l\.?p|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|pllc|pc|the)\b"
+_BARE = lambda c: f"regexp_replace({_marked(f'lower({c})')}, '{_SUFFIX}', ' ', 'g')"
 
 
 @_query(rf"""
-    SELECT entity_id, raw_name, regexp_replace(regexp_replace(lower(raw_name), '{_SUFFIX}', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS norm_key, regexp_replace(lower(raw_name), '[^a-z0-9]+', '', 'g') AS light
-    FROM (SELECT DISTINCT entity_id, raw_name FROM aliases) WHERE regexp_full_match(raw_name, '[ -~]*')""")
+    SELECT entity_id, raw_name, regexp_replace({_BARE('raw_name')}, '[^a-z0-9]+', '', 'g') AS norm_key, regexp_replace(lower(raw_name), '[^a-z0-9]+', '', 'g') AS light
+    FROM (SELECT DISTINCT entity_id, raw_name FROM aliases)""")
 def norm_key(spark: SparkSession, d: str) -> DataFrame:
-    """Normal forms of all names in plain letters (regular-expression engines differ on word ends beside others)."""
-    return _norm_keys(table(spark, d, "aliases").where(F.col("raw_name").rlike("^[ -~]*$")))
-
-
-@_whole
-def norm_key_whole(spark: SparkSession, d: str) -> DataFrame:
     """Normal forms of all names."""
-    return _norm_keys(table(spark, d, "aliases"))
-
-
-def _norm_keys(filed: DataFrame) -> DataFrame:
-    names = filed.select("entity_id", "raw_name").distinct()
+    names = table(spark, d, "aliases").select("entity_id", "raw_name").distinct()
     return names.select("entity_id", "raw_name", text.norm_aggressive(F.col("raw_name")).alias("norm_key"), text.norm_light(F.col("raw_name")).alias("light"))
 
 
 @_query(rf"""
-    WITH m AS (SELECT entity_type, raw_name, sum(n_mentions) AS n, regexp_replace(regexp_replace(lower(raw_name), '{_SUFFIX}', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS k
-        FROM aliases WHERE entity_type IN ('org', 'person') AND regexp_full_match(raw_name, '[ -~]*') GROUP BY entity_type, raw_name)
-    SELECT entity_type, k AS norm_key, arg_min(raw_name, (-n, raw_name)) AS canonical_name, CAST(sum(n) AS BIGINT) AS n_mentions
-    FROM m WHERE length(k) >= 5 AND NOT regexp_matches(raw_name, '(?i)\bon behalf of\b|\bas fiscal sponsor for\b') GROUP BY entity_type, k""")
+    WITH m AS (SELECT entity_type, raw_name, sum(n_mentions) AS n, regexp_replace({_BARE('raw_name')}, '[^a-z0-9]+', '', 'g') AS k, regexp_matches({_marked('raw_name')}, '(?i)\bon behalf of\b|\bas fiscal sponsor for\b') AS two
+        FROM aliases WHERE entity_type IN ('org', 'person') GROUP BY entity_type, raw_name)
+    SELECT entity_type, k AS norm_key, arg_min(raw_name, (-n, raw_name)) AS canonical_name, CAST(sum(n) AS BIGINT) AS n_mentions, 0 AS is_intermediary_composite FROM m WHERE length(k) >= 5 AND NOT two GROUP BY entity_type, k
+    UNION ALL SELECT entity_type, NULL, raw_name, CAST(n AS BIGINT), CAST(two AS INTEGER) FROM m WHERE length(k) < 5 OR two""")
 def entity_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(table(spark, d, "aliases").where(F.col("raw_name").rlike("^[ -~]*$")))
-
-
-@_whole
-def entity_clusters_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of all names."""
-    return _clusters(table(spark, d, "aliases"))
-
-
-def _clusters(filed: DataFrame) -> DataFrame:
-    names = filed.where(F.col("entity_type").isin("org", "person")).groupBy("entity_type", "raw_name").agg(F.sum("n_mentions").alias("n_mentions"))
-    return entities.cluster(names).where("norm_key IS NOT NULL").select("entity_type", "norm_key", "canonical_name", F.col("n_mentions").cast("bigint").alias("n_mentions"))
+    """Entities of all names: clusters of one normal form, and what the guards keep alone."""
+    names = table(spark, d, "aliases").where(F.col("entity_type").isin("org", "person")).groupBy("entity_type", "raw_name").agg(F.sum("n_mentions").alias("n_mentions"))
+    return entities.cluster(names).select("entity_type", "norm_key", "canonical_name", F.col("n_mentions").cast("bigint").alias("n_mentions"), "is_intermediary_composite")
 
 
 @_query("""
@@ -414,9 +560,11 @@ def light_candidates(spark: SparkSession, d: str) -> DataFrame:
     return entities.light_candidates(written(0, ".co ").unionByName(written(1, "co ")))
 
 
+_TOKENS = f"list_distinct(list_filter(regexp_split_to_array({_BARE('canonical_name')}, '[^a-z0-9]+'), lambda t: length(t) > 2))"
+
+
 @_query(rf"""
-    WITH e AS (SELECT entity_id, entity_type, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(canonical_name), '{_SUFFIX}', ' ', 'g'), '[^a-z0-9]+'), lambda t: length(t) > 2)) AS tokens
-        FROM entities WHERE norm_key IS NOT NULL AND n_mentions >= 3 AND regexp_full_match(canonical_name, '[ -~]*')),
+    WITH e AS (SELECT entity_id, entity_type, {_TOKENS} AS tokens FROM entities WHERE norm_key IS NOT NULL AND n_mentions >= 3),
     p AS (SELECT entity_id, entity_type, tokens, unnest(tokens) AS token FROM e),
     r AS (SELECT entity_type, token FROM p GROUP BY entity_type, token HAVING count(*) BETWEEN 2 AND 30),
     q AS (SELECT p.* FROM p JOIN r USING (entity_type, token)),
@@ -424,16 +572,15 @@ def light_candidates(spark: SparkSession, d: str) -> DataFrame:
         FROM q a JOIN q b ON a.entity_type = b.entity_type AND a.token = b.token AND a.entity_id < b.entity_id)
     SELECT entity_id_a, entity_id_b, round(s, 3) AS score FROM j WHERE s >= 0.6""")
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return entities.token_candidates(table(spark, d, "entities").where(F.col("canonical_name").rlike("^[ -~]*$"))).select("entity_id_a", "entity_id_b", "score")
-
-
-@_whole
-def jaccard_whole(spark: SparkSession, d: str) -> DataFrame:
     """Token candidates among all entities, by the documented rule."""
     return entities.token_candidates(table(spark, d, "entities")).select("entity_id_a", "entity_id_b", "score")
 
 
-@_whole
+@_query(rf"""
+    WITH e AS (SELECT entity_id, entity_type, {_TOKENS} AS tokens FROM entities WHERE norm_key IS NOT NULL AND n_mentions >= 3), p AS (SELECT entity_id, entity_type, tokens, unnest(tokens) AS token FROM e),
+    j AS (SELECT DISTINCT a.entity_id AS entity_id_a, b.entity_id AS entity_id_b, len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) AS s
+        FROM p a JOIN p b ON a.entity_type = b.entity_type AND a.token = b.token AND a.entity_id < b.entity_id)
+    SELECT entity_id_a, entity_id_b, round(s, 3) AS score FROM j WHERE s >= 0.6""")
 def jaccard_exact(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of entities alike by tokens, those with common tokens included, which the documented rule leaves out."""
     return entities.all_token_candidates(table(spark, d, "entities")).select("entity_id_a", "entity_id_b", "score")
@@ -455,32 +602,35 @@ def apply_merges(spark: SparkSession, d: str) -> DataFrame:
 
 # --- mentions and meaning -----------------------------------------------------------------------------------------
 
+# Words dropped from the end of a searched name, as in functions.text.
+_FORMS = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(x.rstrip(".,") for x in text.TRAILING_FORMS)) + "]"
+_INDEXED = lambda c: f"list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@_query(rf"""
+    WITH n AS (SELECT DISTINCT canonical_name AS entity_name, regexp_extract_all(canonical_name, '[A-Za-z0-9][A-Za-z0-9&.-]*') AS w FROM entities WHERE entity_type = 'person' AND is_intermediary_composite = 0),
+    c AS (SELECT entity_name, w[1 : list_max(list_transform(range(len(w) + 1), lambda i: CASE WHEN i = 0 OR list_contains({_FORMS}, rtrim(lower(w[i]), '.,')) THEN 0 ELSE i END))] AS w FROM n),
+    p AS (SELECT entity_name, regexp_replace(array_to_string(w, ' '), '(?i)^(the )+', '') AS matched_phrase FROM c),
+    s AS (SELECT entity_name, matched_phrase, ' ' || array_to_string({_INDEXED('matched_phrase')}, ' ') || ' ' AS needle FROM p WHERE length(matched_phrase) >= 10),
+    d AS (SELECT doc_id, ' ' || array_to_string({_INDEXED('text')}, ' ') || ' ' AS hay FROM documents WHERE text IS NOT NULL)
+    SELECT DISTINCT entity_name, matched_phrase, doc_id FROM d JOIN s ON contains(hay, needle)""")
 def mention(spark: SparkSession, d: str) -> DataFrame:
-    """Every person of the entities found by exact phrase in the documents (checked against a plain scan in the tests)."""
+    """Every person of the entities found by exact phrase in the documents."""
     names = table(spark, d, "entities").where("entity_type = 'person' AND is_intermediary_composite = 0")
     return mentions.mentions(table(spark, d, "documents"), "text", ["doc_id"], mentions.scannable(names, "canonical_name"))
 
 
-QUERIES["mention"] = mention
+# All that Python's ``split`` takes as white space, for RE2.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@_query(r"""
-    WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\n\r\t]*')),
+@_query(rf"""
+    WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, unnest(range(CASE WHEN len(ws) <= 170 THEN 1 ELSE CAST(ceil((len(ws) - 170) / 130.0) AS BIGINT) + 1 END)) AS i, text, ws FROM w)
     SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN len(ws) <= 170 THEN text ELSE array_to_string(ws[i * 130 + 1 : i * 130 + 170], ' ') END AS chunk FROM c""")
 def chunker(spark: SparkSession, d: str) -> DataFrame:
-    """Word windows of all texts in plain letters (engines differ on what else is white space)."""
-    return _chunked(table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n\r\t]*$")))
-
-
-@_whole
-def chunker_whole(spark: SparkSession, d: str) -> DataFrame:
     """Word windows of all texts."""
-    return _chunked(table(spark, d, "documents"))
-
-
-def _chunked(docs: DataFrame) -> DataFrame:
-    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(semantic.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(semantic.chunks(F.col("text"))).alias("chunk_index", "chunk"))
 
 
 @_query("""
@@ -515,22 +665,14 @@ def seeds_max(spark: SparkSession, d: str) -> DataFrame:
     return semantic.best_seed(semantic.query_scores(v, "vec_id", "embedding", _queries_of(v), "q", "qv")).select("row_id", F.round("score", 6).alias("score"), "query_id")
 
 
-@_query(r"""
-    SELECT doc_id, regexp_matches(text, '\b[HS]\.?\s?[RJ]?\.?\s?[0-9]{1,5}\b') OR len(list_filter(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9&.\-]{2,}\b'), lambda w: w NOT IN
+@_query(rf"""
+    WITH t AS (SELECT doc_id, {_marked(r"regexp_replace(text, '[\x{1c}-\x{1f}]', ' ', 'g')")} AS t FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, regexp_matches(t, '\b[HS]\.?\s?[RJ]?\.?\s?[0-9]{{1,5}}\b') OR len(list_filter(regexp_extract_all(t, '\b[A-Z][A-Za-z0-9&.\-]{{2,}}\b'), lambda w: w NOT IN
         ('The', 'This', 'Act', 'Bill', 'Issues', 'House', 'Senate', 'Congress', 'Federal', 'United', 'States', 'General', 'All'))) > 0 AS specific
-    FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\n\r\t]*')""")
+    FROM t""")
 def specificity(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n\r\t]*$")))
-
-
-@_whole
-def specificity_whole(spark: SparkSession, d: str) -> DataFrame:
     """Whether a text is specific, for all texts."""
-    return _judged(table(spark, d, "documents"))
-
-
-def _judged(docs: DataFrame) -> DataFrame:
-    return docs.where("text IS NOT NULL").select("doc_id", semantic.is_specific(F.col("text")).alias("specific"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", semantic.is_specific(F.col("text")).alias("specific"))
 
 
 @_query("""
@@ -539,9 +681,14 @@ def quarter(spark: SparkSession, d: str) -> DataFrame:
     return semantic.with_quarter(table(spark, d, "orders"), "o_orderdate").select("o_orderkey", "year", "quarter")
 
 
-@_query("SELECT quantile_cont(l_extendedprice, 0.995) AS floor FROM lineitem")
-def percentile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").agg(F.percentile("l_extendedprice", 0.995).alias("floor"))
+@_query("""
+    WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1)
+    SELECT round(quantile_cont(list_inner_product(a.e, b.e), 0.995), 9) AS floor FROM a JOIN b ON a.i = b.i""")
+def noise_floor(spark: SparkSession, d: str) -> DataFrame:
+    """The likeness that unrelated pairs hardly exceed, over the pairs of two spaces in their order."""
+    v = table(spark, d, "embeddings")
+    floor = semantic.noise_floor(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), "embedding", "vec_id")
+    return spark.createDataFrame([(round(floor, 9),)], "floor double")
 
 
 def _bridge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -552,41 +699,52 @@ def _bridge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return ties, press, descriptions
 
 
-@_query("""
-    WITH v AS (SELECT vec_id, label, 'q' || CAST((vec_id // 2) % 4 AS VARCHAR) AS q, embedding::DOUBLE[] AS e FROM embeddings),
+_ANCHORED = """
+    v AS (SELECT vec_id, label, 'q' || CAST((vec_id // 2) % 4 AS VARCHAR) AS q, embedding::DOUBLE[] AS e FROM embeddings),
     p AS (SELECT * FROM v WHERE vec_id % 2 = 0), d AS (SELECT * FROM v WHERE vec_id % 2 = 1),
     m AS (SELECT label, q, i, avg(x) AS m FROM (SELECT label, q, unnest(range(len(e))) AS i, unnest(e) AS x FROM d) GROUP BY label, q, i),
     c AS (SELECT label, q, list(m ORDER BY i) AS mean FROM m GROUP BY label, q),
     s AS (SELECT p.label, p.q, p.vec_id AS pc, d.vec_id AS dc, list_inner_product(p.e, d.e) AS sim, p.e AS pe FROM p JOIN d ON p.label = d.label AND p.q = d.q),
     b AS (SELECT label, q, pc, max(sim) AS sim, arg_max(dc, (sim, -dc)) AS dc, any_value(pe) AS pe FROM s GROUP BY label, q, pc),
     g AS (SELECT b.*, sim - list_inner_product(pe, mean) / (sqrt(list_inner_product(mean, mean)) + 1e-9) AS margin FROM b JOIN c ON b.label = c.label AND b.q = c.q),
-    t AS (SELECT *, row_number() OVER (PARTITION BY label, q ORDER BY sim DESC, pc) AS r FROM g)
-    SELECT CAST(label AS VARCHAR) AS member, 'C' || label AS client, q AS quarter, pc AS press_chunk, dc AS description_chunk, round(sim, 5) AS sim, round(margin, 5) AS margin FROM t WHERE r = 1 AND margin >= 0.08""")
+    t AS (SELECT *, row_number() OVER (PARTITION BY label, q ORDER BY sim DESC, pc) AS r FROM g),
+    scored AS (SELECT CAST(label AS VARCHAR) AS member, 'C' || label AS client, q AS quarter, pc, dc, sim, margin FROM t WHERE r = 1 AND margin >= 0.08),
+    income AS (SELECT 'C' || (c_custkey % 10) AS client, sum(c_acctbal) AS income FROM customer GROUP BY 1),
+    ranked AS (SELECT s.*, (sim + margin) * log10(greatest(10, coalesce(income, 0))) * 1.5 AS rank FROM scored s LEFT JOIN income i ON s.client = i.client),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY rank DESC, member, pc) AS n FROM ranked) WHERE n <= 3 ORDER BY rank DESC, member, pc LIMIT 60)"""
+
+
+@_query(f"WITH {_ANCHORED} SELECT member, client, quarter, pc AS press_chunk, dc AS description_chunk, round(sim, 5) AS sim, round(margin, 5) AS margin FROM scored")
 def anchored_score(spark: SparkSession, d: str) -> DataFrame:
     ties, press, descriptions = _bridge(spark, d)
     out = semantic.anchored_scores(ties, press, descriptions, float("-inf"))
     return out.select("member", "client", "quarter", "press_chunk", "description_chunk", F.round("sim", 5).alias("sim"), F.round("margin", 5).alias("margin"))
 
 
-def bridge_leads(spark: SparkSession, d: str) -> DataFrame:
-    """Leads of the anchored pairs, ranked, capped per client and cut to the top."""
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
     ties, press, descriptions = _bridge(spark, d)
-    scored = semantic.anchored_scores(ties, press, descriptions, float("-inf"))
-    chosen = semantic.rank_and_cap(scored, spark.createDataFrame([], "client string, income double"))
-    texts = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.concat(F.lit("text "), "vec_id").alias("text"), F.lit("embeddings").alias("source_group"), F.col("vec_id").cast("string").alias("native_id"))
-    return semantic.semantic_leads(chosen, texts, texts, "run-1")
+    income = table(spark, d, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") % 10).cast("string")).alias("client"), F.col("c_acctbal").alias("income"))
+    return semantic.rank_and_cap(semantic.anchored_scores(ties, press, descriptions, float("-inf")), income)
 
 
-QUERIES["bridge_leads"] = bridge_leads
+@_query(f"WITH {_ANCHORED} SELECT member, client, quarter, pc AS press_chunk, round(rank, 5) AS rank FROM chosen")
+def rank_and_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Anchored pairs ranked with the income of their clients, three of each client at most, the first sixty."""
+    return _chosen(spark, d).select("member", "client", "quarter", "press_chunk", F.round("rank", 5).alias("rank"))
 
 
-@_query("""
-    WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS n FROM lineitem)
-    SELECT l_suppkey, l_extendedprice, CAST(n AS INTEGER) AS n FROM r WHERE n <= 3""")
-def cap3(spark: SparkSession, d: str) -> DataFrame:
-    """At most three of each supplier, best first; kept per slot before the last cut, so no supplier is a hot spot."""
-    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("row_id"), F.col("l_extendedprice").alias("score"))
-    return semantic.top_k(lines, 3).select(F.col("query_id").alias("l_suppkey"), F.col("score").alias("l_extendedprice"), F.col("rank").alias("n"))
+@_query(f"""
+    WITH {_ANCHORED}, docs AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk, doc_id, text FROM documents)
+    SELECT 'semantic_say_do_anchored' AS detector_id, 'named_person' AS defamation_tier, round(rank, 5) AS score, CAST(a.doc_id AS VARCHAR) || '|' || CAST(b.doc_id AS VARCHAR) AS ids, coalesce(substr(a.text, 1, 240), '') AS quoted
+    FROM chosen JOIN docs a ON a.chunk = pc JOIN docs b ON b.chunk = dc""")
+def bridge_leads(spark: SparkSession, d: str) -> DataFrame:
+    """Leads of the ranked pairs, with texts of the documents standing at the chunks' numbers and their locators."""
+    docs = profile.rank_within(table(spark, d, "documents").select("doc_id", "text", F.lit(0).alias("_one")), "_one", "doc_id")
+    texts = docs.select(F.col("_rank").alias("chunk"), "text", F.lit("documents").alias("source_group"), F.col("doc_id").cast("string").alias("native_id"))
+    leads = semantic.semantic_leads(_chosen(spark, d), texts, texts, "run-1")
+    e = F.from_json("evidence", "array<struct<locators:array<struct<native_id:string>>,values:struct<value:string>>>")
+    ids = F.array_join(F.transform(e, lambda x: x["locators"][0]["native_id"]), "|")
+    return leads.select("detector_id", "defamation_tier", F.round("score", 5).alias("score"), ids.alias("ids"), F.coalesce(e[0]["values"]["value"], F.lit("")).alias("quoted"))
 
 
 # --- dossiers -----------------------------------------------------------------------------------------------------
@@ -606,19 +764,37 @@ def bundle_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""
-    SELECT DISTINCT e.entity_id, l.lead_id FROM entities e JOIN (SELECT DISTINCT lead_id, claim FROM leads) l ON contains(lower(l.claim), lower(e.canonical_name))
-    WHERE length(e.canonical_name) >= 5 AND regexp_full_match(e.canonical_name, '[ -~]*') AND regexp_full_match(l.claim, '[ -~]*')""")
+    SELECT DISTINCT e.entity_id, l.lead_id FROM entities e JOIN (SELECT DISTINCT lead_id, claim FROM leads) l ON contains(lower(l.claim), lower(e.canonical_name)) WHERE length(e.canonical_name) >= 5""")
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
-    plain = lambda c: F.col(c).rlike("^[ -~]*$")
-    return dossier.backlinks(table(spark, d, "leads").where(plain("claim")).select("lead_id", "claim").distinct(), table(spark, d, "entities").where(plain("canonical_name")))
-
-
-@_whole
-def backlinks_whole(spark: SparkSession, d: str) -> DataFrame:
     """Backlinks of all claims to all names."""
     return dossier.backlinks(table(spark, d, "leads").select("lead_id", "claim").distinct(), table(spark, d, "entities"))
 
 
+@_query("""
+    WITH v AS (SELECT lead_id, unnest(CAST(json_extract(evidence, '$[*].values.*') AS JSON[])) AS j FROM leads),
+    t AS (SELECT DISTINCT lead_id, claim AS text FROM leads UNION SELECT lead_id, json_extract_string(j, '$') FROM v)
+    SELECT DISTINCT e.entity_id, t.lead_id FROM entities e JOIN t ON contains(lower(t.text), lower(e.canonical_name)) WHERE length(e.canonical_name) >= 5""")
+def entity_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Entities named in claims or in the values that evidence quotes."""
+    return dossier.entity_scan(table(spark, d, "leads"), table(spark, d, "entities"))
+
+
+@_query(f"""
+    WITH top AS (SELECT * FROM leads WHERE lead_id % 100 = 0), l AS ({_LOCATORS.replace('FROM leads)', 'FROM top)')}), w AS (SELECT DISTINCT source_group, native_id FROM l WHERE native_id IS NOT NULL)
+    SELECT w.source_group, w.native_id, r.content_hash, count(*) AS n FROM w LEFT JOIN raw_records r ON r.source_group = w.source_group AND r.native_id = w.native_id GROUP BY ALL""")
+def lead_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The records that every hundredth lead points at (a dossier of stated leads), each with its rows; unknown ones too."""
+    asked = table(spark, d, "leads").where("lead_id % 100 = 0")
+    return dossier.lead_sources(asked, table(spark, d, "raw_records")).groupBy("source_group", "native_id", "content_hash").agg(F.count("*").alias("n"))
+
+
+@_query(r"""
+    WITH c AS (SELECT DISTINCT lead_id, claim, regexp_extract_all(claim, '\(([^)]{4,160})\)', 1) AS every, regexp_extract(claim, '\bfor \(([^)]{4,160})\)', 1) AS named FROM leads)
+    SELECT lead_id, CASE WHEN named <> '' THEN named WHEN len(every) > 0 THEN every[-1] ELSE coalesce(nullif(substr(claim, 1, 60), ''), 'lead') END AS label FROM c""")
+def lead_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "leads").select("lead_id", "claim").distinct().select("lead_id", text.lead_label(F.col("claim")).alias("label"))
+
+
 @_query("""
     WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)
     SELECT p_partkey, CASE WHEN s = '' THEN 'untitled' ELSE rtrim(substr(s, 1, 60), '-') END AS slug FROM s""")
@@ -633,31 +809,19 @@ def safe_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").select("native_id").distinct().select("native_id", text.safe_id(F.col("native_id")).alias("safe"))
 
 
-@_query("SELECT lead_id, claim FROM (SELECT DISTINCT lead_id, claim, rank_score, score FROM leads WHERE score IS NULL OR NOT isnan(score)) ORDER BY rank_score DESC NULLS LAST, score DESC NULLS LAST, lead_id LIMIT 50")
+@_query("""
+    SELECT lead_id, claim FROM (SELECT DISTINCT lead_id, claim, CASE WHEN isnan(rank_score) THEN NULL ELSE rank_score END AS r, CASE WHEN isnan(score) THEN NULL ELSE score END AS s FROM leads) ORDER BY r DESC NULLS LAST, s DESC NULLS LAST, lead_id LIMIT 50""")
 def top_leads(spark: SparkSession, d: str) -> DataFrame:
-    """The fifty leads a dossier starts from (a top-k report)."""
-    leads = table(spark, d, "leads").where("score IS NULL OR NOT isnan(score)").select("lead_id", "claim", "rank_score", "score").distinct()
-    return dossier.top_leads(leads).select("lead_id", "claim")
-
-
-@_whole
-def top_leads_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The fifty leads out of all; scores that are not numbers come last, with the missing ones."""
+    """The fifty leads a dossier starts from (a top-k report); scores that are not numbers come last, with the missing ones."""
     return dossier.top_leads(table(spark, d, "leads").select("lead_id", "claim", "rank_score", "score").distinct()).select("lead_id", "claim")
 
 
 @_query("""
-    SELECT name, coalesce(a, b) AS entity_id FROM (SELECT DISTINCT upper(raw_name) AS name, lower(upper(raw_name)) AS n FROM aliases WHERE regexp_full_match(raw_name, '[ -~]*')) w
+    SELECT name, coalesce(a, b) AS entity_id FROM (SELECT DISTINCT raw_name AS name, lower(raw_name) AS n FROM aliases) w
     LEFT JOIN (SELECT lower(canonical_name) AS n, min(entity_id) AS a FROM entities GROUP BY 1) o ON w.n = o.n
     LEFT JOIN (SELECT lower(raw_name) AS n, min(entity_id) AS b FROM aliases GROUP BY 1) x ON w.n = x.n WHERE coalesce(a, b) IS NOT NULL""")
 def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
-    filed = table(spark, d, "aliases")
-    return dossier.entity_of_name(filed.where(F.col("raw_name").rlike("^[ -~]*$")).select(F.upper("raw_name").alias("name")), table(spark, d, "entities"), filed)
-
-
-@_whole
-def entity_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All names looked up as written (upper case does not lead back to every letter)."""
+    """All names looked up, letter case aside."""
     filed = table(spark, d, "aliases")
     return dossier.entity_of_name(filed.select(F.col("raw_name").alias("name")), table(spark, d, "entities"), filed)
 

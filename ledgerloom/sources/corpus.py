@@ -366,6 +366,24 @@ def read_corpus(spark: SparkSession, path: str, only: str | None = None, files:
     return rows.select("source_group", "source_file", ids.alias("native_id"), "content_hash", "raw_json", no.alias("record_no"))
 
 
+def hash_of_records(records: DataFrame, key: str = "ord", text: str = "raw_json") -> DataFrame:
+    """(key, content_hash): the canonical hash of every record that is complete JSON; others and null keys give no row."""
+
+    def run(batches):
+        for batch in batches:
+            keys, hashes = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    hashes.append(canonical_hash(json.loads(t)))
+                    keys.append(k)
+                except (ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.string())], ["k", "content_hash"])
+
+    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint"), text)
+    return rows.mapInArrow(run, "k bigint, content_hash string").withColumnRenamed("k", key)
+
+
 def first_of_each(records: DataFrame) -> DataFrame:
     """One row per (source_group, native_id, content_hash): that of the first file by name, then the first record.
 
