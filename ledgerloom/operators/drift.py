@@ -2,8 +2,8 @@
 
 A column-lifespan catalogue has one row per directory, field, type and file.  ``lag`` over the numbered files of a
 directory turns it into islands; an island that starts or ends inside the directory's series is a change.  A field that
-ends where another of the same kind starts is a rename if the two never stand in one file of the directory and their
-content looks alike.  Content is compared in a second pass over only those files and fields that are still in question.
+ends where another of the same kind starts is a rename if it keeps its parent or its own name, the two never stand in one
+file of the directory and their content looks alike.  Content is compared in a second pass over only those files and fields that are still in question.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from ledgerloom.operators.shred import elements_of, find_repeating, opened, pars
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
-#: Least likeness of content (0..1) for a rename.
-ALIKE = 0.43
-_FEATURES = 256
+#: Least likeness of content (0..1) for a rename: the two have more in common than not.
+ALIKE = 0.5
 
 
 def fields_of(record: dict, repeated: frozenset[str]):
@@ -63,7 +62,6 @@ def _kind(v) -> str:
 def features_of(value) -> list[tuple[str, int]]:
     """Kinds of evidence in one value, (family, bucket): the form of the text and its words, or names of what it holds."""
     if isinstance(value, list):
-        value = [v for v in value[:50]]
         if value and not isinstance(value[0], dict):
             return [("word", _bucket(str(v).lower())) for v in value]
         return [("name", _bucket(k)) for v in value if isinstance(v, dict) for k in v]
@@ -82,7 +80,7 @@ def features_of(value) -> list[tuple[str, int]]:
 
 
 def _bucket(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % _FEATURES
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def _files(df: DataFrame) -> DataFrame:
@@ -94,7 +92,7 @@ def _directory(file: Column) -> Column:
     return F.regexp_replace(file, r"/?[^/]*$", "")
 
 
-def catalogue(df: DataFrame, repeating: DataFrame) -> DataFrame:
+def catalogue(df: DataFrame, repeating: DataFrame, every_file: bool = False) -> DataFrame:
     """(source_group, source_file, path, kind, n): how many records of a file have a field with a value of a type.
 
     Counts are combined per task before the shuffle.  A row with an empty path counts the file's parsed records, so a
@@ -115,7 +113,7 @@ def catalogue(df: DataFrame, repeating: DataFrame) -> DataFrame:
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in keys], pa.string()) for i in range(4)), pa.array([counts[x] for x in keys], pa.int64())], ["source_group", "source_file", "path", "kind", "n"])
 
-    rows = _files(df).select("source_group", "source_file", "raw_json").join(broadcast_if_small(repeating), "source_group", "left")
+    rows = (df if every_file else _files(df)).select("source_group", "source_file", "raw_json").join(broadcast_if_small(repeating), "source_group", "left")
     found = rows.mapInArrow(run, "source_group string, source_file string, path string, kind string, n bigint")
     return found.groupBy("source_group", "source_file", "path", "kind").agg(F.sum("n").alias("n"))
 
@@ -169,13 +167,13 @@ def _similarity(df: DataFrame, repeating: DataFrame, wanted: DataFrame) -> DataF
                         counts.update((f, p, *x) for x in features_of(v))
             keys = list(counts)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([x[i] for x in keys], pa.string()) for i in range(3)), pa.array([x[3] for x in keys], pa.int32()), pa.array([counts[x] for x in keys], pa.int64())],
+                [*(pa.array([x[i] for x in keys], pa.string()) for i in range(3)), pa.array([x[3] for x in keys], pa.int64()), pa.array([counts[x] for x in keys], pa.int64())],
                 ["source_file", "path", "family", "bucket", "n"],
             )
 
     rows = _files(df).select("source_group", "source_file", "raw_json").join(broadcast_if_small(repeating), "source_group", "left")
     rows = rows.join(broadcast_if_small(per_file), "source_file").select("source_group", "source_file", "raw_json", "paths", "asked")
-    found = rows.mapInArrow(run, "source_file string, path string, family string, bucket int, n bigint")
+    found = rows.mapInArrow(run, "source_file string, path string, family string, bucket bigint, n bigint")
     return found.groupBy("source_file", "path", "family", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -198,7 +196,7 @@ def changes(df: DataFrame) -> DataFrame:
     new = events.where("event = 'added'").select("dir", "at", "kind", F.col("path").alias("new"))
     # The catalogue and what follows from it grow with the files; as they compress well, their size on disk would have
     # them broadcast, hence the hints.
-    pairs = old.join(new.hint("merge"), ["dir", "at", "kind"])
+    pairs = old.join(new.hint("merge"), ["dir", "at", "kind"]).where(_related(F.col("old"), F.col("new")))
     present = life.select("dir", F.col("at").alias("_at"), "path")
     both = pairs.join(present.withColumnRenamed("path", "old").hint("merge"), ["dir", "old"]).join(present.withColumnRenamed("path", "new").hint("merge"), ["dir", "new", "_at"])
     pairs = cut(pairs.join(both.select("dir", "at", "old", "new").distinct().hint("merge"), ["dir", "at", "old", "new"], "left_anti"))
@@ -215,8 +213,8 @@ def changes(df: DataFrame) -> DataFrame:
     right = hist.select(F.col("source_file").alias("new_file"), F.col("path").alias("new"), "family", "bucket", F.col("share").alias("_b"))
     like = left.join(right.hint("merge"), ["new_file", "new", "family", "bucket"]).groupBy("dir", "at", "old", "new", "family").agg(F.sum(F.sqrt(F.col("_a") * F.col("_b"))).alias("bc"))
     by = like.groupBy("dir", "at", "old", "new").agg(*[F.max(F.when(F.col("family") == x, F.col("bc"))).alias(x) for x in ("form", "word", "name")])
-    content = F.coalesce("name", F.col("form") * 0.65 + F.coalesce("word", F.col("form")) * 0.35, F.col("word"))
-    by = by.withColumn("content", content).where(F.col("content") >= ALIKE).withColumn("likeness", F.col("content") + _kinship(F.col("old"), F.col("new")))
+    # The forms of the values, or the names they hold, decide; words, which ids and dates do not share, only rank.
+    by = by.where(F.coalesce("name", "form", F.lit(0.0)) >= ALIKE).withColumn("likeness", F.coalesce("name", F.col("form") + F.coalesce("word", F.lit(0.0))))
     renamed = _best_pairs(by)
 
     renamed = renamed.select("dir", "at", F.col("old").alias("path"), F.col("new").alias("new_path"), F.lit("renamed").alias("event"))
@@ -226,27 +224,27 @@ def changes(df: DataFrame) -> DataFrame:
     return out.select("source_group", "source_file", F.col("event").alias("change_kind"), F.col("path").alias("field_path"), "new_path")
 
 
-def _kinship(old: Column, new: Column) -> Column:
-    """Preference among partners of like content: the same parent, like names, the same depth of repetition."""
-    leaf = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^.]*)$", 1), r"[^A-Za-z0-9]", ""))
+def _related(old: Column, new: Column) -> Column:
+    """A field that is renamed keeps its parent, one that is moved keeps its name."""
     parent = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
-    depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit("[]"), F.lit("")))
-    a, b = leaf(old), leaf(new)
-    name = F.when(a == b, 0.25).when(a.contains(b) | b.contains(a), 0.1).otherwise(0.0)
-    return name + F.when(parent(old) == parent(new), 0.25).otherwise(0.0) - F.when(depth(old) != depth(new), 0.2).otherwise(0.0)
+    leaf = lambda c: F.replace(F.regexp_extract(c, r"([^.]*)$", 1), F.lit("[]"), F.lit(""))
+    return (parent(old) == parent(new)) | (leaf(old) == leaf(new))
 
 
 def _best_pairs(pairs: DataFrame) -> DataFrame:
-    """One partner per field and file: a pair stands if it is the best of both its sides; then the rest once more."""
-    chosen = None
-    left = pairs
-    for _ in range(3):
+    """One partner per field and file: a pair stands if it is the best of both its sides; then so among the rest, until
+    none is left.  Each round settles a pair of every file that has one, so it ends."""
+    chosen = left = pairs.select("dir", "at", "old", "new", "likeness")
+    chosen = chosen.limit(0).drop("likeness")
+    while True:
         rank = lambda side: F.row_number().over(Window.partitionBy("dir", "at", side).orderBy(F.desc("likeness"), "old", "new"))
-        best = left.withColumns({"_o": rank("old"), "_n": rank("new")}).where("_o = 1 AND _n = 1").select("dir", "at", "old", "new")
-        best = cut(best)
-        chosen = best if chosen is None else chosen.unionByName(best)
-        left = left.join(best.select("dir", "at", "old"), ["dir", "at", "old"], "left_anti").join(best.select("dir", "at", "new"), ["dir", "at", "new"], "left_anti")
-    return chosen
+        best = cut(left.withColumns({"_o": rank("old"), "_n": rank("new")}).where("_o = 1 AND _n = 1").select("dir", "at", "old", "new"))
+        if best.isEmpty():
+            return chosen
+        chosen = chosen.unionByName(best)
+        left = cut(left.join(best.select("dir", "at", "old"), ["dir", "at", "old"], "left_anti").join(best.select("dir", "at", "new"), ["dir", "at", "new"], "left_anti"))
+        if left.isEmpty():
+            return chosen
 
 
 def alias_table(changed: DataFrame) -> DataFrame:
@@ -307,3 +305,55 @@ def unified(df: DataFrame) -> DataFrame:
         F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain).try_cast("double").alias("number"),
         F.when(F.lower("text").isin("true", "yes", "y"), True).when(F.lower("text").isin("false", "no", "n"), False).alias("flag"),
     )
+
+
+def canonical_types(life: DataFrame, alias: DataFrame) -> DataFrame:
+    """(field, kind): the commonest type of every canonical field outside lists, over all files of all directories."""
+    named = life.where(~F.contains("path", F.lit("[]"))).select("dir", "path", "kind", "n")
+    named = named.join(broadcast_if_small(_by_directory(alias)), "dir", "left").withColumn("field", F.when(F.col("aliases").isNull(), F.col("path")).otherwise(_last_name(F.col("path"), F.col("aliases"))))
+    per = named.groupBy("field", "kind").agg(F.sum("n").alias("n"))
+    return per.groupBy("field").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+
+
+def _cast(text: Column, kind: str) -> Column:
+    """What a text of another file stands for in a field of this type; null if it stands for nothing of the kind."""
+    if kind == "number":
+        plain = F.regexp_extract(F.regexp_replace(text, r"[$,\s]", ""), r"^(?:FY|#)?([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)%?$", 1)
+        return F.nullif(plain, F.lit("")).try_cast("double")
+    if kind == "boolean":
+        low = F.lower(F.trim(text))
+        return F.when(low.isin("true", "yes", "y"), True).when(low.isin("false", "no", "n"), False)
+    return text
+
+
+def unified_table(df: DataFrame) -> DataFrame:
+    """One row per record of all files, with one typed column per canonical field outside lists.
+
+    The columns and the casts into them are generated from the catalogue and the alias table: a column stands under the
+    last name of its field, has the type its field has most often, and takes over what earlier names and types held.  What
+    a cast cannot read is kept as text in ``uncast``, so no value is lost.  The list of columns is as long as the schemas.
+    Names become ``a_b``; one that would clash with another, letter case aside, gets a number.
+    """
+    repeating = find_repeating(df)
+    changed = cut(changes(df))
+    alias = cut(alias_table(changed))
+    life = catalogue(df.where("source_group IS NOT NULL AND source_file IS NOT NULL"), repeating, every_file=True)
+    life = life.where("path <> ''").withColumn("dir", _directory(F.col("source_file")))
+    types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect() if r["kind"] not in ("object",)]
+    rows = shred(df).where("child_path = ''").join(df.select("ord", "source_file").dropDuplicates(["ord"]), "ord").withColumn("dir", _directory(F.col("source_file")))
+    rows = rows.join(broadcast_if_small(_by_directory(alias)), "dir", "left")
+    last = lambda k, _: F.when(F.col("aliases").isNull(), k).otherwise(_last_name(k, F.col("aliases")))
+    entries = F.transform(F.map_entries("fields"), lambda e: F.struct(last(e["key"], None).alias("key"), e["value"].alias("value")))
+    rows = rows.withColumn("own", entries)
+    taken = {"ord", "source_group", "source_file", "uncast"}
+    cols, lost = [], []
+    for field, kind in types:
+        name = re.sub(r"\W+", "_", field).strip("_") or "field"
+        while name.lower() in taken:
+            name += "_2"
+        taken.add(name.lower())
+        text = F.get(F.filter("own", lambda e: e["key"] == field), F.lit(0))["value"]  # noqa: B023
+        cols.append(_cast(text, kind).alias(name))
+        lost.append(F.when(text.isNotNull() & _cast(text, kind).isNull(), F.struct(F.lit(field).alias("key"), text.alias("value"))))
+    uncast = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.create_map().cast("map<string,string>")
+    return rows.select("ord", "source_group", "source_file", *cols, F.to_json(uncast).alias("uncast"))

@@ -170,7 +170,7 @@ def normalise_instants(df: DataFrame, text: str = "pub_date", zone: str = "zone_
 
     clean = F.translate(F.col(f"`{text}`").cast("string"), BLANKS + DASHES + _SEP, " " * len(BLANKS) + "-" * len(DASHES))
     clean = F.translate(F.lower(F.trim(F.regexp_replace(clean, " {2,}", " "))), "áàâäéèêëíïîóôöúùûüçñ", "aaaaeeeeiiiooouuuucn")
-    parts = F.split(F.when(F.length(clean) <= 200, F.regexp_replace(clean, regex, replacement)), _SEP)
+    parts = F.split(F.regexp_replace(clean, regex, replacement), _SEP)
     out = df.select(F.struct("*").alias("row"), F.col(f"`{zone}`").alias("local"), F.col(f"`{day_first}`").alias("first"), parts.alias("p"))
     part = {name: F.nullif(F.get("p", F.lit(i)), F.lit("")) for i, name in enumerate(_FIELDS)}
     number = lambda name: part[name].cast("int")

@@ -11,13 +11,13 @@ holding JSON of one of those.  Text that is not complete JSON gives no rows.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import deep
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
@@ -25,12 +25,12 @@ _TYPE = {bool: "boolean", int: "number", float: "number", str: "text", dict: "ob
 
 
 def parse(text: str | None):
-    """The record, or None for null, incomplete or invalid JSON and for nesting beyond the interpreter's limit."""
+    """The record, or None for null, incomplete or invalid JSON; nesting may be as deep as it likes."""
     if not text:
         return None
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return deep.loads(text)
+    except ValueError:
         return None
 
 
@@ -63,21 +63,20 @@ def elements_of(value) -> list[tuple[int, object]]:
 
 def repeating_paths(value, path: str, out: set[str]) -> None:
     """Collect the paths (names joined by ``.``) under which a list of objects is held."""
-    value = opened(value)
-    if isinstance(value, dict):
-        if path and is_index_map(value):
-            value = list(value.values())
-        else:
-            for k, v in value.items():
-                if v.__class__ in (dict, list, str):
-                    repeating_paths(v, f"{path}.{k}" if path else k, out)
-            return
-    if isinstance(value, list):
-        if path and any(isinstance(v, dict) for v in value):
-            out.add(path)
-        for v in value:
-            if isinstance(v, (dict, list)):
-                repeating_paths(v, path, out)
+    stack = [(value, path)]
+    while stack:
+        value, path = stack.pop()
+        value = opened(value)
+        if isinstance(value, dict):
+            if path and is_index_map(value):
+                value = list(value.values())
+            else:
+                stack.extend((v, f"{path}.{k}" if path else k) for k, v in value.items() if v.__class__ in (dict, list, str))
+                continue
+        if isinstance(value, list):
+            if path and any(isinstance(v, dict) for v in value):
+                out.add(path)
+            stack.extend((v, path) for v in value if isinstance(v, (dict, list)))
 
 
 def triples(value: dict, repeated: frozenset[str]) -> Iterator[tuple[str, str, str, str, object, str]]:
@@ -152,7 +151,7 @@ def shred(df: DataFrame, key: str = "ord", group: str = "source_group", text: st
                     if not column:
                         rows[table, row] = [k, g, table, row, up, up_row, []]
                     elif values and value is not None:
-                        rows[table, row][6].append((column, value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)))
+                        rows[table, row][6].append((column, value if isinstance(value, str) else deep.dumps(value)))
                 for r in rows.values():
                     if root or r[2]:
                         for c, v in zip(cols, r):

@@ -42,4 +42,36 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "raw_records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_status, p2_found, p2_tables, p2_contacts, p3_found, p3_unified)}
+def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record of all files, with one typed column per field under its last name."""
+    return drift.unified_table(table(spark, sf_dir, "raw_records"))
+
+
+def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue itself: in how many files of a directory each top-level field stands with each type."""
+    raw = table(spark, sf_dir, "raw_records")
+    life = drift.catalogue(raw, shred.find_repeating(raw))
+    top = life.where("path <> '' AND NOT contains(path, '.') AND NOT contains(path, '[]')")
+    return top.groupBy("source_group", F.col("path").alias("field"), "kind").agg(F.count("*").alias("files"), F.sum("n").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_status, p2_found, p2_tables, p2_contacts, p3_found, p3_types, p3_unified, p3_table)}
+
+ORACLE = {
+    "p2_contacts": r"""
+        WITH r AS (SELECT ord, json_extract(raw_json, '$.recipient') AS r FROM raw_records WHERE json_valid(raw_json)),
+        v AS (SELECT ord, CASE WHEN json_type(r, '$.contacts') = 'VARCHAR' AND json_valid(json_extract_string(r, '$.contacts')) THEN CAST(json_extract_string(r, '$.contacts') AS JSON) ELSE json_extract(r, '$.contacts') END AS v FROM r),
+        k AS (SELECT ord, v, json_type(v) AS t, CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) END AS ks FROM v),
+        e AS (SELECT ord, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS pos, unnest(CAST(v AS JSON[])) AS el FROM k WHERE t = 'ARRAY'
+            UNION ALL SELECT ord, CAST(x AS BIGINT), json_extract(v, '$."' || x || '"') FROM (SELECT ord, v, unnest(ks) AS x FROM k WHERE t = 'OBJECT' AND list_bool_and(list_transform(ks, lambda x: regexp_full_match(x, '[0-9]+'))))
+            UNION ALL SELECT ord, 0, v FROM k WHERE t = 'OBJECT' AND NOT list_bool_and(list_transform(ks, lambda x: regexp_full_match(x, '[0-9]+'))))
+        SELECT ord, CAST(pos AS VARCHAR) AS elem_pos, '' AS parent_path, '' AS parent_pos, json_extract_string(el, '$.name') AS name, json_extract_string(el, '$.role') AS role, json_extract_string(el, '$.position') AS position, json_extract_string(el, '$.email') AS email
+        FROM e WHERE json_type(el) = 'OBJECT'""",
+    "p3_types": r"""
+        WITH f AS (SELECT source_group, source_file, raw_json FROM raw_records WHERE json_valid(raw_json) AND json_type(raw_json) = 'OBJECT' AND source_group IS NOT NULL AND source_file IS NOT NULL AND NOT regexp_matches(source_file, '(?i)\.xml$')),
+        c AS (SELECT source_group, source_file, k AS field, json_type(raw_json, '$."' || k || '"') AS t, json_extract_string(raw_json, '$."' || k || '"') AS s FROM (SELECT *, unnest(json_keys(raw_json)) AS k FROM f)),
+        m AS (SELECT source_group, source_file, field, CASE WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' WHEN t = 'OBJECT' THEN 'object' WHEN t = 'ARRAY' THEN 'list' ELSE 'text' END AS kind
+            FROM c WHERE t <> 'NULL' AND NOT (t = 'VARCHAR' AND trim(s) = '') AND field NOT IN ('amendments', 'changes', 'splits', 'subawards')),
+        n AS (SELECT source_group, field, kind, source_file, count(*) AS n FROM m GROUP BY ALL)
+        SELECT source_group, field, kind, count(*) AS files, CAST(sum(n) AS BIGINT) AS records FROM n GROUP BY ALL""",
+}

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ledgerloom.functions import deep
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
@@ -36,12 +37,12 @@ _OPENING = 4 << 20
 
 
 def dumps(record) -> str:
-    return json.dumps(record, ensure_ascii=False, separators=(",", ":"))
+    return deep.dumps(record)
 
 
 def canonical_hash(record) -> str:
     """SHA-256 of the record with sorted names and compact separators."""
-    return hashlib.sha256(json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
+    return hashlib.sha256(deep.dumps(record, sort_keys=True).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def native_id(record: dict, fallback: str | None, fields=ID_FIELDS) -> str | None:
@@ -110,8 +111,8 @@ def read_jsonl(stream, start: int, end: int) -> Iterator[tuple[int, dict, str]]:
         body = raw.decode("utf-8", "replace").strip()
         if body:
             try:
-                yield no, _wrapped(json.loads(body)), f"line={no}"
-            except (ValueError, RecursionError):
+                yield no, _wrapped(deep.loads(body)), f"line={no}"
+            except ValueError:
                 continue
 
 
@@ -185,13 +186,13 @@ def read_json(stream) -> Iterator[tuple[int, dict, str]]:
         if source.held[lead : lead + 1] == b"[":
             for i, text in enumerate(elements(source, lead + 1)):
                 if text.strip():
-                    yield i, _wrapped(json.loads(text.decode("utf-8", "replace"))), f"index={i}"
+                    yield i, _wrapped(deep.loads(text.decode("utf-8", "replace"))), f"index={i}"
         else:
             while source.more():
                 pass
-            for i, (value, locator) in enumerate(_members(json.loads(source.held[lead:].decode("utf-8", "replace")))):
+            for i, (value, locator) in enumerate(_members(deep.loads(source.held[lead:].decode("utf-8", "replace")))):
                 yield i, _wrapped(value), locator
-    except (ValueError, RecursionError):
+    except ValueError:
         return
 
 
@@ -374,9 +375,9 @@ def hash_of_records(records: DataFrame, key: str = "ord", text: str = "raw_json"
             keys, hashes = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    hashes.append(canonical_hash(json.loads(t)))
+                    hashes.append(canonical_hash(deep.loads(t)))
                     keys.append(k)
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.string())], ["k", "content_hash"])
 

@@ -40,7 +40,7 @@ def test_tables_link_child_to_parent(spark):
     assert set(rows) == {("", ""), ("c[]", "0"), ("c[].p[]", "0.0")}
     assert rows["", ""]["fields"] == {"id": "1", "a.b": "true"}
     assert (rows["c[].p[]", "0.0"]["parent_path"], rows["c[].p[]", "0.0"]["parent_pos"]) == ("c[]", "0")
-    assert rows["c[].p[]", "0.0"]["fields"] == {"n": "1.5", "tags": '["u", null]'} and len(rows["c[]", "0"]["fields"]["name"]) == 300_000
+    assert rows["c[].p[]", "0.0"]["fields"] == {"n": "1.5", "tags": '["u",null]'} and len(rows["c[]", "0"]["fields"]["name"]) == 300_000
     assert flat_table(shred(df), "c[].p[]", ["n", "absent"]).first().asDict() == {"ord": 1, "elem_pos": "0.0", "parent_path": "c[]", "parent_pos": "0", "n": "1.5", "absent": None}
 
 
