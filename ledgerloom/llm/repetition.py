@@ -12,14 +12,18 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.texts import words
+from ledgerloom.llm.texts import Codes, grams, words
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
@@ -46,78 +50,108 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, partial
 
 
+_BREAK = re.compile(r"(?<=\S) (?=\S)")
+
+
 def encode_whole(encode, text: str, step: int = 100_000) -> list[int]:
-    """Tokens of a whole text; very long runs without a break are encoded in pieces to keep merging time linear."""
+    """Tokens of a whole text, exactly those of one call: a long text is taken in parts that end where the tokenizer's own
+    split ends a piece, before a single blank between two words."""
     text = text.encode("utf-8", "replace").decode("utf-8")
-    if len(text) <= step:
-        return encode(text)
-    return [t for i in range(0, len(text), step) for t in encode(text[i : i + step])]
+    out, at = [], 0
+    while len(text) - at > step:
+        cut_at = _BREAK.search(text, at + step)
+        if not cut_at:
+            break
+        out += encode(text[at : cut_at.start()])
+        at = cut_at.start()
+    return out + encode(text[at:])
 
 
-def repeated_share(w: list[str], stretch: int = STRETCH) -> float:
+def repeated_share(w: list[str], stretch: int = STRETCH, codes: Codes | None = None) -> float:
     """Share of words that lie in a stretch of ``stretch`` or more words that occurred earlier in the document."""
-    n = len(w)
-    if n <= stretch:
+    if len(w) <= stretch:
+        return 0.0
+    h = grams((codes if codes is not None else Codes()).of(w), stretch)
+    if len(set(h.tolist())) == len(h):
         return 0.0
-    code: dict[str, int] = {}
-    ids = [code.setdefault(x, len(code)) for x in w]
-    seen, covered, end = set(), 0, 0
-    for i in range(n - stretch + 1):
-        gram = tuple(ids[i : i + stretch])
-        if gram in seen:
-            covered += i + stretch - max(i, end)
-            end = i + stretch
-        else:
-            seen.add(gram)
-    return covered / n
-
-
-def measure(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, plain_words: bool = False, least: float = SHARE) -> DataFrame:
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[of] != np.arange(len(h)))
+    if not len(again):
+        return 0.0
+    return float(np.minimum(np.diff(again), stretch).sum() + stretch) / len(w)
+
+
+def _entropy(ids: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Entropy of tokens that each stand so many times, the different tokens, and how often each stands; 0 for none."""
+    kinds, of = np.unique(ids, return_inverse=True)
+    c = np.bincount(of, times, len(kinds)) if len(ids) else np.zeros(0)
+    n = c.sum()
+    return (float(math.log2(n) - (c * np.log2(c)).sum() / n) if n else 0.0), kinds, c
+
+
+def measure(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, plain_words: bool = False, least: float = SHARE, all_shares: bool = False) -> DataFrame:
     """(key, n_chars, n_tokens, chars_per_token, fallback_share, entropy, n_words, in_question, repeated).
 
     With ``plain_words`` the figures are those of the document's bare words (no case, punctuation, markup, line numbers),
     as the bound needs; otherwise of the text as it stands, and ``in_question`` and ``repeated`` are null.  ``repeated``
-    is null unless the bound leaves it open that the share reaches ``least``.  Null and empty texts have no tokens, null
-    ratios and an entropy of 0.
+    is null where the bound rules out that the share reaches ``least``, and so is ``entropy`` where the number of different
+    tokens alone does, unless ``all_shares`` are asked for.  Null and
+    empty texts have no tokens, null ratios and an entropy of 0.
     """
     schema = "k bigint, n_chars bigint, n_tokens bigint, chars_per_token double, fallback_share double, entropy double, n_words bigint, in_question boolean, repeated double"
 
     def run(batches):
         encode, partial = tokenizer(path)
-        memo: dict[str, list[int]] = {}
+        broken = np.zeros(max(partial, default=0) + 1, bool)
+        broken[list(partial)] = True
+        memo: dict[str, tuple[list[int], int]] = {}
+        codes = Codes()
         for batch in batches:
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = t or ""
                 w: list[str] = words(t) if plain_words else []
+                open_ = share = entropy = None
                 if plain_words:
-                    counts: Counter = Counter()
-                    for x, times in Counter(w).items():
-                        ids = memo.get(x)
-                        if ids is None:
-                            if len(memo) > 200_000:
-                                memo.clear()
-                            ids = memo[x] = encode(" " + x)
-                        for y in ids:
-                            counts[y] += times
-                    chars = sum(map(len, w)) + len(w)
+                    # Tokens of each different word once, as often as the word stands.
+                    times = Counter(w)
+                    if len(memo) > 200_000:
+                        memo.clear()
+                    for x in times:
+                        if x not in memo:
+                            ids = encode(" " + x)
+                            memo[x] = ids, sum(y in partial for y in ids)
+                    own = [memo[x][0] for x in times]
+                    n, different = sum(map(mul, map(len, own), times.values())), len(set(chain.from_iterable(own)))
+                    most, chars = n - least * len(w), sum(map(len, w)) + len(w)
+                    open_ = n > 0 and different <= most + 1e-9
+                    if open_ or all_shares:
+                        ids = np.fromiter(chain.from_iterable(own), np.int64)
+                        each = np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(x) for x in own])
+                        entropy = _entropy(ids, each)[0]
+                        open_ = open_ and entropy <= math.log2(max(most, 1)) + 1e-9
+                        share = repeated_share(w, codes=codes) if open_ or all_shares else None
+                    fallback = sum(memo[x][1] * y for x, y in times.items())
                 else:
-                    counts, chars = Counter(encode_whole(encode, t)), len(t)
-                n = sum(counts.values())
-                entropy = math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n if n else 0.0
-                open_ = share = None
-                if plain_words:
-                    most = n - least * len(w)
-                    open_ = n > 0 and len(counts) <= most + 1e-9 and entropy <= math.log2(max(most, 1)) + 1e-9
-                    share = repeated_share(w) if open_ else None
-                rows.append((k, chars, n, chars / n if n else None, sum(c for y, c in counts.items() if y in partial) / n if n else None, entropy, len(w), open_, share))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], ["k", "n_chars", "n_tokens", "chars_per_token", "fallback_share", "entropy", "n_words", "in_question", "repeated"])
+                    ids, chars = np.array(encode_whole(encode, t), np.int64), len(t)
+                    n = len(ids)
+                    entropy, kinds, c = _entropy(ids, np.ones(n, np.int64))
+                    fallback = int(c[broken[np.minimum(kinds, len(broken) - 1)] & (kinds < len(broken))].sum())
+                rows.append((k, chars, n, chars / n if n else None, fallback / n if n else None, entropy, len(w), open_, share))
+            kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds_[i]) for i in range(9)], ["k", "n_chars", "n_tokens", "chars_per_token", "fallback_share", "entropy", "n_words", "in_question", "repeated"])
 
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL")
     return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+def shares(df: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_tokens, entropy, repeated): every document with the share of its words that repeat earlier
+    stretches; of an id that stands several times the largest share.  Texts without words have the share 0."""
+    all_ = measure(df, plain_words=True, all_shares=True)
+    return all_.groupBy("doc_id").agg(F.max_by(F.struct("n_words", "n_tokens", "entropy", "repeated"), F.struct("repeated", "n_words", "n_tokens")).alias("m")).select("doc_id", "m.*")
+
+
 def repetitive(df: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id) of documents of whose words at least ``share`` repeat earlier stretches of ``STRETCH`` or more words."""
     return measure(df, plain_words=True, least=share).where(F.col("in_question") & (F.col("repeated") >= share)).select("doc_id").distinct()

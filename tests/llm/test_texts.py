@@ -85,11 +85,16 @@ def test_leaks_equal_brute_force(spark):
 
 def test_openings_and_edges(spark):
     opening = "you are given one short record and must choose the best statement"
-    items = {i: words(f"{opening} {x}") for i, x in enumerate(("alpha " * 30, "beta gamma " * 15, "delta " * 30))}
-    assert all("choose" not in w for w in leakage.strip_openings(items).values())
+    few = spark.createDataFrame([(i, f"{opening} {x}") for i, x in enumerate(("alpha " * 30, "beta gamma " * 15, "delta " * 30))], "item_id long, text string")
+    assert all("choose" not in r["w"] and len(r["w"]) == 30 for r in leakage.item_words(few).collect())
+    two = few.where("item_id < 2")
+    assert all("choose" in r["w"] for r in leakage.item_words(two).collect())
     docs = spark.createDataFrame([(1, opening + " and more words here that fill the line up to the end of it all"), (2, None), (3, ""), (None, "x"), (4, "one two three"), (4, "one two three")], "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS p", "3 AS item_id")
     item_df = spark.createDataFrame([(i, f"{opening} {x}") for i, x in enumerate(("alpha " * 30, "beta gamma " * 15, "delta " * 30))] + [(9, None), (10, ""), (11, "one two three")], "item_id long, text string")
     assert {tuple(r) for r in leakage.leaks(docs, item_df).collect()} == {(4, 11)}
+    twice = item_df.unionByName(spark.createDataFrame([(11, "four five six seven")], "item_id long, text string"))
+    more = docs.unionByName(spark.createDataFrame([(5, "so four five six seven it is")], "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS p", "3 AS item_id"))
+    assert {tuple(r) for r in leakage.leaks(more, twice).collect()} == {(4, 11), (5, 11)}
     assert leakage.leaks(docs.limit(0), item_df).count() == 0
     assert leakage.leaks(docs, item_df.limit(0)).count() == 0
 
@@ -128,6 +133,27 @@ def test_the_bound_loses_no_document(spark):
     assert got == {i for i, t in rows if _share(words(t)) >= 0.3} and got
 
 
+def test_every_document_has_a_share(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(90, None), (91, "x " * 9), (91, "y")]
+    got = {r["doc_id"]: r["repeated"] for r in repetition.shares(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: _share(words(t)) for i, t in rows[:-1]}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_long_texts_have_the_tokens_of_one_call():
+    encode, _ = repetition.tokenizer(repetition.VOCABULARY)
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word ", "two  spaces", "\n", "3 4", "é.", " x", "don't ", "\t"]) for _ in range(4000))
+    for step in (1, 7, 50, 1000):
+        assert repetition.encode_whole(encode, text, step) == encode(text)
+
+
+def test_tags_notes_and_line_numbers_of_any_length():
+    assert words("a <b " + "x" * 900 + ">c</b> [" + "1" * 9 + "] d") == ["a", "c", "d"]
+    assert words("1 < 2 and 3 > 2") == ["1", "2", "and", "3", "2"] and words("12345678: a b") == ["a", "b"]
+
+
 def test_fertility_bands(spark):
     rows = [(i, f"The council approved {i} grants in March.", "en") for i in range(400)] + [(900, "߷߸߹" * 40, "EN"), (901, None, None), (902, "", "fr")]
     got = {r["doc_id"]: r for r in repetition.fertility_bands(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
