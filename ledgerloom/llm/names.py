@@ -18,20 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected
+from ledgerloom.operators.skew import join_pairs
 from ledgerloom.session import cut
 
 # Given names with their short and foreign forms.
 GIVEN = {
-    "alexander": "alex alec sandy sasha xander alejandro alexandre", "anthony": "antony tony anton antonio", "beatriz": "bea beatrice beatrix", "bjorn": "bjoern",
-    "charles": "chas chuck charlie charley carlos karl", "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie debra",
-    "dmitri": "dima dimitri dmitry dmitriy", "edward": "ed eddie ned ted eduardo", "elizabeth": "liz beth betsy betty lizzie eliza elisabeth", "francisco": "paco pancho frank francis",
-    "frederick": "fred freddy freddie fredrick frederic", "geoffrey": "geoff jeff jeffrey jeffery", "gregory": "greg gregg", "guadalupe": "lupe lupita", "harriet": "hattie harriett",
-    "helene": "helen helena", "ingrid": "inga", "jacqueline": "jackie jaqueline jacquelyn", "james": "jas jim jimmy jamie", "jennifer": "jen jenny", "john": "jack johnny jon",
-    "jose": "pepe josep joseph", "katherine": "kate kathy katie catherine kathryn katharine", "kwame": "kwami", "lawrence": "larry laurence lars", "margaret": "meg maggie peggy marge",
-    "mary": "maria marie molly", "michael": "mike mick miguel", "mohammed": "mohamed muhammad mohammad mo md", "nathaniel": "nate nathan nat", "olga": "olya", "patricia": "pat patty trish tricia",
-    "quentin": "quent", "richard": "rick rich dick ricky ricardo", "robert": "bob rob bobby robbie bert roberto", "susannah": "sue suzy susanna susan susie susana", "theodore": "ted theo teddy",
-    "thomas": "tom tommy tomas", "ursula": "ulla uschi", "victoria": "vicky tori vickie vicki", "wendell": "wen", "william": "will bill wm billy willie liam", "xavier": "xavi javier",
-    "yusuf": "yousef youssef yusef", "zoe": "zoey",
+    "abigail": "abby gail", "abraham": "abe bram ibrahim", "adelaide": "addie adele", "albert": "al bert alberto", "alexander": "alex alec sandy sasha xander alejandro alexandre", "alfred": "alf alfie fred alfredo",
+    "amanda": "mandy", "andrew": "andy drew andre andres andrei", "angela": "angie", "anne": "ann annie anna ana nancy", "anthony": "antony tony anton antonio", "arthur": "art artie arturo",
+    "barbara": "barb babs", "beatriz": "bea beatrice beatrix", "benjamin": "ben benny benji", "bernard": "bernie bernardo", "bjorn": "bjoern", "bradley": "brad", "caroline": "carol carrie carolina",
+    "charles": "chas chuck charlie charley carlos karl", "charlotte": "lottie", "christina": "christine tina kristina kristen", "christopher": "chris kit", "cynthia": "cindy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie debra",
+    "dmitri": "dima dimitri dmitry dmitriy", "donald": "don donny", "dorothy": "dot dottie", "douglas": "doug", "edward": "ed eddie ned ted eduardo", "eleanor": "ellie nell nora leonor", "elizabeth": "liz beth betsy betty lizzie eliza elisabeth", "emily": "em emmy", "eugene": "gene", "florence": "flo flossie",
+    "francisco": "paco pancho frank francis", "frederick": "fred freddy freddie fredrick frederic", "gabriel": "gabe gabby", "geoffrey": "geoff jeff jeffrey jeffery", "george": "georgie jorge", "gerald": "gerry jerry", "gregory": "greg gregg", "guadalupe": "lupe lupita", "harold": "hal harry", "harriet": "hattie harriett",
+    "helene": "helen helena", "henry": "hank henri enrique", "ingrid": "inga", "isabella": "bella izzy isabel", "jacob": "jake", "jacqueline": "jackie jaqueline jacquelyn", "james": "jas jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "john": "jack johnny jon juan", "jonathan": "jonny nathan",
+    "jose": "pepe josep joseph joe joey", "joshua": "josh", "judith": "judy", "katherine": "kate kathy katie catherine kathryn katharine", "kenneth": "ken kenny", "kwame": "kwami", "lawrence": "larry laurence lars", "leonard": "len lenny", "louis": "lou louie luis", "margaret": "meg maggie peggy marge",
+    "martin": "marty", "mary": "maria marie molly", "matthew": "matt matty mateo", "michael": "mike mick miguel", "mohammed": "mohamed muhammad mohammad mo md", "nathaniel": "nate nathan nat", "nicholas": "nick nicky nicolas nico", "olga": "olya", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "paddy pat", "peter": "pete pedro pyotr",
+    "philip": "phil phillip felipe", "quentin": "quent", "rachel": "rae", "raymond": "ray", "rebecca": "becky becca", "richard": "rick rich dick ricky ricardo", "robert": "bob rob bobby robbie bert roberto", "ronald": "ron ronnie", "samantha": "sammy", "samuel": "sam sammy", "sandra": "sandy", "sarah": "sally sara", "stephanie": "steph",
+    "stephen": "steve steven stefan esteban", "susannah": "sue suzy susanna susan susie susana", "theodore": "ted theo teddy", "theresa": "terry tess teresa", "thomas": "tom tommy tomas", "timothy": "tim timmy", "ursula": "ulla uschi", "victoria": "vicky tori vickie vicki", "vincent": "vince vinny vicente",
+    "virginia": "ginny", "walter": "walt wally", "wendell": "wen", "william": "will bill wm billy willie liam", "xavier": "xavi javier", "yusuf": "yousef youssef yusef", "zachary": "zach zack", "zoe": "zoey",
 }
 TITLES = frozenset("mr mrs ms miss mx dr prof professor hon rev sir dame lord lady judge capt col sr. fr".split()) - {"sr."}
 CREDENTIALS = frozenset("cpa esq md phd jd mba rn dds do pe facs".split())
@@ -104,7 +107,7 @@ def given_names(token: str) -> frozenset[str]:
         if hit is None and len(token) >= 4:
             hit = set()
             for x, full in _NICK.items():
-                if len(x) >= 4 and (near(_blur(token), _blur(x))):
+                if len(x) >= 4 and alike(token, x):
                     hit |= full
         known = frozenset(hit or ())
         if len(_GIVEN_MEMO) < 500_000:
@@ -121,7 +124,7 @@ def person(name: str) -> tuple[str, str, str] | None:
     for side in sides:
         kept = []
         for t in side:
-            bare = re.sub(r"[^a-z0-9]", "", t)
+            bare = re.sub(r"[\W_]", "", t)
             if bare in GENERATIONS:
                 generation = GENERATIONS[bare]
             elif bare and bare not in TITLES and (bare not in CREDENTIALS or (bare == "md" and not kept and (len(side) > 1 or (cleaned and len(cleaned[0]) == 1)))):
@@ -176,7 +179,7 @@ def organisation(name: str) -> tuple[str, str, str, str] | None:
     """(qualifier, own name, words of the line of business, number)."""
     text = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", fold(name))
     text = re.sub(r"(?<=\w)['’.\-](?=\w)", "", re.sub(r"\b((?:[a-z]\.){2,})", lambda m: m[1].replace(".", ""), text))
-    tokens = re.findall(r"[a-z0-9]+", text)
+    tokens = re.findall(r"[^\W_]+", text)
     number, qualifier, own, line = "", [], [], []
     for i, t in enumerate(tokens):
         if t.isdigit():
@@ -211,7 +214,7 @@ def same_party(kind: str, a: str, b: str) -> bool:
     """Whether two signatures, as written by ``sign``, name one party."""
     x, y = a.split("\t"), b.split("\t")
     if kind == "person":
-        return alike(x[1], y[1]) and len(x[1]) > 2 and len(y[1]) > 2 and same_given(x[0], y[0]) and (not x[2] or not y[2] or x[2] == y[2])
+        return (x[1] == y[1] or (min(len(x[1]), len(y[1])) >= 4 and alike(x[1], y[1]))) and same_given(x[0], y[0]) and (not x[2] or not y[2] or x[2] == y[2])
     return x[0] == y[0] and x[3] == y[3] and (x[1] == y[1] or (min(len(x[1]), len(y[1])) >= 5 and alike(x[1], y[1]))) and same_line(x[2], y[2])
 
 
@@ -221,7 +224,7 @@ def sign(kind: str, name: str) -> tuple[str, list[str]] | None:
     if parts is None or not parts[1]:
         return None
     word = parts[1]
-    shorter = {word} | {w[:i] + w[i + 1 :] for w in (word, _blur(word)) for i in range(len(w)) if len(w) >= 5} | {_blur(word)}
+    shorter = {word} | {w[:i] + w[i + 1 :] for w in (word, _blur(word)) for i in range(len(w)) if len(w) >= 4} | {_blur(word)}
     beside = {g[:1] for g in parts[0].split("|")} if kind == "person" else {f"{parts[0]}/{parts[3]}"}
     return "\t".join(parts), sorted(f"{b}:{s}" for b in beside for s in shorter)
 
@@ -250,17 +253,22 @@ def signatures(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "entity_id bigint, kind string, sig string, forms array<string>")
 
 
-def links(signed: DataFrame) -> DataFrame:
+def links(signed: DataFrame, common: int = 100) -> DataFrame:
     """(kind, sig_a, sig_b, weight): checked links between different signatures, sig_a < sig_b.
 
-    A link from a bare initial is kept only if all given names it could stand for agree; one from a name without
-    generation only if it meets a single generation.
+    A pair's weight is the sum over its shared forms of one over the signatures that have the form.  A pair whose forms
+    are all so common that it weighs less than one over the root of the number of signatures (or over ``common``, if that
+    is more) is no link, as so many unrelated names share as much.  A link from a bare initial is kept only if one given
+    name fits all it could stand for; one from a name without generation only if it meets a single generation.
     """
-    forms = signed.select("kind", "sig", "forms").dropDuplicates(["kind", "sig"]).select("kind", "sig", F.explode("forms").alias("form"))
+    own = signed.select("kind", "sig", "forms").dropDuplicates(["kind", "sig"])
+    bound = own.groupBy("kind").agg((1.0 / F.greatest(F.sqrt(F.count("*")), F.lit(float(common)))).alias("least"))
+    forms = own.select("kind", "sig", F.explode("forms").alias("form"))
     rarity = forms.groupBy("kind", "form").agg(F.count("*").alias("n")).where("n > 1")
-    forms = forms.join(rarity, ["kind", "form"])
+    forms = cut(forms.join(rarity, ["kind", "form"]))
     a, b = forms.withColumnRenamed("sig", "sig_a"), forms.select("kind", "form", F.col("sig").alias("sig_b"))
-    pairs = a.join(b, ["kind", "form"]).where("sig_a < sig_b").groupBy("kind", "sig_a", "sig_b").agg(F.sum(F.lit(1.0) / F.col("n")).alias("weight"))
+    pairs = join_pairs(a, b, ["kind", "form"], "sig_a").where("sig_a < sig_b").groupBy("kind", "sig_a", "sig_b").agg(F.sum(F.lit(1.0) / F.col("n")).alias("weight"))
+    pairs = pairs.join(F.broadcast(bound), "kind").where("weight >= least").drop("least")  # one row per kind
 
     def run(batches):
         for batch in batches:
@@ -271,7 +279,9 @@ def links(signed: DataFrame) -> DataFrame:
     both = good.select("kind", F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")).unionByName(good.select("kind", F.col("sig_b").alias("sig"), F.col("sig_a").alias("other"))).where("kind = 'person'")
     part = lambda c, i: F.split_part(F.col(c), F.lit("\t"), F.lit(i))
     given, other_given = part("sig", 1), part("other", 1)
-    initials = both.where((F.length(given) == 1) & (F.length(other_given) > 1)).groupBy("sig").agg(F.count_distinct(other_given).alias("k")).where("k > 1").select("sig")
+    met = both.where((F.length(given) == 1) & (F.length(other_given) > 1)).select("sig", other_given.alias("given")).distinct()
+    fits = met.select("sig", F.explode(F.split("given", r"\|")).alias("name")).groupBy("sig", "name").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max("n").alias("n"))
+    initials = met.groupBy("sig").agg(F.count("*").alias("k")).join(fits, "sig").where("n < k").select("sig")
     ages = both.where((part("sig", 3) == "") & (part("other", 3) != "")).groupBy("sig").agg(F.count_distinct(part("other", 3)).alias("k")).where("k > 1").select("sig")
     for doubtful, concerns in ((initials, None), (ages, 3)):
         for side, other in (("sig_a", "sig_b"), ("sig_b", "sig_a")):
@@ -299,7 +309,7 @@ def party_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     ages = signed.where("kind = 'person'").select(F.col("entity_id").alias("id"), F.split_part("sig", F.lit("\t"), F.lit(3)).alias("age")).where("age <> ''").groupBy("id").agg(F.max("age").alias("age"))
     members = cut(members.join(ages, "id", "left"))
     a, b = members.select("group_id", F.col("id").alias("entity_id_a"), F.col("age").alias("_a")), members.select("group_id", F.col("id").alias("entity_id_b"), F.col("age").alias("_b"))
-    pairs = a.join(b, "group_id").where("entity_id_a < entity_id_b AND (_a IS NULL OR _b IS NULL OR _a = _b)")
+    pairs = join_pairs(a, b, ["group_id"], "entity_id_a").where("entity_id_a < entity_id_b AND (_a IS NULL OR _b IS NULL OR _a = _b)")
     return pairs.select("entity_id_a", "entity_id_b")
 
 
