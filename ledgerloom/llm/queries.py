@@ -19,6 +19,11 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in their order, with their stationary mass."""
+    return _p5(spark, sf_dir).withColumn("mass", F.round("mass", 9))
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankwalk.rank_walk(rankwalk.score_lists(table(spark, sf_dir, "leads")))
 
 
@@ -66,13 +71,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "documents"))
 
 
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the share of it that is repeated."""
+    return repetition.shares(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("repeated", 6).alias("repeated"))
+
+
 def p10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.fertility_bands(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_pairs, p5_rank, p5_scores, p6_found, p6_counts, p7_found, p7_links, p8_pack, p8_fill, p8_harmonic_fill, p9_found, p10_found, p10_fertility)
+    for f in (p4_found, p4_pairs, p5_rank, p5_scores, p6_found, p6_counts, p7_found, p7_links, p8_pack, p8_fill, p8_harmonic_fill, p9_found, p10_found, p10_share, p10_fertility)
 }
 
 _ACCEPTED = """
@@ -80,15 +90,8 @@ _ACCEPTED = """
     FROM entity_merge_candidates
     WHERE regexp_replace(lower(status), '^\\s+|\\s+$', '', 'g') IN ('confirmed', 'applied') AND entity_id_a <> entity_id_b"""
 
-ORACLE = {
-    "p4_pairs": _ACCEPTED,
-    "p4_found": f"""
-        WITH RECURSIVE pairs AS ({_ACCEPTED}),
-        edges AS (SELECT a AS v, b AS u FROM pairs UNION SELECT b, a FROM pairs),
-        reach(v, u) AS (SELECT v, u FROM edges UNION SELECT r.v, e.u FROM reach r JOIN edges e ON r.u = e.v)
-        SELECT min(u) AS group_id, v AS entity_id FROM reach GROUP BY v HAVING min(u) < v""",
-    "p5_scores": """
-        WITH base AS (
+_LISTS = """
+        base AS (
             SELECT detector_id, created_run, score, rank_score, unnest(CAST(json_extract(evidence, '$[*].locators[*]') AS JSON[])) AS l FROM leads),
         named AS (SELECT *, concat_ws('::', json_extract_string(l, '$.source_group'), json_extract_string(l, '$.native_id')) AS item FROM base),
         lists AS (
@@ -98,5 +101,30 @@ ORACLE = {
             SELECT item, list, max(score) AS score FROM lists
             WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) AND score NOT IN (-1.0, 999999999.0) AND list IS NOT NULL AND item <> ''
             GROUP BY item, list)
-        SELECT list, count(*) AS items, min(score) AS least, max(score) AS most FROM best GROUP BY list""",
+"""
+
+ORACLE = {
+    "p4_pairs": _ACCEPTED,
+    "p4_found": f"""
+        WITH RECURSIVE pairs AS ({_ACCEPTED}),
+        edges AS (SELECT a AS v, b AS u FROM pairs UNION SELECT b, a FROM pairs),
+        reach(v, u) AS (SELECT v, u FROM edges UNION SELECT r.v, e.u FROM reach r JOIN edges e ON r.u = e.v)
+        SELECT min(u) AS group_id, v AS entity_id FROM reach GROUP BY v HAVING min(u) < v""",
+    "p5_scores": f"WITH {_LISTS} SELECT list, count(*) AS items, min(score) AS least, max(score) AS most FROM best GROUP BY list",
+    # The chain in full: every jump from a record to a higher one by one of its scores, walked 130 rounds.
+    "p5_rank": f"""
+        WITH RECURSIVE {_LISTS},
+        k AS (SELECT item, count(*) AS k FROM best GROUP BY item), size AS (SELECT count(*) AS n FROM k),
+        up AS (SELECT a.item AS a, a.list, b.item AS b FROM best a JOIN best b ON a.list = b.list AND b.score > a.score),
+        n_up AS (SELECT a, list, count(*) AS n FROM up GROUP BY a, list),
+        jump AS (
+            SELECT up.a, up.b, 1.0::DOUBLE / k.k / n_up.n AS p FROM up JOIN n_up ON up.a = n_up.a AND up.list = n_up.list JOIN k ON k.item = up.a
+            UNION ALL SELECT best.item, best.item, 1.0::DOUBLE / k.k FROM best JOIN k ON best.item = k.item ANTI JOIN n_up ON best.item = n_up.a AND best.list = n_up.list
+            UNION ALL SELECT item, item, 0.0::DOUBLE FROM k),
+        one AS MATERIALIZED (SELECT a, b, sum(p) AS p FROM jump GROUP BY a, b),
+        walk(r, item, mass) AS (
+            SELECT 0, item, 1.0::DOUBLE / n FROM k, size
+            UNION ALL SELECT w.r + 1, one.b, 0.85 * sum(w.mass * one.p) + 0.15::DOUBLE / max(n) FROM walk w JOIN one ON w.item = one.a, size WHERE w.r < 130 GROUP BY w.r, one.b),
+        kept AS (SELECT item, mass FROM walk WHERE r = 130), whole AS (SELECT k.item, coalesce(mass, 0.15::DOUBLE / n) AS mass, k, n FROM k LEFT JOIN kept ON k.item = kept.item, size)
+        SELECT item, round(mass, 9) AS mass, CAST(row_number() OVER (ORDER BY round(mass * n, 6) DESC, item) AS BIGINT) AS position, CAST(k AS INTEGER) AS n_scores FROM whole""",
 }

@@ -45,8 +45,9 @@ def rank_walk(scores: DataFrame, damping: float = 0.85, tolerance: float = 1e-9,
     """(item, mass, position, n_scores) for (item, list, score); position 1 has the largest stationary mass.
 
     The walk ends when a round changes no record's mass by more than ``tolerance`` of that mass, so the bound holds for
-    any number of records; if it is not met within ``most_rounds`` rounds, that is an error.  Equal masses take the order
-    of the item's name.  No input rows, no output rows; items without a score are not ranked.
+    any number of records; if it is not met within ``most_rounds`` rounds, that is an error.  Masses that agree in the six
+    digits after the average's point (a mass of 1 is the average) are equal, and take the order of the item's name: so the
+    order does not hang on the last digits of sums.  No input rows, no output rows; items without a score are not ranked.
     """
     ties = scores.groupBy("list", "score").agg(F.count("*").alias("n"))
     ties = cut(ties.repartitionByRange("list", "score").withColumn("block", F.spark_partition_id()).withColumn("g", F.xxhash64("list", "score")))
@@ -82,7 +83,7 @@ def rank_walk(scores: DataFrame, damping: float = 0.85, tolerance: float = 1e-9,
         products = [F.sum(x * y * (total or 1) ** 2) for i, x in enumerate(steps) for y in [*steps[: i + 1], F.col("f")]]
         moved, *products = new.agg(F.max(F.abs(F.col("f")) / F.col("g")), *products).first()
         if moved is None or moved < tolerance:
-            return _positions(new.select("item", F.col("g").alias("mass"), F.col("k").alias("n_scores")))
+            return _positions(new.select("item", F.col("g").alias("mass"), F.round(F.col("g") * total, 6).alias("_order"), F.col("k").alias("n_scores")))
         mixed = F.col("g")
         for i, part in enumerate(_shares(products, kept)):
             mixed = mixed - F.lit(part) * (F.col("g") - F.get("past", i)["g"])
@@ -105,8 +106,8 @@ def _shares(products: list[float], n: int) -> list[float]:
 
 def _positions(ranked: DataFrame) -> DataFrame:
     """A global order by blocks: rows sorted by ranges, numbered within a range, offset by the ranges before it."""
-    blocks = cut(ranked.repartitionByRange(F.desc("mass"), F.asc("item")).withColumn("_b", F.spark_partition_id()))
+    blocks = cut(ranked.repartitionByRange(F.desc("_order"), F.asc("item")).withColumn("_b", F.spark_partition_id()))
     sizes = blocks.groupBy("_b").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_o", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).drop("_n")
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("mass"), "item"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("_order"), "item"))
     return blocks.join(broadcast_if_small(offsets), "_b").withColumn("position", inner + F.col("_o")).select("item", "mass", F.col("position").cast("bigint").alias("position"), "n_scores")
