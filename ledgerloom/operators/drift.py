@@ -177,14 +177,14 @@ def _similarity(df: DataFrame, repeating: DataFrame, wanted: DataFrame) -> DataF
     return found.groupBy("source_file", "path", "family", "bucket").agg(F.sum("n").alias("n"))
 
 
-def changes(df: DataFrame) -> DataFrame:
+def changes(df: DataFrame, repeating: DataFrame | None = None) -> DataFrame:
     """(source_group, source_file, change_kind, field_path, new_path) of every change between neighbouring files.
 
     Files follow each other by name within a directory; a file with no parsable record is not part of the series.
     Defined results: no rows for empty input, for directories of one file, and for records with null group, file or
     text; a field whose type is mixed within a file has its commonest type.  Repeated rows change nothing.
     """
-    repeating = find_repeating(_files(df))
+    repeating = find_repeating(_files(df)) if repeating is None else repeating
     life = cut(lifespans(catalogue(df, repeating)))
     files = life.select("dir", "at", "source_file", "source_group").distinct()
     added = life.where("at > 1 AND (before IS NULL OR before < at - 1)").select("dir", "at", "path", "kind", F.lit("added").alias("event"))
@@ -293,8 +293,9 @@ def unified(df: DataFrame) -> DataFrame:
     number and as flag, so no value is lost when a field changed type.  Scalars only; ``row`` holds the positions of the
     enclosing repeated objects.  Files outside any series, XML files of one record each among them, are in it too.
     """
-    changed = cut(changes(df))
-    rows = shred(df).join(df.select("ord", "source_file").dropDuplicates(["ord"]), "ord")
+    repeating = find_repeating(df)
+    changed = cut(changes(df, repeating))
+    rows = shred(df, repeating=repeating, carry="source_file")
     cells = rows.select("ord", "source_group", "source_file", F.col("elem_pos").alias("row"), "child_path", F.explode("fields").alias("column", "text"))
     path = F.when(F.col("child_path") == "", F.col("column")).otherwise(F.concat("child_path", F.lit("."), "column"))
     cells = cells.withColumns({"dir": _directory(F.col("source_file")), "name": path})
@@ -335,12 +336,12 @@ def unified_table(df: DataFrame) -> DataFrame:
     Names become ``a_b``; one that would clash with another, letter case aside, gets a number.
     """
     repeating = find_repeating(df)
-    changed = cut(changes(df))
+    changed = cut(changes(df, repeating))
     alias = cut(alias_table(changed))
     life = catalogue(df.where("source_group IS NOT NULL AND source_file IS NOT NULL"), repeating, every_file=True)
     life = life.where("path <> ''").withColumn("dir", _directory(F.col("source_file")))
     types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect() if r["kind"] not in ("object",)]
-    rows = shred(df).where("child_path = ''").join(df.select("ord", "source_file").dropDuplicates(["ord"]), "ord").withColumn("dir", _directory(F.col("source_file")))
+    rows = shred(df, repeating=repeating, carry="source_file").where("child_path = ''").withColumn("dir", _directory(F.col("source_file")))
     rows = rows.join(broadcast_if_small(_by_directory(alias)), "dir", "left")
     last = lambda k, _: F.when(F.col("aliases").isNull(), k).otherwise(_last_name(k, F.col("aliases")))
     entries = F.transform(F.map_entries("fields"), lambda e: F.struct(last(e["key"], None).alias("key"), e["value"].alias("value")))

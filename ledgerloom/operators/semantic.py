@@ -19,6 +19,8 @@ _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]?"
 BILL = rf"{WORD_EDGE}[HS]\.?{_BLANK}[RJ]?\.?{_BLANK}\p{{Nd}}{{1,5}}{WORD_EDGE}"
 CAPITALISED = rf"{WORD_EDGE}[A-Z][A-Za-z0-9&.\-]{{2,}}{WORD_EDGE}"
 COMMON_CAPITALISED = ["The", "This", "Act", "Bill", "Issues", "House", "Senate", "Congress", "Federal", "United", "States", "General", "All"]
+#: Bytes of query vectors that one scan carries.
+_HELD = 64 << 20
 _SPACE = r"[\s\u0085   -     　\u001c-\u001f]+"
 
 
@@ -111,8 +113,8 @@ def dot(a: Column, b: Column) -> Column:
 def query_scores(space_: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int | None = None, block: int = 256) -> DataFrame:
     """(query_id, row_id, score) of a stated set of queries against all rows, in blocks on the executors.
 
-    Queries are taken in blocks of ``block``; each block is broadcast and multiplied with every batch of rows, so neither
-    the driver's nor a task's memory grows with the number of queries at once.  With ``k`` a batch gives out only its own
+    As many queries as fit into ``_HELD`` bytes are broadcast for one scan of the rows and multiplied with every batch in
+    blocks of ``block``, so neither the driver's nor a task's memory grows with the number of queries.  With ``k`` a batch gives out only its own
     k best rows of each query (ties by row), which is all that a later best-k can need.  Null vectors have no scores.
     """
     spark = space_.sparkSession
@@ -127,19 +129,21 @@ def query_scores(space_: DataFrame, key: str, vector: str, queries: DataFrame, q
             for f in frames:
                 if not len(f):
                     continue
-                own, sims = f["k"].to_numpy(), np.vstack(f["v"].to_numpy()).astype(np.float64) @ matrix.value.T
-                if k is None or len(own) <= k:
-                    yield pd.DataFrame({"query_id": np.tile(ids, len(own)), "row_id": np.repeat(own, len(ids)), "score": sims.ravel()})
-                else:
-                    best = [np.lexsort((own, -sims[:, q]))[:k] for q in range(len(ids))]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, k), "row_id": np.concatenate([own[b] for b in best]), "score": np.concatenate([sims[b, q] for q, b in enumerate(best)])})
+                own, vectors = f["k"].to_numpy(), np.vstack(f["v"].to_numpy()).astype(np.float64)
+                for start in range(0, len(ids), block):
+                    some, sims = ids[start : start + block], vectors @ matrix.value[start : start + block].T
+                    if k is None or len(own) <= k:
+                        yield pd.DataFrame({"query_id": np.tile(some, len(own)), "row_id": np.repeat(own, len(some)), "score": sims.ravel()})
+                    else:
+                        best = [np.lexsort((own, -sims[:, q]))[:k] for q in range(len(some))]
+                        yield pd.DataFrame({"query_id": np.repeat(some, k), "row_id": np.concatenate([own[b] for b in best]), "score": np.concatenate([sims[b, q] for q, b in enumerate(best)])})
 
         return rows.mapInPandas(run, f"query_id {kinds[0]}, row_id {kinds[1]}, score double")
 
     out, held = None, []
     for r in queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull()).orderBy(query_key).toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == block:
+        if len(held) * len(r[1]) * 8 >= _HELD:
             out, held = (scored(held) if out is None else out.unionByName(scored(held))), []
     if held:
         out = scored(held) if out is None else out.unionByName(scored(held))

@@ -126,20 +126,23 @@ def find_repeating(df: DataFrame, group: str = "source_group", text: str = "raw_
     return cut(pairs.groupBy(F.col("g").alias(group)).agg(F.array_sort(F.collect_set("p")).alias("paths")))
 
 
-def shred(df: DataFrame, key: str = "ord", group: str = "source_group", text: str = "raw_json", values: bool = True, root: bool = True) -> DataFrame:
+def shred(df: DataFrame, key: str = "ord", group: str = "source_group", text: str = "raw_json", values: bool = True, root: bool = True, repeating: DataFrame | None = None, carry: str | None = None) -> DataFrame:
     """Rows of all flat tables: key, group, child_path, elem_pos, parent_path, parent_pos and, if asked, fields.
 
     ``fields`` maps a column (field names under the row's own object) to its text; lists of scalars stay JSON text, null
     fields are absent.  The root table has the path ''.  Records with a null group, null key or text that is no
-    complete JSON object give no rows; repeated records give repeated rows.
+    complete JSON object give no rows; repeated records give repeated rows.  ``repeating`` takes the result of
+    ``find_repeating`` where it is known already, and ``carry`` names a text column to give every row of a record.
     """
-    schema = "key bigint, g string, child_path string, elem_pos string, parent_path string, parent_pos string" + (", fields map<string,string>" if values else "")
+    names = ["key", "g", "child_path", "elem_pos", "parent_path", "parent_pos"] + ["fields"] * values + ["carried"] * bool(carry)
+    kinds = [pa.int64(), *[pa.string()] * 5] + [pa.map_(pa.string(), pa.string())] * values + [pa.string()] * bool(carry)
+    schema = ", ".join(f"{n} {'bigint' if n == 'key' else 'map<string,string>' if n == 'fields' else 'string'}" for n in names)
 
     def run(batches):
         cache: dict[tuple, frozenset[str]] = {}
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7 if values else 6)]
-            for k, g, t, paths in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            cols: list[list] = [[] for _ in names]
+            for k, g, t, paths, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 record = parse(t)
                 if not isinstance(record, dict):
                     continue
@@ -149,22 +152,19 @@ def shred(df: DataFrame, key: str = "ord", group: str = "source_group", text: st
                 rows: dict[tuple[str, str], list] = {}
                 for table, row, up, up_row, value, column in triples(record, repeated):
                     if not column:
-                        rows[table, row] = [k, g, table, row, up, up_row, []]
+                        rows[table, row] = [k, g, table, row, up, up_row, *([{}] if values else []), *([own] if carry else [])]
                     elif values and value is not None:
-                        rows[table, row][6].append((column, value if isinstance(value, str) else deep.dumps(value)))
+                        rows[table, row][6][column] = value if isinstance(value, str) else deep.dumps(value)
                 for r in rows.values():
                     if root or r[2]:
                         for c, v in zip(cols, r):
-                            c.append(dict(v) if c is cols[-1] and values else v)
-            types = [pa.int64(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string())]
-            arrays = [pa.array([list(x.items()) for x in c] if i == 6 else c, types[i]) for i, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "g", "child_path", "elem_pos", "parent_path", "parent_pos", "fields"][: len(cols)])
-
-    repeating = broadcast_if_small(find_repeating(df, group, text))
-    rows = df.select(group, F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col(group).isNotNull() & F.col("_k").isNotNull())
-    rows = rows.join(repeating, group, "left" if root else "inner").select(F.col("_k").cast("bigint"), group, "_t", "paths")
-    out = rows.mapInArrow(run, schema)
-    return out.withColumnsRenamed({"key": key, "g": group})
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if n == "fields" else c, t) for n, c, t in zip(names, cols, kinds)], names)
+
+    paths = broadcast_if_small(find_repeating(df, group, text) if repeating is None else repeating)
+    rows = df.select(group, F.col(key).alias("_k"), F.col(text).alias("_t"), (F.col(carry).cast("string") if carry else F.lit(None).cast("string")).alias("_c")).where(F.col(group).isNotNull() & F.col("_k").isNotNull())
+    rows = rows.join(paths, group, "left" if root else "inner").select(F.col("_k").cast("bigint"), group, "_t", "paths", "_c")
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"key": key, "g": group} | ({"carried": carry} if carry else {}))
 
 
 def child_objects(df: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import json
 import re
+import tempfile
 import uuid
+import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +38,11 @@ def _marked(column: str) -> str:
     return rf"regexp_replace(regexp_replace({blank}, '[^\x00-\x7F\p{{L}}\p{{N}}]', '~', 'g'), '[^\x00-\x7F]', '_', 'g')"
 
 
+# Legal forms, as in functions.text, between the word ends of RE2 on a text from ``_marked``.
+_SUFFIX = r"\b(l\.?l\.?c|l\.?l\.?p|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|pllc|pc|the)\b"
+_BARE = lambda c: f"regexp_replace({_marked(f'lower({c})')}, '{_SUFFIX}', ' ', 'g')"
+
+
 def _money_of_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(detectors.exact_sum(F.col("l_extendedprice")).alias("line_total"))
     return lines
@@ -302,6 +311,56 @@ def write_files(records: DataFrame, folder: str) -> None:
     spread.mapInPandas(run, "done int").count()
 
 
+@_query("""
+    WITH f AS (SELECT source_file, arg_min(ord, ord) AS ord FROM raw_records WHERE source_file LIKE '%.xml' AND json_valid(raw_json) AND json_type(raw_json, '$.VENDOR') = 'OBJECT' GROUP BY source_file)
+    SELECT r.source_group, r.source_file, regexp_extract(r.source_file, '([^/]+)\\.xml$', 1) AS native_id,
+        trim(json_extract_string(raw_json, '$.VENDOR.legal_name'), ' \t\n\r') AS legal_name, json_extract_string(raw_json, '$.VENDOR."@rev"') AS rev,
+        CASE json_type(raw_json, '$.VENDOR.officers.officer') WHEN 'ARRAY' THEN CAST(json_array_length(raw_json, '$.VENDOR.officers.officer') AS INTEGER) WHEN 'OBJECT' THEN 1 ELSE 0 END AS officers
+    FROM raw_records r SEMI JOIN f ON r.ord = f.ord""")
+def corpus_xml(spark: SparkSession, d: str) -> DataFrame:
+    """The XML files, one record each, written out and read again: attributes, texts (stripped) and lists are as they were."""
+    from ledgerloom.sources.corpus import read_corpus
+
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    good = table(spark, d, "raw_records").where(F.col("source_file").endswith(".xml") & F.get_json_object("raw_json", "$.VENDOR").startswith("{") & F.try_parse_json("raw_json").isNotNull())
+    write_xml(good.groupBy("source_file").agg(F.min_by("raw_json", "ord").alias("raw_json")), folder)
+    read, at = read_corpus(spark, folder), lambda p: normalise.json_at(F.col("raw_json"), f"VENDOR.{p}")
+    return read.select("source_group", "source_file", "native_id", at("legal_name").alias("legal_name"), at("@rev").alias("rev"), F.size(normalise.elements_at(F.col("raw_json"), "VENDOR.officers.officer[]")).alias("officers"))
+
+
+def write_xml(records: DataFrame, folder: str) -> None:
+    """Each record as an XML file of its own, the inverse of how they are read."""
+
+    def fill(node, value) -> None:
+        for k, v in value.items() if isinstance(value, dict) else ():
+            if k.startswith("@"):
+                node.set(k[1:], v)
+            elif k == "#text":
+                node.text = v
+            else:
+                for x in v if isinstance(v, list) else [v]:
+                    fill(ET.SubElement(node, k), x)
+        if isinstance(value, str):
+            node.text = value
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        n = 0
+        for f in frames:
+            for file, text in zip(f["source_file"], f["raw_json"]):
+                root = ET.Element("VENDOR")
+                fill(root, json.loads(text)["VENDOR"])
+                system.create_dir(f"{base}/{file}".rpartition("/")[0])
+                with system.open_output_stream(f"{base}/{file}") as out:
+                    out.write(ET.tostring(root, encoding="utf-8"))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    records.mapInPandas(run, "n int").count()
+
+
 @_query("SELECT source_group, count(*) AS n_records FROM raw_records GROUP BY source_group")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.sources.corpus import reconcile as count
@@ -392,6 +451,26 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return profile.containment(values).select("group_a", "field_a", "group_b", "field_b", "n_a", "n_common", "containment")
 
 
+@_query(rf"""
+    WITH n AS (SELECT DISTINCT 'entities' AS g, regexp_replace({_BARE('canonical_name')}, '[^a-z0-9]+', '', 'g') AS k FROM entities UNION SELECT 'aliases', regexp_replace({_BARE('raw_name')}, '[^a-z0-9]+', '', 'g') FROM aliases),
+    v AS (SELECT * FROM n WHERE k <> ''), c AS (SELECT count(*) AS n FROM v a JOIN v b ON a.k = b.k AND a.g = 'entities' AND b.g = 'aliases')
+    SELECT g AS group_a, 'name' AS field_a, CASE g WHEN 'entities' THEN 'aliases' ELSE 'entities' END AS group_b, 'name' AS field_b, count(*) AS n_a, max(c.n) AS n_common, max(c.n) / count(*) AS containment FROM v, c GROUP BY g HAVING max(c.n) / count(*) >= 0.3""")
+def name_joins(spark: SparkSession, d: str) -> DataFrame:
+    """Where identifiers join nothing, names do: in normal form, the best partner of each field."""
+    own = table(spark, d, "entities").select(F.lit("entities").alias("grp"), F.lit("name").alias("field"), F.col("canonical_name").alias("value"))
+    return profile.name_joins(own.unionByName(table(spark, d, "aliases").select(F.lit("aliases").alias("grp"), F.lit("name").alias("field"), F.col("raw_name").alias("value"))))
+
+
+@_query("""
+    WITH v AS (SELECT source_group, f.field || '[]' AS path, CAST(json_array_length(raw_json, '$.' || f.field) AS BIGINT) AS n FROM raw_records, (VALUES ('tags'), ('amendments'), ('subawards')) f(field) WHERE json_valid(raw_json) AND json_type(raw_json, '$.' || f.field) = 'ARRAY')
+    SELECT source_group, path, count(*) AS lists, CAST(sum(n) AS BIGINT) AS elements, max(n) AS longest FROM v GROUP BY ALL""")
+def list_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """A first look that walks five elements of each list still knows how long the lists are."""
+    flat = profile.flatten(table(spark, d, "raw_records"), max_list=5).where("kind = 'list'").where(F.col("path").isin("tags[]", "amendments[]", "subawards[]"))
+    n = F.col("value").cast("bigint")
+    return flat.groupBy("source_group", "path").agg(F.count("*").alias("lists"), F.sum(n).alias("elements"), F.max(n).alias("longest"))
+
+
 @_query("""
     WITH k AS (SELECT DISTINCT o_custkey AS v FROM orders)
     SELECT 'orders' AS group_a, 'custkey-orderkey#left' AS field_a, 'customer' AS group_b, 'custkey' AS field_b, (SELECT count(*) FROM k) AS n_a, count(*) AS n_common, 'HIGH' AS reliability
@@ -508,6 +587,46 @@ def normalised_grants(spark: SparkSession, d: str) -> DataFrame:
     return normalise.normalise_table(table(spark, d, "raw_records"), mapping).drop("elem_index")  # null, as nothing is exploded
 
 
+@_query("""
+    SELECT json_extract_string(e, '$.on') AS amended_on, CAST(round(TRY_CAST(replace(replace(json_extract_string(e, '$.delta'), '$', ''), ',', '') AS DOUBLE), 2) AS DOUBLE) AS delta, nullif(trim(json_extract_string(raw_json, '$.id')), '') AS grant_id, 'amendment' AS kind,
+        source_group, native_id, content_hash, CAST(i AS INTEGER) AS elem_index
+    FROM (SELECT *, unnest(range(CAST(json_array_length(raw_json, '$.amendments') AS BIGINT))) AS i, unnest(CAST(json_extract(raw_json, '$.amendments') AS JSON[])) AS e
+        FROM raw_records WHERE source_group = '.jsonl::grants/archive.jsonl' AND json_valid(raw_json) AND json_type(raw_json, '$.amendments') = 'ARRAY')
+    UNION ALL SELECT json_extract_string(v, '$.on'), CAST(round(TRY_CAST(replace(replace(json_extract_string(v, '$.delta'), '$', ''), ',', '') AS DOUBLE), 2) AS DOUBLE), nullif(trim(json_extract_string(raw_json, '$.id')), ''), 'amendment', source_group, native_id, content_hash, 0
+    FROM (SELECT *, json_extract(raw_json, '$.amendments') AS v FROM raw_records WHERE source_group = '.jsonl::grants/archive.jsonl' AND json_valid(raw_json) AND json_type(raw_json, '$.amendments') = 'OBJECT')""")
+def normalised_amendments(spark: SparkSession, d: str) -> DataFrame:
+    """A list exploded by a mapping: elements with their positions, a column of the enclosing record, a constant, provenance."""
+    from ledgerloom.plans.packs import Source, TableMapping
+
+    source = Source(".jsonl::grants/archive.jsonl", {"amended_on": "on", "delta": "delta", "grant_id": "^.id"}, {"kind": "amendment"}, "amendments[]")
+    return normalise.normalise_table(table(spark, d, "raw_records"), TableMapping("amendments", [source], {"delta": "money"}))
+
+
+@_query("""
+    SELECT origin, count(*) AS n FROM (SELECT 'customers' AS origin FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'suppliers' FROM supplier WHERE s_acctbal >= 0) GROUP BY origin""")
+def written_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A pack's tables written anew with its statements: a derived column, a deletion and a view over the table."""
+    from ledgerloom.plans.packs import Source, TableMapping
+
+    record = lambda name, group, key: table(spark, d, name).select(F.lit(group).alias("source_group"), F.col(key).cast("string").alias("native_id"), F.lit("h").alias("content_hash"), F.to_json(F.struct("*")).alias("raw_json"))
+    raw = record("customer", "c", "c_custkey").unionByName(record("supplier", "s", "s_suppkey"))
+    mapping = TableMapping("parties", [Source("c", {"balance": "c_acctbal"}, {"origin": "c"}), Source("s", {"balance": "s_acctbal"}, {"origin": "s"})], {"balance": "money"})
+    views: list[tuple[str, str]] = []
+    for sql in ("UPDATE norm_parties SET origin = 'customers' WHERE origin = 'c'", "UPDATE norm_parties SET origin = 'suppliers' WHERE origin = 's'", "DELETE FROM norm_parties WHERE balance < 0", "CREATE VIEW v_parties AS SELECT origin, count(*) AS n FROM norm_parties GROUP BY origin"):
+        normalise.derive_from_sql(sql, {"norm_parties": mapping}, views)
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    normalise.write_tables(raw, [mapping], folder, views=views)
+    return spark.read.parquet(f"{folder}/v_parties")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 4 = 1 THEN '+00:00' ELSE '' END END AS ordered FROM orders")
+def to_datetime(spark: SparkSession, d: str) -> DataFrame:
+    """US dates stay dates; date and time come out in one form, with the zone they were written with."""
+    on = F.col("o_orderdate")
+    written = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(on, "M/d/yyyy")).when(F.col("o_orderkey") % 4 == 1, F.date_format(on, "yyyy-MM-dd HH:mm:ss'Z'")).otherwise(F.date_format(on, "yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, d, "orders").select("o_orderkey", coerce.to_datetime(written).alias("ordered"))
+
+
 # --- entities -----------------------------------------------------------------------------------------------------
 
 
@@ -523,11 +642,6 @@ def mention_counts(spark: SparkSession, d: str) -> DataFrame:
     return _mentioned(spark, d)
 
 
-# Legal forms, as in functions.text, between the word ends of RE2 on a text from ``_marked``.
-_SUFFIX = r"\b(l\.?l\.?c|l\.?l\.?p|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|pllc|pc|the)\b"
-_BARE = lambda c: f"regexp_replace({_marked(f'lower({c})')}, '{_SUFFIX}', ' ', 'g')"
-
-
 @_query(rf"""
     SELECT entity_id, raw_name, regexp_replace({_BARE('raw_name')}, '[^a-z0-9]+', '', 'g') AS norm_key, regexp_replace(lower(raw_name), '[^a-z0-9]+', '', 'g') AS light
     FROM (SELECT DISTINCT entity_id, raw_name FROM aliases)""")
@@ -548,6 +662,19 @@ def entity_clusters(spark: SparkSession, d: str) -> DataFrame:
     return entities.cluster(names).select("entity_type", "norm_key", "canonical_name", F.col("n_mentions").cast("bigint").alias("n_mentions"), "is_intermediary_composite")
 
 
+@_query(rf"""
+    WITH m AS (SELECT entity_type, raw_name, sum(n_mentions) AS n, regexp_replace({_BARE('raw_name')}, '[^a-z0-9]+', '', 'g') AS k, regexp_matches({_marked('raw_name')}, '(?i)\bon behalf of\b|\bas fiscal sponsor for\b') AS two
+        FROM aliases WHERE entity_type IN ('org', 'person') GROUP BY entity_type, raw_name),
+    e AS (SELECT entity_type, k AS norm_key, arg_min(raw_name, (-n, raw_name)) AS canonical_name FROM m WHERE length(k) >= 5 AND NOT two GROUP BY entity_type, k UNION ALL SELECT entity_type, NULL, raw_name FROM m WHERE length(k) < 5 OR two),
+    i AS (SELECT *, row_number() OVER (ORDER BY entity_type, norm_key IS NOT NULL, norm_key, canonical_name) AS entity_id FROM e)
+    SELECT i.entity_id, m.raw_name FROM m JOIN i ON i.entity_type = m.entity_type AND CASE WHEN length(k) >= 5 AND NOT two THEN i.norm_key = m.k ELSE i.norm_key IS NULL AND i.canonical_name = m.raw_name END""")
+def entity_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Surrogate ids in their defined order, and every spelling filed under one."""
+    names = table(spark, d, "aliases").where(F.col("entity_type").isin("org", "person")).groupBy("entity_type", "raw_name").agg(F.sum("n_mentions").alias("n_mentions"))
+    names = names.withColumns({"src_table": F.lit("aliases"), "src_column": F.lit("raw_name")})
+    return entities.aliases(names, entities.with_ids(entities.cluster(names))).select("entity_id", "raw_name")
+
+
 @_query("""
     WITH n AS (SELECT 2 * p_partkey AS entity_id, p_name || '.co ' || p_size AS raw_name FROM part UNION ALL SELECT 2 * p_partkey + 1, p_name || 'co ' || p_size FROM part),
     l AS (SELECT DISTINCT regexp_replace(lower(raw_name), '[^a-z0-9]+', '', 'g') AS light, entity_id FROM n),
@@ -643,6 +770,17 @@ def space_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(copies, "doc_id").select("doc_id", "copies")
 
 
+@_query("""
+    WITH f AS (SELECT min(doc_id) AS doc_id, trim(text) AS t FROM documents WHERE trim(text) IS NOT NULL AND trim(text) <> '' GROUP BY trim(text))
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, round(length(t) / sqrt(length(t)::DOUBLE * length(t) + 9), 5) AS x, CAST(2 AS INTEGER) AS dims FROM f""")
+def written_space(spark: SparkSession, d: str) -> DataFrame:
+    """A space written and read again: distinct texts numbered by key, vectors of an encoder of one's own in unit length."""
+    folder, length = f"{shared_folder(spark)}/spaces-{uuid.uuid4().hex}", lambda c: F.array(F.length(c).cast("double"), F.lit(3.0))
+    semantic.write_space(semantic.space(table(spark, d, "documents"), "text", ["doc_id"], chunk=False), ["doc_id"], folder, "texts", length)
+    rows, meta = semantic.read_space(spark, folder, "texts")
+    return rows.select("doc_id", "row_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.lit(meta["dims"]).alias("dims"))
+
+
 def _queries_of(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
 
@@ -826,6 +964,30 @@ def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     return dossier.entity_of_name(filed.select(F.col("raw_name").alias("name")), table(spark, d, "entities"), filed)
 
 
+@_query(f"""
+    WITH w AS ({_LOCATORS})
+    SELECT 'leads' AS key, CAST(count(*) AS VARCHAR) AS value FROM leads UNION ALL SELECT 'entities', CAST(count(*) AS VARCHAR) FROM entities UNION ALL SELECT 'aliases', CAST(count(*) AS VARCHAR) FROM aliases
+    UNION ALL SELECT 'raw_records', CAST(count(*) AS VARCHAR) FROM raw_records r SEMI JOIN w ON r.source_group = w.source_group AND r.native_id = w.native_id""")
+def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of a written bundle."""
+    folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    dossier.write_bundle(*(table(spark, d, t) for t in ("leads", "entities", "aliases", "raw_records")), folder)
+    return spark.read.parquet(f"{folder}/bundle_manifest")
+
+
+@_query("""
+    WITH l AS (SELECT DISTINCT ON (lead_id) lead_id, status, signal_type, claim, detector_id, CASE WHEN isnan(rank_score) THEN NULL ELSE rank_score END AS r, CASE WHEN isnan(score) THEN NULL ELSE score END AS s FROM leads)
+    SELECT lead_id, status, signal_type AS what_it_is, claim, detector_id AS detector FROM l ORDER BY r DESC NULLS LAST, s DESC NULLS LAST, lead_id LIMIT 50""")
+def leads_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty leads written as a spreadsheet file, and read again."""
+    one = table(spark, d, "leads").groupBy("lead_id").agg(F.first(F.struct("*")).alias("r")).select("r.*")  # rows of an id are alike
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own file, as a user would have it
+        dossier.write_csv(one, f"{folder}/leads.csv")
+        with open(f"{folder}/leads.csv", encoding="utf-8-sig", newline="") as f:
+            rows = [(int(r["lead_id"]), r["status"], r["what_it_is"], r["claim"], r["detector"]) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "lead_id bigint, status string, what_it_is string, claim string, detector string")
+
+
 # --- streams, run as batches --------------------------------------------------------------------------------------
 
 
