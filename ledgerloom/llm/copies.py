@@ -19,13 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import deep
 from ledgerloom.operators.skew import join_on_hot_key
 from ledgerloom.session import cut
 
 _DROP_ASCII = {c: None for c in range(128) if not chr(c).isalnum()}
 _DROP = regex.compile(r"[\p{P}\p{S}\p{Z}\p{C}]+")
 _QUOTES = " \t\r\n  \"'`“”‘’«»"
-_NUMBER = re.compile(r"([+-]?)\s?(?:[$€£¥]|usd|eur|gbp)?\s?([+-]?)(\d{1,3}(?:,\d{3})+|\d+)?(\.\d*)?")
+_NUMBER = re.compile(r"([+-]?)\s?(?:[$€£¥]|usd|eur|gbp)?\s?([+-]?)(\d{1,3}(?:,\d{3})+|\d+)?(\.\d*)?(e[+-]?\d{1,9})?")
 
 
 def canonical_text(value: str) -> str:
@@ -34,7 +35,7 @@ def canonical_text(value: str) -> str:
     if bare and (bare[0] in "+-−$€£¥.uUeEgG" or bare[0].isdigit()):
         match = _NUMBER.fullmatch(bare.rstrip(",;:").replace("−", "-").lower())
         if match and (match[3] or (match[4] and match[4] != ".")) and not (match[1] and match[2]):
-            return _number(Decimal((match[1] or match[2]) + (match[3] or "0").replace(",", "") + (match[4] or "")))
+            return _number(Decimal((match[1] or match[2]) + (match[3] or "0").replace(",", "") + (match[4] or "") + (match[5] or "")))
     if value.isascii():
         return value.lower().translate(_DROP_ASCII)
     folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", value).casefold())
@@ -42,29 +43,45 @@ def canonical_text(value: str) -> str:
 
 
 def _number(value: Decimal) -> str:
+    """One text per value, with all its digits: plain up to 400 places, else digits and exponent."""
     if not value.is_finite():
         return str(value).lower()
     if value == 0:
         return "0"
     if abs(value.adjusted()) > 400:
-        return str(value.normalize())
+        sign, digits, exponent = value.as_tuple()
+        bare = "".join(map(str, digits)).rstrip("0")
+        return f"{'-' * sign}{bare}E{exponent + len(digits) - len(bare)}"
     text = format(value, "f")
     return text.rstrip("0").rstrip(".") if "." in text else text.lstrip("0") if value > 0 else "-" + text[1:].lstrip("0")
 
 
-def canonical(value) -> str:
-    """Canonical text of a parsed record: names sorted, values canonical, lists in their order."""
+def _scalar(value) -> str:
     if isinstance(value, str):
         return "'" + canonical_text(value)
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
     if value is None or isinstance(value, bool):
         return {None: "~", True: "!t", False: "!f"}[value]
     return "'" + _number(value if isinstance(value, Decimal) else Decimal(repr(value)))
 
 
+def canonical(value) -> str:
+    """Canonical text of a parsed record: names sorted, values canonical, lists in their order; at any depth."""
+    out, stack = [], [(False, value)]  # (text already, what)
+    while stack:
+        done, v = stack.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict):
+            parts = [x for i, k in enumerate(sorted(v)) for x in ((True, "," * bool(i) + json.dumps(k) + ":"), (False, v[k]))]
+            stack += [(True, "}"), *reversed(parts), (True, "{")]
+        elif isinstance(v, list):
+            parts = [x for i, y in enumerate(v) for x in ((True, "," * bool(i)), (False, y))]
+            stack += [(True, "]"), *reversed(parts), (True, "[")]
+        else:
+            out.append(_scalar(v))
+    return "".join(out)
+
+
 def hash_records(df: DataFrame, key: str = "ord", text: str = "raw_json") -> DataFrame:
     """(key, h binary(16), c bigint) of every record whose text is complete JSON; others and null keys give no row."""
 
@@ -75,8 +92,8 @@ def hash_records(df: DataFrame, key: str = "ord", text: str = "raw_json") -> Dat
                 if not t:
                     continue
                 try:
-                    form = canonical(json.loads(t, parse_float=Decimal)).encode("utf-8", "surrogatepass")
-                except (ValueError, RecursionError):
+                    form = canonical(deep.loads(t, Decimal)).encode("utf-8", "surrogatepass")
+                except ValueError:
                     continue
                 keys.append(k)
                 hashes.append(hashlib.md5(form, usedforsecurity=False).digest())

@@ -43,9 +43,10 @@ SAME = [
     ({"a": "L.L.C. Straße", "b": [1, {"c": None}]}, '{"b":[1.0,{"c":null}],"a":"llc STRASSE "}'),
     ({"a": "$1,234.50"}, '{"a": "1234.5"}'), ({"a": "1,110.06"}, '{"a":1110.06}'), ({"a": "−5"}, '{"a":"-5.00"}'), ({"a": "été"}, '{"a":"e\\u0301te\\u0301"}'),
     ({"a": "“CELL”"}, '{"a":"cell."}'), ({"a": "2013-02-12"}, '{"a":"2013 02 12"}'), ({"a": "ﬁne"}, '{"a":"FINE"}'), ({"a": ""}, '{"a":" - "}'), ({"a": "007"}, '{"a":7}'),
+    ({"a": "1e3"}, '{"a":1000}'), ({"a": "1E3"}, '{"a":1e3}'), ({"a": "-2.50e-1"}, '{"a":-0.25}'), ({"a": "1e500"}, '{"a":10e499}'),
 ]
 OTHER = [
-    ({"a": "-5.00"}, {"a": "5.00"}), ({"a": "1.5"}, {"a": "15"}), ({"a": None}, {}), ({"a": None}, {"a": ""}), ({"a": True}, {"a": "true"}), ({"a": [1, 2]}, {"a": [2, 1]}), ({"a": "e"}, {"a": "é"}), ({"A": 1}, {"a": 1}),
+    ({"a": "-5.00"}, {"a": "5.00"}), ({"a": "1.5"}, {"a": "15"}), ({"a": None}, {}), ({"a": None}, {"a": ""}), ({"a": True}, {"a": "true"}), ({"a": [1, 2]}, {"a": [2, 1]}), ({"a": "e"}, {"a": "é"}), ({"A": 1}, {"a": 1}), ({"a": "1" * 40}, {"a": "1" * 39 + "2"}), ({"a": "1." + "3" * 500}, {"a": "1." + "3" * 499 + "4"}),
 ]
 
 
@@ -60,6 +61,8 @@ def test_copies(spark):
     rows = [(5, '{"x":1,"y":"A b"}'), (3, '{"y":"ab","x":1}'), (9, '{"y":"AB!","x":"1"}'), (4, '{"x":2}'), (6, '{"x":'), (7, None), (8, ""), (None, '{"x":2}'), (11, '["' + "z" * 400_000 + '"]'), (12, ' [ "' + "Z" * 400_000 + '" ]')]
     df = spark.createDataFrame(rows, "ord long, raw_json string").selectExpr("*", "1 AS h", "2 AS c", "3 AS id", "4 AS k")
     assert {(r[0], r[1]) for r in copies.further_copies(df).collect()} == {(3, 5), (3, 9), (11, 12)}
+    deep_ = [(1, '{"a":' * 9000 + '"X y"' + "}" * 9000), (2, '{"a":' * 9000 + '"xy"' + " }" * 9000)]
+    assert [tuple(r) for r in copies.further_copies(spark.createDataFrame(deep_, "ord long, raw_json string")).collect()] == [(1, 2)]
     assert sorted(r["copies"] for r in copies.count_copies(copies.hash_records(df)).collect()) == [1, 2, 3]
     assert copies.further_copies(df.limit(0)).count() == 0
 
