@@ -96,7 +96,29 @@ def same_word(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 4 and alike(a, b)) or abbreviates(a, b) or abbreviates(b, a)
 
 
+def _shorter(word: str) -> set[str]:
+    """A word, its blurred form, and both with each single letter left out: words with a slip between them share one."""
+    return {x for w in {word, _blur(word)} for x in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))}
+
+
+class _Near:
+    """Words of at least four letters, by what a spelling of them with one slip may be shortened to."""
+
+    def __init__(self, known) -> None:
+        self.by: dict[str, list[str]] = {}
+        for x in known:
+            if len(x) >= 4:
+                for y in _shorter(x):
+                    self.by.setdefault(y, []).append(x)
+
+    def to(self, token: str) -> list[str]:
+        """The words that ``token``, of four letters or more, is like, in the order they were given."""
+        found = dict.fromkeys(x for y in _shorter(token) for x in self.by.get(y, ()))
+        return [x for x in found if alike(token, x)]
+
+
 _GIVEN_MEMO: dict[str, frozenset[str]] = {}
+_GIVEN_NEAR = _Near(_NICK)
 
 
 def given_names(token: str) -> frozenset[str]:
@@ -105,10 +127,7 @@ def given_names(token: str) -> frozenset[str]:
     if known is None:
         hit = _NICK.get(token) or _NICK.get(_blur(token))
         if hit is None and len(token) >= 4:
-            hit = set()
-            for x, full in _NICK.items():
-                if len(x) >= 4 and alike(token, x):
-                    hit |= full
+            hit = {full for x in _GIVEN_NEAR.to(token) for full in _NICK[x]}
         known = frozenset(hit or ())
         if len(_GIVEN_MEMO) < 500_000:
             _GIVEN_MEMO[token] = known
@@ -155,6 +174,8 @@ def person(name: str) -> tuple[str, str, str] | None:
 
 
 _GENERIC_MEMO: dict[str, tuple[str, str]] = {}
+_KIND = dict.fromkeys(QUALIFIERS, "q") | dict.fromkeys(LINES, "l")
+_GENERIC_NEAR = _Near(_KIND)
 
 
 def _generic(token: str) -> tuple[str, str]:
@@ -162,11 +183,10 @@ def _generic(token: str) -> tuple[str, str]:
     hit = _GENERIC_MEMO.get(token)
     if hit is None:
         hit = ("q", "saint") if token == "st" else ("", token)
-        for kind, full_words in (("q", QUALIFIERS), ("l", LINES)):
-            if token in full_words:
-                hit = (kind, token)
+        if token in _KIND:
+            hit = (_KIND[token], token)
         if not hit[0]:
-            options = [(k, x) for k, group in (("l", LINES), ("q", QUALIFIERS)) for x in group if len(token) >= 4 and len(x) >= 4 and (near(token, x) or near(_blur(token), _blur(x)))]
+            options = sorted((_KIND[x], x) for x in _GENERIC_NEAR.to(token)) if len(token) >= 4 else []
             if len(token) <= 8:
                 options += [(k, x) for k, group in (("l", LINES), ("q", QUALIFIERS)) for x in group if abbreviates(token, x) and (k == "l" or token in ("intl", "metro", "natl", "no", "so"))]
             hit = (options[0][0], options[0][1] if len({o[1] for o in options}) == 1 else token) if options else hit
