@@ -98,17 +98,18 @@ def outlier_top(df: DataFrame, value: str, groups: list[str], n: int = 25) -> Da
 
 
 def outlier_sigma(df: DataFrame, value: str, groups: list[str], sigmas: float = 3.0) -> DataFrame:
-    """Rows farther than ``sigmas`` standard deviations from their group's mean; a null group is a group.
+    """Rows farther than ``sigmas`` standard deviations from their group's mean, with how many; a null group is a group.
 
     The statistics are aggregated first and joined back: no group is sorted or gathered, however large.
     """
     keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)] or [F.lit("all").alias("_g0")]
-    stats = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    stats = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_deviation"))
     same = F.lit(True)
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = df.join(broadcast_if_small(stats), same).drop(*[f"_g{i}" for i in range(len(keys))])
-    return out.where((F.col("deviation") > 0) & (F.abs(F.col(value) - F.col("mean")) > F.col("deviation") * F.lit(sigmas)))
+    far = F.abs(F.col(value) - F.col("_mean"))
+    return out.where((F.col("_deviation") > 0) & (far > F.col("_deviation") * F.lit(sigmas))).withColumn("deviations", far / F.col("_deviation")).drop("_mean", "_deviation")
 
 
 def grain(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -331,7 +332,7 @@ def _outliers(p: dict, tables: dict[str, DataFrame]) -> DataFrame:
         claim = _said(f"aggregate {value} of ", F.round("total", 2), " across ", F.col("n_rows"), " records for (", _label(groups or ["grp"]), "), among the highest in the corpus")
         return top.select(claim.alias("claim"), F.col("total").alias("score"), _evidence((p["table"], F.col("sample.source_group"), F.col("sample.native_id"), F.col("total"))).alias("evidence"))
     hits = outlier_sigma(t, value, groups, p.get("threshold", 3.0))
-    away = F.abs(F.col(value) - F.col("mean")) / F.col("deviation")
+    away = F.col("deviations")
     claim = _said(f"{value} of ", F.col(value), " for (", _label(groups), "), ", F.round(away, 2), " standard deviations from the mean of its group")
     return hits.select(claim.alias("claim"), away.alias("score"), _evidence((p["table"], F.col("source_group"), F.col("native_id"), F.col(value))).alias("evidence"))
 

@@ -13,11 +13,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.shred import elements_of, find_repeating, opened, parse, shred
+from ledgerloom.functions import deep
+from ledgerloom.operators.shred import elements_of, find_repeating, opened, parse, shred, triples
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
@@ -286,24 +288,67 @@ def _last_name(path: Column, aliases: Column) -> Column:
     return F.when(F.exists(aliases, lambda a: at(path, a)), walked["path"]).otherwise(path)
 
 
+def renamed_path(path: str, aliases: list[tuple[str, str]]) -> str:
+    """``_last_name`` for one path; ``aliases`` are (name, canonical), longest name first."""
+    left = list(aliases)
+    while hit := next((a for a in left if path == a[0] or path.startswith(a[0] + ".")), None):
+        path = hit[1] + path[len(hit[0]) :]
+        left = [a for a in left if a[0] != hit[0]]
+    return path
+
+
+def cells(df: DataFrame, repeating: DataFrame, alias: DataFrame) -> DataFrame:
+    """(ord, source_group, source_file, row, field, text): every scalar value of every record under its last name.
+
+    A record's values are walked once and given out as they come; a name is resolved once per directory and task.
+    """
+
+    def run(batches):
+        repeated_of: dict = {}
+        names: dict[tuple, str] = {}
+        known: dict[str, list] = {}
+        for batch in batches:
+            of, counts, at, fields, texts = [], [], [], [], []  # records that have values, how many, and the values
+            for i, (g, t, paths, d, aliases) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 3, 4, 5, 6)))):
+                record = parse(t)
+                if not isinstance(record, dict):
+                    continue
+                repeated = repeated_of.setdefault(g, frozenset(paths or ()))
+                own = known.setdefault(d, [(a["name"], a["canonical"]) for a in aliases or ()])
+                before = len(texts)
+                for table, row, _, _, value, column in triples(record, repeated):
+                    if column and value is not None:
+                        field = names.get((d, table, column))
+                        if field is None:
+                            field = names[d, table, column] = renamed_path(f"{table}.{column}" if table else column, own)
+                        at.append(row)
+                        fields.append(field)
+                        texts.append(value if value.__class__ is str else deep.dumps(value))
+                of.append(i)
+                counts.append(len(texts) - before)
+            each = pa.array(np.repeat(np.array(of, np.int64), counts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(each) for c in range(3)), *(pa.array(c, pa.string()) for c in (at, fields, texts))], ["ord", "source_group", "source_file", "row", "field", "text"])
+
+    rows = df.where("source_group IS NOT NULL AND ord IS NOT NULL").select(F.col("ord").cast("bigint").alias("ord"), "source_group", "source_file", "raw_json", F.coalesce(_directory(F.col("source_file")), F.lit("")).alias("dir"))
+    rows = rows.join(broadcast_if_small(repeating), "source_group", "left").join(broadcast_if_small(_by_directory(alias)), "dir", "left")
+    return rows.select("ord", "source_group", "source_file", "raw_json", "paths", "dir", "aliases").mapInArrow(run, "ord bigint, source_group string, source_file string, row string, field string, text string")
+
+
 def unified(df: DataFrame) -> DataFrame:
-    """One table over all files: (ord, source_group, source_file, row, field, kind, text, number, flag).
+    """One table over all files: (ord, source_group, source_file, row, field, text, number, flag).
 
     A field stands under its directory's last name for it, and for what encloses it.  Its value is kept as text and, where it can be read so, as
-    number and as flag, so no value is lost when a field changed type.  Scalars only; ``row`` holds the positions of the
-    enclosing repeated objects.  Files outside any series, XML files of one record each among them, are in it too.
+    number and as flag, so no value is lost when a field changed type.  Scalars and lists of scalars only; ``row`` holds the
+    positions of the enclosing repeated objects.  Files outside any series, XML files of one record each among them, are in
+    it too.
     """
     repeating = find_repeating(df)
     changed = cut(changes(df, repeating))
-    rows = shred(df, repeating=repeating, carry="source_file")
-    cells = rows.select("ord", "source_group", "source_file", F.col("elem_pos").alias("row"), "child_path", F.explode("fields").alias("column", "text"))
-    path = F.when(F.col("child_path") == "", F.col("column")).otherwise(F.concat("child_path", F.lit("."), "column"))
-    cells = cells.withColumns({"dir": _directory(F.col("source_file")), "name": path})
-    cells = cells.join(broadcast_if_small(_by_directory(alias_table(changed))), "dir", "left").withColumn("field", _last_name(F.col("name"), F.col("aliases")))
+    rows = cells(df, repeating, alias_table(changed))
     plain = F.regexp_replace("text", "[$,\\s]", "")
-    return cells.select(
-        "ord", "source_group", "source_file", "row", "field", "text",
-        F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain).try_cast("double").alias("number"),
+    return rows.select(
+        "*",
+        F.when(F.col("text").rlike("^[\\s$,+-.0-9]") & plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain).try_cast("double").alias("number"),
         F.when(F.lower("text").isin("true", "yes", "y"), True).when(F.lower("text").isin("false", "no", "n"), False).alias("flag"),
     )
 

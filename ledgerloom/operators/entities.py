@@ -131,14 +131,13 @@ def survivors(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = cut(edges)
     label = cut(edges.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("l")))
     for _ in range(most_rounds):
-        near = edges.join(label.withColumnsRenamed({"v": "u", "l": "m"}), "u").groupBy("v").agg(F.min("m").alias("m"))
-        step = label.join(near, "v").select("v", F.least("l", "m").alias("l"))
-        jumped = step.join(step.select(F.col("v").alias("l"), F.col("l").alias("ll")), "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("l"))
+        near = edges.join(label.select(F.col("v").alias("u"), F.col("l").alias("m")), "u").groupBy("v").agg(F.min("m").alias("m"))
+        step = label.join(near, "v").select("v", F.least("l", "m").alias("l"), F.col("l").alias("was"))
+        jumped = step.join(step.select(F.col("v").alias("l"), F.col("l").alias("ll")), "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("l"), "was")
         new = cut(jumped)
-        changed = new.join(label.withColumnRenamed("l", "was"), "v").where("l <> was").limit(1).count()
         free(label)
         label = new
-        if not changed:
+        if new.where("l <> was").isEmpty():  # what a label was stands beside it, so no join is needed to tell
             return label.select(F.col("v").alias("entity_id"), F.col("l").alias("survivor")).where("entity_id <> survivor")
     raise RuntimeError(f"labels were not stable after {most_rounds} rounds")
 

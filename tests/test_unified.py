@@ -1,6 +1,6 @@
 import json
 
-from ledgerloom.operators.drift import _last_name, unified
+from ledgerloom.operators.drift import _last_name, renamed_path, unified, unified_table
 
 
 def _df(spark, files):
@@ -30,4 +30,17 @@ def test_prefixes_are_whole_names_and_cycles_end(spark):
     rows = [("a.x", [("a", "b.a"), ("b", "c")], "c.a.x"), ("ab.x", [("a", "z")], "ab.x"), ("a", [("a", "b"), ("b", "a")], "a"), ("a[].x", [("a[]", "l[]")], "l[].x"), ("a.b.c", [("a", "p"), ("a.b", "q")], "q.c"), ("k", None, "k")]
     entries = [(p, None if a is None else sorted((-len(x), x, y) for x, y in a), w) for p, a, w in rows]
     df = spark.createDataFrame(entries, "path string, aliases array<struct<order:int,name:string,canonical:string>>, want string")
+    assert all(renamed_path(p, sorted(a, key=lambda x: -len(x[0]))) == w for p, a, w in rows if a)
     assert all(r["got"] == r["want"] for r in df.withColumn("got", _last_name(df["path"], df["aliases"])).collect())
+
+
+def test_one_typed_column_per_field(spark):
+    old = [{"id": f"R-{i}", "who": f"Ann Bo{'abcdefgh'[i % 8]}e", "n": i, "ok": True, "to": {"zip": f"{i}"}} for i in range(8)]
+    new = [{"id": f"R-{i}", "name_of": f"Ann Bo{'abcdefgh'[i % 8]}e", "n": f"${i},000", "ok": "N" if i else "maybe", "to": {"zip": f"{i}"}} for i in range(7)]
+    rows = unified_table(_df(spark, {"d/1.jsonl": old, "d/2.jsonl": new, "v/1.xml": [{"VENDOR": {"@rev": "2"}}]}))
+    assert rows.columns == ["ord", "source_group", "source_file", "VENDOR_rev", "id", "n", "name_of", "ok", "to_zip", "uncast"]
+    assert dict(rows.dtypes)["n"] == "double" and dict(rows.dtypes)["ok"] == "boolean" and dict(rows.dtypes)["to_zip"] == "string"
+    got = rows.orderBy("ord").collect()
+    assert len(got) == 16 and all(r["name_of"] for r in got[:15]) and [r["n"] for r in got[8:10]] == [0.0, 1000.0] and got[15]["VENDOR_rev"] == "2"
+    assert json.loads(got[8]["uncast"]) == {"ok": "maybe"} and got[8]["ok"] is None and got[9]["ok"] is False and got[0]["uncast"] == "{}"
+    assert unified_table(_df(spark, {})).count() == 0
