@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ def fields_of(record: dict, repeated: frozenset[str]):
     while stack:
         obj, plain, marked = stack.pop()
         for k, v in obj.items():
-            p = f"{plain}.{k}" if plain else k
-            m = f"{marked}.{k}" if marked else k
-            if v is None or (isinstance(v, str) and not v.strip()):
+            if v is None or (v.__class__ is str and not v.strip()):
                 continue
+            p = f"{plain}.{k}" if plain else k
+            m = p if marked is plain else f"{marked}.{k}"
             if p in repeated:
                 m += "[]"
                 held = opened(v)
@@ -50,7 +51,7 @@ def fields_of(record: dict, repeated: frozenset[str]):
                 v = opened(v)
                 yield m, _kind(v), v
                 if isinstance(v, dict):
-                    stack.append((v, p, m))
+                    stack.append((v, p, p if m is p else m))
 
 
 def _kind(v) -> str:
@@ -76,11 +77,14 @@ def features_of(value) -> list[tuple[str, int]]:
         whole = isinstance(value, int) or value == int(value) if math.isfinite(value) else False
         return [("form", _bucket(f"n{size}{value < 0}{isinstance(value, int)}")), ("word", _bucket(repr(value)))]
     words = value.split()
-    form = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value.strip()))
-    form = form if len(words) <= 3 else f"long{int(math.log2(len(words)))}"
+    form = _LETTERS.sub("a", _DIGITS.sub("9", value.strip())) if len(words) <= 3 else f"long{int(math.log2(len(words)))}"
     return [("form", _bucket(form)), *(("word", _bucket(w.strip('.,;"').lower())) for w in words)]
 
 
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+
+
+@lru_cache(maxsize=200_000)
 def _bucket(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
@@ -104,16 +108,17 @@ def catalogue(df: DataFrame, repeating: DataFrame, every_file: bool = False) ->
     def run(batches):
         cache: dict = {}
         for batch in batches:
-            counts: Counter = Counter()
+            per: dict[tuple, Counter] = defaultdict(Counter)  # by group and file
             for g, f, t, paths in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 record = parse(t)
                 if not isinstance(record, dict):
                     continue
                 repeated = cache.setdefault(g, frozenset(paths or ()))
-                counts[g, f, "", ""] += 1
-                counts.update({(g, f, p, k) for p, k, _ in fields_of(record, repeated)})
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in keys], pa.string()) for i in range(4)), pa.array([counts[x] for x in keys], pa.int64())], ["source_group", "source_file", "path", "kind", "n"])
+                own = per[g, f]
+                own["", ""] += 1
+                own.update({(p, k) for p, k, _ in fields_of(record, repeated)})
+            found = [(*at, *field, n) for at, own in per.items() for field, n in own.items()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.string()) for i in range(4)), pa.array([x[4] for x in found], pa.int64())], ["source_group", "source_file", "path", "kind", "n"])
 
     rows = (df if every_file else _files(df)).select("source_group", "source_file", "raw_json").join(broadcast_if_small(repeating), "source_group", "left")
     found = rows.mapInArrow(run, "source_group string, source_file string, path string, kind string, n bigint")
@@ -158,7 +163,7 @@ def _similarity(df: DataFrame, repeating: DataFrame, wanted: DataFrame) -> DataF
     def run(batches):
         cache: dict = {}
         for batch in batches:
-            counts: Counter = Counter()
+            per: dict[tuple, Counter] = defaultdict(Counter)  # by file and field
             for g, f, t, paths, asked in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 record = parse(t)
                 if not isinstance(record, dict):
@@ -166,10 +171,10 @@ def _similarity(df: DataFrame, repeating: DataFrame, wanted: DataFrame) -> DataF
                 repeated, asked = cache.setdefault(g, frozenset(paths or ())), set(asked)
                 for p, _, v in fields_of(record, repeated):
                     if p in asked:
-                        counts.update((f, p, *x) for x in features_of(v))
-            keys = list(counts)
+                        per[f, p].update(features_of(v))
+            found = [(*at, *x, n) for at, own in per.items() for x, n in own.items()]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([x[i] for x in keys], pa.string()) for i in range(3)), pa.array([x[3] for x in keys], pa.int64()), pa.array([counts[x] for x in keys], pa.int64())],
+                [*(pa.array([x[i] for x in found], pa.string()) for i in range(3)), pa.array([x[3] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64())],
                 ["source_file", "path", "family", "bucket", "n"],
             )
 
