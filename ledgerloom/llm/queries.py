@@ -40,7 +40,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct record with its number of copies."""
     counted = copies.count_copies(copies.hash_records(table(spark, sf_dir, "raw_records")))
-    return counted.select(F.col("keep").alias("keep_ord"), F.lower(F.hex("h")).alias("canonical_hash"), "copies")
+    return counted.select(F.col("keep").alias("keep_ord"), "copies")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,20 @@ _ACCEPTED = """
     FROM entity_merge_candidates
     WHERE regexp_replace(lower(status), '^\\s+|\\s+$', '', 'g') IN ('confirmed', 'applied') AND entity_id_a <> entity_id_b"""
 
+# A record is the sorted list of its places and canonical values; a value is its number, or its text without case,
+# punctuation, blanks and Unicode form.
+_COPIES = r"""
+    r AS (SELECT ord, raw_json FROM raw_records WHERE ord IS NOT NULL AND json_valid(raw_json)),
+    t AS (SELECT r.ord, j.fullkey, j.type, json_extract_string(j.atom, '$') AS s FROM r, json_tree(r.raw_json) j),
+    b AS (SELECT *, lower(replace(rtrim(regexp_replace(s, '^[\s\x{a0}"''`“”‘’«»]+|[\s\x{a0}"''`“”‘’«»]+$', '', 'g'), ',;:'), '−', '-')) AS bare FROM t),
+    n AS (SELECT *, regexp_extract(bare, '^([+-]?)\s?(?:[$€£¥]|usd|eur|gbp)?\s?([+-]?)(\d{1,3}(?:,\d{3})+|\d+)?(\.\d*)?(e[+-]?\d{1,9})?$', ['a', 'b', 'i', 'f', 'e']) AS m,
+        regexp_full_match(bare, '([+-]?)\s?(?:[$€£¥]|usd|eur|gbp)?\s?([+-]?)(\d{1,3}(?:,\d{3})+|\d+)?(\.\d*)?(e[+-]?\d{1,9})?') AS fits FROM b),
+    v AS (SELECT *, CASE WHEN type NOT IN ('OBJECT', 'ARRAY', 'NULL', 'BOOLEAN') AND fits AND (m.i <> '' OR length(m.f) > 1) AND NOT (m.a <> '' AND m.b <> '') THEN TRY_CAST(m.a || m.b || coalesce(nullif(replace(m.i, ',', ''), ''), '0') || m.f || m.e AS DOUBLE) END AS num FROM n),
+    c AS (SELECT ord, fullkey || chr(2) || CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type WHEN type = 'NULL' THEN '~' WHEN type = 'BOOLEAN' THEN '!' || s WHEN num = 0 THEN '0' WHEN num IS NOT NULL THEN '#' || num
+        ELSE '''' || nfc_normalize(regexp_replace(replace(lower(nfc_normalize(s)), 'ß', 'ss'), '[\p{P}\p{S}\p{Z}\p{C}]+', '', 'g')) END AS x FROM v),
+    h AS (SELECT ord, md5(string_agg(x, chr(1) ORDER BY x)) AS h FROM c GROUP BY ord),
+    g AS (SELECT h, min(ord) AS keep, count(*) AS copies FROM h GROUP BY h)"""
+
 _LISTS = """
         base AS (
             SELECT detector_id, created_run, score, rank_score, unnest(CAST(json_extract(evidence, '$[*].locators[*]') AS JSON[])) AS l FROM leads),
@@ -104,6 +118,8 @@ _LISTS = """
 """
 
 ORACLE = {
+    "p6_found": f"WITH {_COPIES} SELECT keep AS keep_ord, ord AS copy_ord FROM h JOIN g USING (h) WHERE ord > keep",
+    "p6_counts": f"WITH {_COPIES} SELECT keep AS keep_ord, copies FROM g",
     "p4_pairs": _ACCEPTED,
     "p4_found": f"""
         WITH RECURSIVE pairs AS ({_ACCEPTED}),
