@@ -57,7 +57,36 @@ def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_status, p2_found, p2_tables, p2_contacts, p3_found, p3_types, p3_unified, p3_table)}
 
+# Records walked twice in SQL: once for the paths that repeat in a group, however carried, once for the objects there.
+_OPEN = lambda v: f"CASE WHEN json_type({v}) = 'VARCHAR' AND regexp_matches(json_extract_string({v}, '$'), '^\\s*[\\[{{]') AND json_valid(json_extract_string({v}, '$')) THEN CAST(json_extract_string({v}, '$') AS JSON) ELSE {v} END"
+_AT = lambda v, k: f"""json_extract({v}, '$."' || {k} || '"')"""
+_MAP = lambda v: f"""(json_type({v}) = 'OBJECT' AND len(json_keys({v})) > 0 AND list_bool_and(list_transform(json_keys({v}), lambda x: regexp_full_match(x, '[0-9]+'))) AND list_sort(list_transform(json_keys({v}), lambda x: TRY_CAST(x AS BIGINT))) = range(len(json_keys({v}))) AND list_bool_or(list_transform(json_keys({v}), lambda x: json_type({_AT(v, 'x')}) = 'OBJECT')))"""
+_OBJECTS = f"""
+    base AS (SELECT ord, source_group AS g, CAST(raw_json AS JSON) AS v FROM raw_records WHERE ord IS NOT NULL AND source_group IS NOT NULL AND json_valid(raw_json) AND json_type(raw_json) = 'OBJECT'),
+    walk(g, p, v) AS (
+        SELECT g, '', v FROM base
+        UNION ALL SELECT g, x.p, x.v FROM (
+            SELECT g, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN list_transform(CAST(v AS JSON[]), lambda e: {{'p': p, 'v': e}})
+                WHEN p <> '' AND {_MAP('v')} THEN list_transform(json_keys(v), lambda k: {{'p': p, 'v': {_AT('v', 'k')}}})
+                ELSE list_transform(json_keys(v), lambda k: {{'p': CASE WHEN p = '' THEN k ELSE p || '.' || k END, 'v': {_OPEN(_AT('v', 'k'))}}}) END) AS x FROM walk)
+        WHERE json_type(x.v) IN ('OBJECT', 'ARRAY')),
+    rep AS (SELECT DISTINCT g, p FROM walk WHERE p <> '' AND (CASE WHEN json_type(v) = 'ARRAY' THEN list_bool_or(list_transform(CAST(v AS JSON[]), lambda e: json_type(e) = 'OBJECT')) ELSE {_MAP('v')} END)),
+    obj(ord, g, p, m, pos, own, v) AS (
+        SELECT ord, g, '', '', '', false, v FROM base
+        UNION ALL SELECT ord, g, p, m, z.i, own, z.e FROM (
+            SELECT y.ord, y.g, y.p, CASE WHEN rep.p IS NULL THEN y.m ELSE y.m || '[]' END AS m, rep.p IS NOT NULL AS own,
+                unnest(CASE WHEN rep.p IS NULL THEN [{{'i': y.pos, 'e': y.v}}]
+                    WHEN json_type(y.v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(y.v) AS BIGINT)), lambda i: {{'i': CASE WHEN y.pos = '' THEN '' ELSE y.pos || '.' END || i, 'e': json_extract(y.v, '$[' || i || ']')}})
+                    WHEN {_MAP('y.v')} THEN list_transform(json_keys(y.v), lambda k: {{'i': CASE WHEN y.pos = '' THEN '' ELSE y.pos || '.' END || TRY_CAST(k AS BIGINT), 'e': {_AT('y.v', 'k')}}})
+                    ELSE [{{'i': CASE WHEN y.pos = '' THEN '' ELSE y.pos || '.' END || '0', 'e': y.v}}] END) AS z
+            FROM (SELECT ord, g, x.p AS p, x.m AS m, pos, x.v AS v FROM (
+                SELECT ord, g, pos, unnest(list_transform(json_keys(v), lambda k: {{'p': CASE WHEN p = '' THEN k ELSE p || '.' || k END, 'm': CASE WHEN m = '' THEN k ELSE m || '.' || k END, 'v': {_OPEN(_AT('v', 'k'))}}})) AS x FROM obj)
+                WHERE json_type(x.v) IN ('OBJECT', 'ARRAY')) y LEFT JOIN rep ON rep.g = y.g AND rep.p = y.p)
+        WHERE json_type(z.e) = 'OBJECT')"""
+
+
 ORACLE = {
+    "p2_found": f"WITH RECURSIVE {_OBJECTS} SELECT ord, m AS child_path, pos AS elem_pos FROM obj WHERE own",
     "p2_contacts": r"""
         WITH r AS (SELECT ord, json_extract(raw_json, '$.recipient') AS r FROM raw_records WHERE json_valid(raw_json)),
         v AS (SELECT ord, CASE WHEN json_type(r, '$.contacts') = 'VARCHAR' AND json_valid(json_extract_string(r, '$.contacts')) THEN CAST(json_extract_string(r, '$.contacts') AS JSON) ELSE json_extract(r, '$.contacts') END AS v FROM r),
