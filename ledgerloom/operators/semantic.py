@@ -28,10 +28,14 @@ def chunks(text: Column, size: int = 170, overlap: int = 40) -> Column:
     """Word windows of a text; one that fits in a window stays as it is, the last window is the first to reach the end."""
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     step = max(1, size - overlap)
-    n = F.size(words)
-    last = F.ceil((n - size) / step).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
-    return F.when(n <= size, F.array(text)).otherwise(windows)
+
+    def cut_up(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / step).cast("int"), F.lit(0))
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.size(w) <= size, F.array(text)).otherwise(windows)
+
+    # The words are bound once, as the element of an array: a column used within a lambda is computed at every call of it.
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(words), cut_up), F.lit(0)))
 
 
 def space(df: DataFrame, text: str, keys: list[str], carry: list[str] | None = None, where: str | None = None, size: int = 170, overlap: int = 40, limit: int | None = None, dedupe: bool = True, chunk: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import re
 import tempfile
@@ -361,6 +362,40 @@ def write_xml(records: DataFrame, folder: str) -> None:
     records.mapInPandas(run, "n int").count()
 
 
+@_query("""
+    WITH p AS (SELECT source_group, source_file, ord, raw_json, row_number() OVER (PARTITION BY source_file ORDER BY ord) AS record_no FROM raw_records WHERE source_file LIKE '%.csv' AND json_valid(raw_json))
+    SELECT source_group, source_file, record_no, coalesce(nullif(json_extract_string(raw_json, '$.id'), ''), source_file || ':row=' || record_no) AS native_id, json_extract_string(raw_json, '$.invoice') AS invoice, coalesce(json_extract_string(raw_json, '$.memo'), '') AS memo FROM p""")
+def corpus_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The CSV files written out and read again, row by row: ids or locators, and two columns, one of which files may lack."""
+    from ledgerloom.sources.corpus import read_corpus
+
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    write_csv_files(table(spark, d, "raw_records").where(F.col("source_file").endswith(".csv") & F.try_parse_json("raw_json").isNotNull()), folder)
+    at = lambda c: F.coalesce(F.get_json_object("raw_json", f"$.{c}"), F.lit(""))
+    return read_corpus(spark, folder).select("source_group", "source_file", "record_no", "native_id", at("invoice").alias("invoice"), at("memo").alias("memo"))
+
+
+def write_csv_files(records: DataFrame, folder: str) -> None:
+    """Each file's records as one CSV file, with all columns that any of them has (a file of these tables fits a task)."""
+
+    def one(key, f):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        rows = [json.loads(t) for t in f.sort_values("ord")["raw_json"]]
+        system.create_dir(f"{base}/{key[0]}".rpartition("/")[0])
+        with system.open_output_stream(f"{base}/{key[0]}") as out:
+            text = io.TextIOWrapper(out, encoding="utf-8", newline="")
+            sheet = csv.DictWriter(text, list(dict.fromkeys(k for r in rows for k in r)), restval="")
+            sheet.writeheader()
+            sheet.writerows(rows)
+            text.flush()
+            text.detach()
+        return pd.DataFrame({"n": [len(rows)]})
+
+    records.select("source_file", "ord", "raw_json").groupBy("source_file").applyInPandas(one, "n int").count()
+
+
 @_query("SELECT source_group, count(*) AS n_records FROM raw_records GROUP BY source_group")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.sources.corpus import reconcile as count
