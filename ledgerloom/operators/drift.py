@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import deep
-from ledgerloom.operators.shred import elements_of, find_repeating, opened, parse, shred, triples
+from ledgerloom.operators.shred import elements_of, find_repeating, opened, parse, triples
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
 
@@ -334,9 +334,15 @@ def cells(df: DataFrame, repeating: DataFrame, alias: DataFrame) -> DataFrame:
             each = pa.array(np.repeat(np.array(of, np.int64), counts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(each) for c in range(3)), *(pa.array(c, pa.string()) for c in (at, fields, texts))], ["ord", "source_group", "source_file", "row", "field", "text"])
 
+    return _with_names(df, repeating, alias).mapInArrow(run, "ord bigint, source_group string, source_file string, row string, field string, text string")
+
+
+def _with_names(df: DataFrame, repeating: DataFrame, alias: DataFrame) -> DataFrame:
+    """(ord, source_group, source_file, raw_json, paths, dir, aliases): records with what is known of their group and
+    directory; rows with a null group or key are left out."""
     rows = df.where("source_group IS NOT NULL AND ord IS NOT NULL").select(F.col("ord").cast("bigint").alias("ord"), "source_group", "source_file", "raw_json", F.coalesce(_directory(F.col("source_file")), F.lit("")).alias("dir"))
     rows = rows.join(broadcast_if_small(repeating), "source_group", "left").join(broadcast_if_small(_by_directory(alias)), "dir", "left")
-    return rows.select("ord", "source_group", "source_file", "raw_json", "paths", "dir", "aliases").mapInArrow(run, "ord bigint, source_group string, source_file string, row string, field string, text string")
+    return rows.select("ord", "source_group", "source_file", "raw_json", "paths", "dir", "aliases")
 
 
 def unified(df: DataFrame) -> DataFrame:
@@ -377,6 +383,48 @@ def _cast(text: Column, kind: str) -> Column:
     return text
 
 
+def _root_values(df: DataFrame, repeating: DataFrame, alias: DataFrame) -> DataFrame:
+    """(ord, source_group, source_file, own): each record's values outside lists of objects, by their last names.
+
+    Where two names of one field stand in one record, the first that is met counts.
+    """
+
+    def run(batches):
+        repeated_of: dict = {}
+        names: dict[tuple, str] = {}
+        known: dict[str, list] = {}
+        for batch in batches:
+            of, maps = [], []
+            for i, (g, t, paths, d, aliases) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 3, 4, 5, 6)))):
+                record = parse(t)
+                if not isinstance(record, dict):
+                    continue
+                repeated = repeated_of.setdefault(g, frozenset(paths or ()))
+                own = known.setdefault(d, [(a["name"], a["canonical"]) for a in aliases or ()])
+                found: dict[str, str] = {}
+                stack = [(record, "")]
+                while stack:
+                    held, up = stack.pop()
+                    for k, v in held.items():
+                        path = f"{up}.{k}" if up else k
+                        if v is None or path in repeated:
+                            continue
+                        v = opened(v)
+                        if v.__class__ is dict:
+                            stack.append((v, path))
+                            continue
+                        field = names.get((d, path))
+                        if field is None:
+                            field = names[d, path] = renamed_path(path, own)
+                        found.setdefault(field, v if v.__class__ is str else deep.dumps(v))
+                of.append(i)
+                maps.append(list(found.items()))
+            each = pa.array(np.array(of, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(each) for c in range(3)), pa.array(maps, pa.map_(pa.string(), pa.string()))], ["ord", "source_group", "source_file", "own"])
+
+    return _with_names(df, repeating, alias).mapInArrow(run, "ord bigint, source_group string, source_file string, own map<string,string>")
+
+
 def unified_table(df: DataFrame) -> DataFrame:
     """One row per record of all files, with one typed column per canonical field outside lists.
 
@@ -391,11 +439,7 @@ def unified_table(df: DataFrame) -> DataFrame:
     life = catalogue(df.where("source_group IS NOT NULL AND source_file IS NOT NULL"), repeating, every_file=True)
     life = life.where("path <> ''").withColumn("dir", _directory(F.col("source_file")))
     types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect() if r["kind"] not in ("object",)]
-    rows = shred(df, repeating=repeating, carry="source_file").where("child_path = ''").withColumn("dir", _directory(F.col("source_file")))
-    rows = rows.join(broadcast_if_small(_by_directory(alias)), "dir", "left")
-    last = lambda k, _: F.when(F.col("aliases").isNull(), k).otherwise(_last_name(k, F.col("aliases")))
-    entries = F.transform(F.map_entries("fields"), lambda e: F.struct(last(e["key"], None).alias("key"), e["value"].alias("value")))
-    rows = rows.withColumn("own", entries)
+    rows = _root_values(df, repeating, alias)
     taken = {"ord", "source_group", "source_file", "uncast"}
     cols, lost = [], []
     for field, kind in types:
@@ -403,7 +447,7 @@ def unified_table(df: DataFrame) -> DataFrame:
         while name.lower() in taken:
             name += "_2"
         taken.add(name.lower())
-        text = F.get(F.filter("own", lambda e: e["key"] == field), F.lit(0))["value"]  # noqa: B023
+        text = F.col("own")[field]
         cols.append(_cast(text, kind).alias(name))
         lost.append(F.when(text.isNotNull() & _cast(text, kind).isNull(), F.struct(F.lit(field).alias("key"), text.alias("value"))))
     uncast = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.create_map().cast("map<string,string>")

@@ -51,7 +51,7 @@ def group_matches(group: Column, pattern: str) -> Column:
     return group == pattern
 
 
-def _read_once(rows: DataFrame, record: str, paths: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+def read_once(rows: DataFrame, record: str, paths: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """``rows`` with every object on the way to ``paths`` parsed once, and the scalar text at each path.
 
     Each object is parsed into a struct of texts, one level at a time, so a field that is an object here and a text there
@@ -108,7 +108,7 @@ def normalise_table(raw: DataFrame, mapping) -> DataFrame:
         values: dict[str, Column] = {}
         for record, asked in (("_rec", upper if s.explode else wanted | upper), ("_el", own if s.explode else {})):
             if asked:
-                rows, found = _read_once(rows, record, list(asked.values()))
+                rows, found = read_once(rows, record, list(asked.values()))
                 kept = {f"_v_{c}": found[p] for c, p in asked.items()}
                 rows = rows.withColumns(kept)
                 values |= {c: F.col(f"`_v_{c}`") for c in asked}

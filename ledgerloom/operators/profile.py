@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import norm_aggressive
-from ledgerloom.operators.normalise import json_at
+from ledgerloom.operators.normalise import read_once
 from ledgerloom.operators.shred import parse
 from ledgerloom.operators.skew import broadcast_if_small
 from ledgerloom.session import cut
@@ -117,8 +117,9 @@ def exact_values(records: DataFrame, paths: list[str], group: str = "source_grou
 
     A field inside a list is read from the list's first element, as joins are proved on one value per record.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.trim(json_at(F.col(text), p)).alias("value")) for p in paths]))
-    rows = records.select(F.col(group).alias("grp"), cells.alias("x")).select("grp", "x.field", "x.value")
+    read, found = read_once(records.select(F.col(group).alias("grp"), F.col(text).alias("_rec")), "_rec", paths)
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.trim(found[p]).alias("value")) for p in paths]))
+    rows = read.select("grp", cells.alias("x")).select("grp", "x.field", "x.value")
     return rows.where("value IS NOT NULL AND value <> ''").distinct()
 
 
