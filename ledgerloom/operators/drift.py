@@ -184,15 +184,16 @@ def _similarity(df: DataFrame, repeating: DataFrame, wanted: DataFrame) -> DataF
     return found.groupBy("source_file", "path", "family", "bucket").agg(F.sum("n").alias("n"))
 
 
-def changes(df: DataFrame, repeating: DataFrame | None = None) -> DataFrame:
+def changes(df: DataFrame, repeating: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(source_group, source_file, change_kind, field_path, new_path) of every change between neighbouring files.
 
     Files follow each other by name within a directory; a file with no parsable record is not part of the series.
     Defined results: no rows for empty input, for directories of one file, and for records with null group, file or
-    text; a field whose type is mixed within a file has its commonest type.  Repeated rows change nothing.
+    text; a field whose type is mixed within a file has its commonest type.  Repeated rows change nothing.  ``repeating``
+    and ``counted`` take the repeating paths and the catalogue where they are known already.
     """
     repeating = find_repeating(_files(df)) if repeating is None else repeating
-    life = cut(lifespans(catalogue(df, repeating)))
+    life = cut(lifespans(catalogue(df, repeating) if counted is None else _files(counted)))
     files = life.select("dir", "at", "source_file", "source_group").distinct()
     added = life.where("at > 1 AND (before IS NULL OR before < at - 1)").select("dir", "at", "path", "kind", F.lit("added").alias("event"))
     removed = life.where("at < last AND (next IS NULL OR next > at + 1)").select("dir", (F.col("at") + 1).alias("at"), "path", "kind", F.lit("removed").alias("event"))
@@ -434,9 +435,8 @@ def unified_table(df: DataFrame) -> DataFrame:
     Names become ``a_b``; one that would clash with another, letter case aside, gets a number.
     """
     repeating = find_repeating(df)
-    changed = cut(changes(df, repeating))
-    alias = cut(alias_table(changed))
-    life = catalogue(df.where("source_group IS NOT NULL AND source_file IS NOT NULL"), repeating, every_file=True)
+    life = cut(catalogue(df.where("source_group IS NOT NULL AND source_file IS NOT NULL"), repeating, every_file=True))
+    alias = cut(alias_table(cut(changes(df, repeating, life))))
     life = life.where("path <> ''").withColumn("dir", _directory(F.col("source_file")))
     types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect() if r["kind"] not in ("object",)]
     rows = _root_values(df, repeating, alias)
