@@ -440,8 +440,8 @@ def unified_table(df: DataFrame) -> DataFrame:
     life = life.where("path <> ''").withColumn("dir", _directory(F.col("source_file")))
     types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect() if r["kind"] not in ("object",)]
     rows = _root_values(df, repeating, alias)
-    taken = {"ord", "source_group", "source_file", "uncast"}
-    cols, lost = [], []
+    taken = {"ord", "source_group", "source_file", "uncast", "_own"}
+    cols, checked = [], []
     for field, kind in types:
         name = re.sub(r"\W+", "_", field).strip("_") or "field"
         while name.lower() in taken:
@@ -449,6 +449,9 @@ def unified_table(df: DataFrame) -> DataFrame:
         taken.add(name.lower())
         text = F.col("own")[field]
         cols.append(_cast(text, kind).alias(name))
-        lost.append(F.when(text.isNotNull() & _cast(text, kind).isNull(), F.struct(F.lit(field).alias("key"), text.alias("value"))))
+        if kind in ("number", "boolean"):  # any other value is its text
+            checked.append((field, name))
+    typed = rows.select("ord", "source_group", "source_file", *cols, F.col("own").alias("_own"))
+    lost = [F.when(F.col("_own")[field].isNotNull() & F.col(name).isNull(), F.struct(F.lit(field).alias("key"), F.col("_own")[field].alias("value"))) for field, name in checked]
     uncast = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.create_map().cast("map<string,string>")
-    return rows.select("ord", "source_group", "source_file", *cols, F.to_json(uncast).alias("uncast"))
+    return typed.withColumn("uncast", F.to_json(uncast)).drop("_own")
