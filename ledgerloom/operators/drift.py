@@ -366,8 +366,11 @@ def unified(df: DataFrame) -> DataFrame:
 
 
 def canonical_types(life: DataFrame, alias: DataFrame) -> DataFrame:
-    """(field, kind): the commonest type of every canonical field outside lists, over all files of all directories."""
-    named = life.where(~F.contains("path", F.lit("[]"))).select("dir", "path", "kind", "n")
+    """(field, kind): the commonest type of every canonical field outside lists, over all files of all directories.
+
+    Objects count by the fields in them; a field that is an object here and a text there has the type of the texts.
+    """
+    named = life.where(~F.contains("path", F.lit("[]")) & (F.col("kind") != "object")).select("dir", "path", "kind", "n")
     named = named.join(broadcast_if_small(_by_directory(alias)), "dir", "left").withColumn("field", F.when(F.col("aliases").isNull(), F.col("path")).otherwise(_last_name(F.col("path"), F.col("aliases"))))
     per = named.groupBy("field", "kind").agg(F.sum("n").alias("n"))
     return per.groupBy("field").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
@@ -438,7 +441,7 @@ def unified_table(df: DataFrame) -> DataFrame:
     life = cut(catalogue(df.where("source_group IS NOT NULL AND source_file IS NOT NULL"), repeating, every_file=True))
     alias = cut(alias_table(cut(changes(df, repeating, life))))
     life = life.where("path <> ''").withColumn("dir", _directory(F.col("source_file")))
-    types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect() if r["kind"] not in ("object",)]
+    types = [(r["field"], r["kind"]) for r in canonical_types(life, alias).orderBy("field").collect()]
     rows = _root_values(df, repeating, alias)
     taken = {"ord", "source_group", "source_file", "uncast", "_own"}
     cols, checked = [], []

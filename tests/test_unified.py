@@ -44,3 +44,10 @@ def test_one_typed_column_per_field(spark):
     assert len(got) == 16 and all(r["name_of"] for r in got[:15]) and [r["n"] for r in got[8:10]] == [0.0, 1000.0] and got[15]["VENDOR_rev"] == "2"
     assert json.loads(got[8]["uncast"]) == {"ok": "maybe"} and got[8]["ok"] is None and got[9]["ok"] is False and got[0]["uncast"] == "{}"
     assert unified_table(_df(spark, {})).count() == 0
+
+
+def test_texts_that_stand_where_objects_were_are_kept(spark):
+    files = {"d/1.jsonl": [{"id": "a", "program": {"title": "Arts", "code": "A1"}}] * 5, "d/2.jsonl": [{"id": "b", "program": "Arts (A1)", "tags": ["x", "y"]}] * 2}
+    rows = unified_table(_df(spark, files))
+    assert {"program", "program_title", "program_code", "tags"} <= set(rows.columns)
+    assert {(r["program"], r["program_title"], r["tags"]) for r in rows.collect()} == {(None, "Arts", None), ("Arts (A1)", None, '["x","y"]')}
