@@ -953,12 +953,11 @@ def entity_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""
-    WITH top AS (SELECT * FROM leads WHERE lead_id % 100 = 0), l AS ({_LOCATORS.replace('FROM leads)', 'FROM top)')}), w AS (SELECT DISTINCT source_group, native_id FROM l WHERE native_id IS NOT NULL)
+    WITH l AS ({_LOCATORS}), w AS (SELECT DISTINCT source_group, native_id FROM l WHERE native_id IS NOT NULL)
     SELECT w.source_group, w.native_id, r.content_hash, count(*) AS n FROM w LEFT JOIN raw_records r ON r.source_group = w.source_group AND r.native_id = w.native_id GROUP BY ALL""")
 def lead_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The records that every hundredth lead points at (a dossier of stated leads), each with its rows; unknown ones too."""
-    asked = table(spark, d, "leads").where("lead_id % 100 = 0")
-    return dossier.lead_sources(asked, table(spark, d, "raw_records")).groupBy("source_group", "native_id", "content_hash").agg(F.count("*").alias("n"))
+    """The records that leads point at, each with its rows; those that are not in the store too."""
+    return dossier.lead_sources(table(spark, d, "leads"), table(spark, d, "raw_records")).groupBy("source_group", "native_id", "content_hash").agg(F.count("*").alias("n"))
 
 
 @_query(r"""
