@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import group_slug, lead_label, safe_id, slug
 from ledgerloom.operators.skew import broadcast_if_small
+from ledgerloom.operators.substrings import names_held
 from ledgerloom.session import cut
 
 _EVIDENCE = "array<struct<table:string,locators:array<struct<source_group:string,native_id:string>>,locator:struct<source_group:string,native_id:string>,source_group:string,native_id:string,values:map<string,string>,value:string>>"
@@ -83,17 +84,14 @@ def names_in(texts: DataFrame, entities: DataFrame, least_length: int = 5) -> Da
     """(entity_id, lead_id): entities whose canonical name stands anywhere in a lead's texts (lead_id, text), letter case
     aside; names shorter than ``least_length`` are not searched.
 
-    Every place of a text is looked up by its first ``least_length`` letters, as a row of key and place only; the text is
-    fetched once for the places that some name may begin at, and compared there.
+    The texts are walked where they are, and only what stands in them and is as good as certainly a name is joined to the
+    names. Pairs are made distinct once more only where an entity has several rows, so as not to shuffle them all.
     """
-    rows = texts.where("text IS NOT NULL").select("lead_id", F.lower("text").alias("t")).where(F.length("t") >= least_length).withColumn("k", F.xxhash64("lead_id", "t"))
-    at = F.explode(F.sequence(F.lit(1), F.length("t") - least_length + 1))
-    places = rows.select("k", "t", at.alias("p")).select("k", "p", F.substring("t", F.col("p"), F.lit(least_length)).alias("g"))
-    names = entities.where(F.length("canonical_name") >= least_length).select(F.lower("canonical_name").alias("n")).distinct().withColumn("g", F.substring("n", 1, least_length))
-    starts = places.join(broadcast_if_small(names), "g").select("k", "p", "n")
-    hits = starts.join(rows.distinct(), "k").where(F.substring("t", F.col("p"), F.length("n")) == F.col("n")).select("lead_id", "n").distinct()
-    own = entities.where(F.length("canonical_name") >= least_length).select("entity_id", F.lower("canonical_name").alias("n"))
-    return hits.join(own, "n").select("entity_id", "lead_id").distinct()
+    own = entities.where(F.length("canonical_name") >= least_length).select("entity_id", F.lower("canonical_name").alias("name"))
+    hits = names_held(texts.select(F.col("lead_id").alias("key"), F.lower("text").alias("text")), own.select("name")).distinct()
+    once = own.groupBy("entity_id").count().where("count > 1").isEmpty()
+    pairs = hits.join(own.withColumn("name", F.encode("name", "UTF-8")), "name").select("entity_id", F.col("key").alias("lead_id"))
+    return pairs if once else pairs.distinct()
 
 
 def backlinks(leads: DataFrame, entities: DataFrame, least_length: int = 5) -> DataFrame:

@@ -940,7 +940,7 @@ def bundle_semi(spark: SparkSession, d: str) -> DataFrame:
     SELECT DISTINCT e.entity_id, l.lead_id FROM entities e JOIN (SELECT DISTINCT lead_id, claim FROM leads) l ON contains(lower(l.claim), lower(e.canonical_name)) WHERE length(e.canonical_name) >= 5""")
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     """Backlinks of all claims to all names."""
-    return dossier.backlinks(table(spark, d, "leads").select("lead_id", "claim").distinct(), table(spark, d, "entities"))
+    return dossier.backlinks(table(spark, d, "leads"), table(spark, d, "entities"))
 
 
 @_query("""
