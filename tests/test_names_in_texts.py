@@ -1,5 +1,8 @@
 """Names that stand in texts: what is shuffled grows with what is found, and all of it is found."""
 
+import json
+import random
+
 import pytest
 
 from ledgerloom.operators import dossier
@@ -32,3 +35,37 @@ def test_names_that_begin_alike_are_not_paired_with_every_text(spark, as_large):
     assert got == {(i, i) for i in range(n)}
     moved = _shuffled(spark) - before
     assert moved < 2_000_000  # every name with every text would be nine million rows
+
+
+def test_names_quoted_in_evidence_are_not_paired_with_every_text(spark, as_large):
+    n = 3000
+    people = spark.createDataFrame([(i, f"South Harbour {i:05d} Trust") for i in range(n)], "entity_id long, canonical_name string")
+    quoted = lambda i: json.dumps([{"values": {"payee": f"south harbour {i:05d} trust", "score": 71523.34}}, {"value": f"SOUTH HARBOUR {n - 1 - i:05d} TRUST"}])
+    leads = spark.createDataFrame([(i, "Files list South Harbour", quoted(i)) for i in range(n)], "lead_id long, claim string, evidence string")
+    before = _shuffled(spark)
+    got = {tuple(r) for r in dossier.entity_scan(leads, people).collect()}
+    assert got == {(i, j) for i in range(n) for j in (i, n - 1 - i)}
+    assert _shuffled(spark) - before < 2_000_000
+
+
+def test_every_name_is_found_wherever_it_stands(spark):
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choice("abÀé日𝄞 1") for _ in range(pick.randint(1, 9)))
+    names = [word() + word() for _ in range(400)] + ["Harbour Trust", "harbour trust", "Harbour", "bour ", "日本東京都", "é" * 40, "abcd", None, "", "71523.34"]
+    texts = [word() + pick.choice(names[:400]).swapcase() + word() for _ in range(300)] + ["", None, "HARBOUR TRUST", "harbou", "x日本東京都", "日本東京", "é" * 39, "é" * 41]
+    people = [(i, x) for i, x in enumerate(names)] + [(0, names[1]), (0, names[1]), (None, "Harbour Trust")]
+    claims = [(i, x, None) for i, x in enumerate(texts)] + [(1, texts[0], None), (1, texts[1], None), (None, "a harbour", None), (900, None, '[{"values": {"score": 71523.34, "who": "THE HARBOUR TRUST"}}]')]
+    entities = spark.createDataFrame(people, "entity_id long, canonical_name string")
+    leads = spark.createDataFrame(claims, "lead_id long, claim string, evidence string")
+    want = {(e, i) for e, x in people if x is not None and len(x) >= 5 for i, t, _ in claims if t is not None and x.lower() in t.lower()}
+    got = [tuple(r) for r in dossier.backlinks(leads, entities).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    got = [tuple(r) for r in dossier.entity_scan(leads, entities).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(e, 900) for e, x in people if x in ("Harbour Trust", "harbour trust", "Harbour", "bour ", "71523.34")}
+    assert dossier.entity_scan(leads, entities.where("entity_id < 0")).count() == 0
+
+
+def test_a_text_longer_than_what_is_looked_at_in_one_go(spark):
+    people = spark.createDataFrame([(i, f"Quay {i:05d} Trüst") for i in range(20_000)], "entity_id long, canonical_name string")
+    leads = spark.createDataFrame([(1, "".join(f"QUAY {i:05d} TRÜST" for i in range(20_000)))], "lead_id long, claim string")
+    assert {tuple(r) for r in dossier.backlinks(leads, people).collect()} == {(i, 1) for i in range(20_000)}
