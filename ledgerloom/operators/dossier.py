@@ -7,7 +7,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import group_slug, lead_label, safe_id, slug
@@ -85,13 +85,21 @@ def names_in(texts: DataFrame, entities: DataFrame, least_length: int = 5) -> Da
     aside; names shorter than ``least_length`` are not searched.
 
     The texts are walked where they are, and only what stands in them and is as good as certainly a name is joined to the
-    names. Pairs are made distinct once more only where an entity has several rows, so as not to shuffle them all.
+    names. Pairs are never shuffled: where an entity has several rows, entities of the same names are one party until each
+    party and lead is there once, and only then is the party joined to its entities.
     """
     own = entities.where(F.length("canonical_name") >= least_length).select("entity_id", F.lower("canonical_name").alias("name"))
-    hits = names_held(texts.select(F.col("lead_id").alias("key"), F.lower("text").alias("text")), own.select("name")).distinct()
+    hits = names_held(texts.select(F.col("lead_id").alias("key"), F.lower("text").alias("text")), own.select("name"))
     once = own.groupBy("entity_id").count().where("count > 1").isEmpty()
-    pairs = hits.join(own.withColumn("name", F.encode("name", "UTF-8")), "name").select("entity_id", F.col("key").alias("lead_id"))
-    return pairs if once else pairs.distinct()
+    own = own.withColumn("name", F.encode("name", "UTF-8"))
+    if once:
+        return hits.distinct().join(own, "name").select("entity_id", F.col("key").alias("lead_id"))
+    # a party is known by 128 bits over its names, whatever their order
+    of_entity = Window.partitionBy("entity_id")
+    own = own.repartition("entity_id").distinct().select("*", F.bit_xor(F.xxhash64("name")).over(of_entity).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "name")).over(of_entity).alias("_b"))
+    found = hits.join(own.select("name", "_a", "_b").distinct(), "name").select("key", "_a", "_b").distinct()
+    parties = own.select("entity_id", "_a", "_b").distinct()
+    return found.join(parties, ["_a", "_b"]).select("entity_id", F.col("key").alias("lead_id"))
 
 
 def backlinks(leads: DataFrame, entities: DataFrame, least_length: int = 5) -> DataFrame:

@@ -69,3 +69,30 @@ def test_a_text_longer_than_what_is_looked_at_in_one_go(spark):
     people = spark.createDataFrame([(i, f"Quay {i:05d} Trüst") for i in range(20_000)], "entity_id long, canonical_name string")
     leads = spark.createDataFrame([(1, "".join(f"QUAY {i:05d} TRÜST" for i in range(20_000)))], "lead_id long, claim string")
     assert {tuple(r) for r in dossier.backlinks(leads, people).collect()} == {(i, 1) for i in range(20_000)}
+
+
+def test_pairs_are_not_shuffled_because_some_entity_has_several_rows(spark, as_large):
+    n = 1000
+    people = [(i, "South Harbour Trust") for i in range(n)] + [(0, "SOUTH HARBOUR TRUST"), (1, "South Harbour")]
+    leads = [(i, "Files list South Harbour Trust", '[{"values": {"payee": "south harbour"}}]') for i in range(n)]
+    entities = spark.createDataFrame(people, "entity_id long, canonical_name string")
+    leads = spark.createDataFrame(leads, "lead_id long, claim string, evidence string")
+    before = _shuffled(spark)
+    pairs = dossier.entity_scan(leads, entities).toArrow()
+    assert _shuffled(spark) - before < 500_000  # a million pairs come out
+    got = set(zip(*(pairs[c].to_pylist() for c in ("entity_id", "lead_id"))))
+    assert pairs.num_rows == n * n and got == {(e, i) for e in range(n) for i in range(n)}
+
+
+def test_entities_of_several_rows_come_once_with_each_lead(spark):
+    pick = random.Random(3)
+    words = ["harbour trust", "harbour", "east quay", "quay house", "north pier"]
+    rows = [(pick.choice([None, *range(40)]), pick.choice(words).title()) for _ in range(150)]
+    rows += rows[:30] + [(e, x.upper()) for e, x in rows[30:60]]
+    claims = [(pick.choice([None, *range(25)]), " ".join(pick.sample(words, pick.randint(0, 3))), json.dumps([{"value": pick.choice(words).upper()}])) for _ in range(60)]
+    entities = spark.createDataFrame(rows, "entity_id long, canonical_name string")
+    leads = spark.createDataFrame(claims, "lead_id long, claim string, evidence string")
+    for scan, texts in ((dossier.backlinks, lambda t, v: [t]), (dossier.entity_scan, lambda t, v: [t, json.loads(v)[0]["value"]])):
+        got = [tuple(r) for r in scan(leads, entities).collect()]
+        want = {(e, i) for e, x in rows for i, t, v in claims if any(x.lower() in s.lower() for s in texts(t, v))}
+        assert len(got) == len(set(got)) and set(got) == want
